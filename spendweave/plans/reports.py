@@ -238,8 +238,8 @@ def action_items(variance: DataFrame, n: int = 5) -> DataFrame:
 
 def gl_export(variance: DataFrame) -> DataFrame:
     """General-ledger journal lines."""
-    text = lambda condition: F.format_string(
-        "%.2f", F.when(condition, _abs_delta()).otherwise(0).cast("decimal(18,2)")
+    text = lambda condition: (
+        F.when(condition, _abs_delta()).otherwise(0).cast("decimal(18,2)").cast("string")
     )
     reason = F.coalesce("reason_code", F.lit(""))
     service = _named("service_name", "CLD")
@@ -583,8 +583,8 @@ def team_spend(lines: DataFrame) -> DataFrame:
 
 
 def drift_by_service(resources: DataFrame) -> DataFrame:
-    """Unmanaged resources per service: count, total and mean cost."""
-    return resources.where(~F.col("in_terraform_state")).groupBy(PERIOD, "service_name").agg(
+    """Unmanaged resources per service: count, total and mean cost. Resources without a service are left out."""
+    return resources.where(~F.col("in_terraform_state") & F.col("service_name").isNotNull()).groupBy(PERIOD, "service_name").agg(
         _count("resources"), F.sum("total_cost").alias("total_cost"),
         (F.sum("total_cost").cast("double") / F.count("total_cost")).alias("avg_cost"),
     )
@@ -596,9 +596,11 @@ def _side(resources: DataFrame, pairs: DataFrame, role: str) -> DataFrame:
 
 
 def service_compare(resources: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Cost of each service in both periods; a service absent before counts as 100 percent."""
+    """Cost of each named service in both periods; a service absent before counts as 100 percent."""
+    named = resources.where("service_name is not null")
+
     def total(role: str, name: str) -> DataFrame:
-        return _side(resources, pairs, role).groupBy(*PAIR, "service_name").agg(F.sum("total_cost").alias(name))
+        return _side(named, pairs, role).groupBy(*PAIR, "service_name").agg(F.sum("total_cost").alias(name))
 
     joined = total(PAIR[0], "prior_cost").join(
         total(CURRENT, "current_cost"), [*PAIR, "service_name"], "full_outer"
@@ -609,9 +611,11 @@ def service_compare(resources: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def months_stacked(resources: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Service totals of both periods stacked, with the month as a column."""
+    """Totals of named services in both periods stacked, with the month as a column."""
+    named = resources.where("service_name is not null")
+
     def rows(role: str) -> DataFrame:
-        sums = _side(resources, pairs, role).groupBy(*PAIR, "service_name").agg(F.sum("total_cost").alias("cost"))
+        sums = _side(named, pairs, role).groupBy(*PAIR, "service_name").agg(F.sum("total_cost").alias("cost"))
         return sums.withColumn("month", period_label(F.col(role)))
 
     return rows(PAIR[0]).unionByName(rows(CURRENT))

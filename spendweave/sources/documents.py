@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 
 def scan_docs(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """Every file of the pattern below a folder: source (path below the folder), text, and whether it is blank."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(root)
-    )
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     path = F.col("_metadata.file_path")
     folder = root.rstrip("/") + "/"
     return files.select(

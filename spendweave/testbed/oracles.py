@@ -709,7 +709,7 @@ LEFT JOIN (SELECT billing_period_start, service_name, count(*) AS n FROM res WHE
     "cost_trend_mom": f"""SELECT billing_period_start, {dbl('c')} AS cost, CASE WHEN b > 0 THEN {rnd(pct('c - b', 'b'), 1)} END AS mom_pct FROM (
   SELECT *, lag(c) OVER (ORDER BY billing_period_start) AS b FROM (SELECT billing_period_start, sum(total_cost) AS c FROM res WHERE service_name ILIKE '%amazon%' GROUP BY ALL))""",
     "drift_by_service": f"""SELECT billing_period_start, service_name, count(*) AS resources, {dbl('sum(res.total_cost)')} AS total_cost, {rnd('CAST(sum(res.total_cost) AS DOUBLE) / count(*)', 4)} AS avg_cost
-FROM res WHERE NOT in_terraform_state GROUP BY ALL""",
+FROM res WHERE NOT in_terraform_state AND service_name IS NOT NULL GROUP BY ALL""",
     "forecast_total": f"""SELECT {rnd('s * n + i')} AS forecast, CASE WHEN n >= 6 AND r > 0.7 THEN 'high' WHEN n >= 3 AND r > 0.4 THEN 'medium' ELSE 'low' END AS confidence,
   {rnd('r', 3)} AS r_squared, {rnd('s * 100.0 / m', 1)} AS trend_pct, n AS periods_used FROM (
   SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i, regr_r2(y, x) AS r, avg(y) AS m, count(*) AS n FROM (
@@ -727,9 +727,9 @@ FROM res WHERE NOT in_terraform_state GROUP BY ALL""",
   CASE WHEN p > 0 THEN {rnd(pct('c - p', 'p'))} ELSE 100.0 END AS pct_change FROM (
   SELECT {PAIR}, service_name, coalesce(sum(total_cost) FILTER (billing_period_start = prior_period_start), 0) AS p,
     coalesce(sum(total_cost) FILTER (billing_period_start = current_period_start), 0) AS c
-  FROM pairs JOIN res ON billing_period_start IN (prior_period_start, current_period_start) GROUP BY ALL)""",
+  FROM pairs JOIN res ON billing_period_start IN (prior_period_start, current_period_start) AND service_name IS NOT NULL GROUP BY ALL)""",
     "months_stacked": f"""SELECT {PAIR}, service_name, {dbl('sum(total_cost)')} AS cost, strftime(billing_period_start, '%Y-%m') AS month
-FROM pairs JOIN res ON billing_period_start IN (prior_period_start, current_period_start) GROUP BY {PAIR}, service_name, billing_period_start""",
+FROM pairs JOIN res ON billing_period_start IN (prior_period_start, current_period_start) AND service_name IS NOT NULL GROUP BY {PAIR}, service_name, billing_period_start""",
     "id_sets": f"""SELECT {PAIR}, count(*) FILTER (in_prior AND in_current) AS shared, count(*) FILTER (NOT in_prior) AS new, count(*) FILTER (NOT in_current) AS removed FROM amounts GROUP BY {PAIR}""",
     "top_movers": _top(
         "(SELECT *, current_cost - prior_raw AS d FROM amounts)", PAIR, "abs(d) DESC, resource_id", 10,
