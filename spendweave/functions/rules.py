@@ -67,7 +67,7 @@ def classify(
     managed: Column,
     has_event: Column,
     has_team: Column,
-    tags: Column,
+    other_tool: Column,
     prior_cost: Column,
     current_cost: Column,
     abs_norm_pct: Column,
@@ -76,7 +76,7 @@ def classify(
     """Reason code of one resource between two periods."""
     managed = F.coalesce(managed, F.lit(False))
     unmanaged = (
-        F.when(other_iac_tool(tags), "non_terraform_iac")
+        F.when(other_tool, "non_terraform_iac")
         .when(has_team, "orphan_sdk_created")
         .when((prior_cost > 0) & (current_cost < codes.LEGACY_COST), "legacy_untracked")
         .otherwise("orphan_unknown")
@@ -118,9 +118,13 @@ def is_drift(reason: Column) -> Column:
 # -- resources ----------------------------------------------------------------------------------
 
 
-def environment(name: Column, tags: Column, module: Column) -> Column:
+def environment_tag(tags: Column) -> Column:
+    """First non-empty of the tags that may name the deployment stage."""
+    return F.coalesce(*[blank_to_null(tags[key]) for key in codes.ENVIRONMENT_TAGS])
+
+
+def environment(name: Column, tag: Column, module: Column) -> Column:
     """Deployment stage: the environment tag decides, then the module path, then the name."""
-    tag = F.coalesce(*[blank_to_null(tags[key]) for key in codes.ENVIRONMENT_TAGS])
     rule = None
     for text in (tag, module, name):
         words = F.lower(F.coalesce(text, F.lit("")))

@@ -22,12 +22,18 @@ def _gram_size(text: Column) -> Column:
     return rule
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """Distinct n-grams of a text; empty when it is shorter than the n-gram."""
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(
-        F.array().cast("array<int>")
+def _explode_grams(df: DataFrame, text: str) -> DataFrame:
+    """One row per distinct n-gram (column ``_gram``) of a text, sized by the row's ``_size``.
+
+    Only the first place of an n-gram counts, so a text never meets the same n-gram twice.
+    """
+    size, starts = F.col("_size"), F.length(text) - F.col("_size") + 1
+    placed = df.where(starts > 0).withColumn("_at", F.explode(F.sequence(F.lit(1), starts)))
+    return (
+        placed.withColumn("_gram", F.substring(text, F.col("_at"), size))
+        .where(F.instr(F.col(text), F.col("_gram")) == F.col("_at"))
+        .drop("_at")
     )
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
 
 
 def containment_pairs(
@@ -36,29 +42,38 @@ def containment_pairs(
     haystack: str,
     needle: str,
     within: list[str] | None = None,
+    bounded_groups: bool = False,
 ) -> DataFrame:
     """Distinct (``within``..., haystack, needle) rows where the haystack text contains the needle text.
 
-    Empty needles match nothing. ``within`` names columns both sides must agree on.
+    Empty needles match nothing. ``within`` names columns both sides must agree on; say
+    ``bounded_groups`` when its values are bounded by nature (months), so they may be broadcast.
     """
     within = within or []
-    hay = haystacks.select(*within, F.col(haystack).alias("_hay")).where("_hay is not null").distinct()
+    tasks = int(haystacks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Exploding multiplies rows, so the distinct texts are spread first instead of being merged
+    # into a few partitions by their small size.
+    hay = (
+        haystacks.select(*within, F.col(haystack).alias("_hay"))
+        .where("_hay is not null")
+        .distinct()
+        .repartition(tasks, *within, "_hay")
+    )
     pins = (
         needles.select(*within, F.col(needle).alias("_pin"))
         .where("_pin is not null and _pin <> ''")
         .distinct()
         .withColumn("_size", _gram_size(F.col("_pin")))
     )
-    pin_grams = pins.withColumn("_gram", F.explode(_grams(F.col("_pin"), F.col("_size"))))
+    pin_grams = _explode_grams(pins, "_pin")
 
     # At most one row per n-gram size and `within` group, so haystacks emit only sizes that occur.
     sizes = pins.select(*within, "_size").distinct()
     if within:
-        sized = hay.join(sizes, within)
+        sized = hay.join(F.broadcast(sizes), within) if bounded_groups else hay.join(sizes, within)
     else:
-        wanted = sizes.agg(F.collect_set("_size")).scalar()
-        sized = hay.withColumn("_size", F.explode(wanted))
-    hay_grams = sized.withColumn("_gram", F.explode(_grams(F.col("_hay"), F.col("_size"))))
+        sized = hay.withColumn("_size", F.explode(sizes.agg(F.collect_set("_size")).scalar()))
+    hay_grams = _explode_grams(sized, "_hay")
 
     # A hot n-gram is counted map-side; it is then avoided as an anchor.
     gram_key = [*within, "_size", "_gram"]

@@ -9,6 +9,7 @@ from spendweave.functions import codes
 from spendweave.functions.rules import lookup
 from spendweave.operators.containment import containment_pairs
 from spendweave.operators.ranking import top_per_group
+from spendweave.session import cut_lineage
 
 EVENT = ["pr_number", "pr_title", "pr_author", "description", "event_date"]
 
@@ -84,24 +85,25 @@ def pr_resource_match(prs: DataFrame, changes: DataFrame, resources: DataFrame)
     service suits its type while the module contains the last segment of its module.
     """
     period = "billing_period_start"
-    mine = prs.select("pr_number", period).join(changes, "pr_number").select(
+    # Read by all three rules, so the parsed changes are written once.
+    mine = cut_lineage(prs.select("pr_number", period).join(changes, "pr_number").select(
         "pr_number", period,
         F.col("terraform_module").alias("change_module"),
         F.lower("resource_name").alias("change_name"),
         F.substring_index("terraform_module", "/", -1).alias("segment"),
         lookup(codes.TYPE_SERVICE_HINTS, F.col("resource_type")).alias("hint"),
-    )
+    ).distinct())
     own = resources.select(
         period, "resource_id", F.nullif("terraform_module", F.lit("")).alias("terraform_module"),
         F.lower("resource_name").alias("name"), F.lower("service_name").alias("service"),
     )
     by_module = (
-        containment_pairs(own, mine, "terraform_module", "change_module", [period])
+        containment_pairs(own, mine, "terraform_module", "change_module", [period], bounded_groups=True)
         .join(mine.select("pr_number", period, "change_module").distinct(), [period, "change_module"])
         .join(own.select(period, "resource_id", "terraform_module"), [period, "terraform_module"])
     )
     by_name = (
-        containment_pairs(own, mine, "name", "change_name", [period])
+        containment_pairs(own, mine, "name", "change_name", [period], bounded_groups=True)
         .join(mine.select("pr_number", period, "change_name").distinct(), [period, "change_name"])
         .join(own.select(period, "resource_id", "name"), [period, "name"])
     )
@@ -109,7 +111,7 @@ def pr_resource_match(prs: DataFrame, changes: DataFrame, resources: DataFrame)
     hinted = own.withColumn("hint", F.explode(F.filter(hints, lambda h: F.contains(F.col("service"), h))))
     typed = mine.where("hint is not null")
     by_type = (
-        containment_pairs(hinted, typed, "terraform_module", "segment", [period])
+        containment_pairs(hinted, typed, "terraform_module", "segment", [period], bounded_groups=True)
         .join(typed.select("pr_number", period, "segment", "hint").distinct(), [period, "segment"])
         .join(hinted.select(period, "resource_id", "terraform_module", "hint"), [period, "terraform_module", "hint"])
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendweave.operators.containment import containment_pairs
+from spendweave.session import cut_lineage
 
 # Later sources win the description of an identifier they share; its place stays the earliest.
 SOURCE_ORDER = ["terraform", "arm", "cloudformation", "pulumi"]
@@ -59,8 +60,11 @@ def iac_match_fuzzy(ids: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def iac_match(ids: DataFrame, index: DataFrame) -> DataFrame:
-    """Managed ids with module and source: exact matches first, containment for the rest."""
-    ids = ids.select("resource_id").distinct()
+    """Managed ids with module and source: exact matches first, containment for the rest.
+
+    The distinct ids and the index are read many times over, so both are written once.
+    """
+    ids, index = cut_lineage(ids.select("resource_id").distinct()), cut_lineage(index)
     exact = iac_match_exact(ids, index)
     rest = ids.join(exact.select("resource_id"), "resource_id", "left_anti")
     return exact.unionByName(iac_match_fuzzy(rest, index))

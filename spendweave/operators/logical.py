@@ -49,7 +49,7 @@ def logical_resources(resources: DataFrame) -> DataFrame:
         .otherwise("associated")
     )
     children = (
-        containment_pairs(own, clusters, "name", "cluster_name", [PERIOD])
+        containment_pairs(own, clusters, "name", "cluster_name", [PERIOD], bounded_groups=True)
         .join(clusters, [PERIOD, "cluster_name"])
         .join(own.select(PERIOD, "name", "service", F.col("resource_id").alias("child_resource_id")), [PERIOD, "name"])
         .where(F.col("child_resource_id") != F.col("logical_resource_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendweave.functions.numbers import places
-from spendweave.functions.rules import blank_to_null, environment
+from spendweave.functions.rules import blank_to_null, environment, environment_tag, other_iac_tool
 from spendweave.operators.iac import iac_match
 from spendweave.schemas import RESOURCE_KEY
 
@@ -49,29 +49,32 @@ def resource_tags(lines: DataFrame) -> DataFrame:
 
 
 def resource_costs(lines: DataFrame) -> DataFrame:
-    """Cost of each (resource, period), described by its costliest group of attributes, with last tags.
+    """Cost of each (resource, period), described by its costliest group of attributes.
 
-    The first aggregate keeps only numbers in its buffers, so it hashes; the later ones see one row
-    per combination.
+    Owner and environment come from the last tags. The first aggregate keeps only numbers in its
+    buffers, so it hashes; the later ones see one row per combination.
     """
-    by_group = lines.where("resource_id <> ''").groupBy(*RESOURCE_KEY, *ATTRIBUTES, "tags").agg(
+    tags = F.col("tags")
+    owned = lines.where("resource_id <> ''").select(
+        *RESOURCE_KEY, *ATTRIBUTES, "billed_cost", "line_seq", tags.isNotNull().alias("_tagged"),
+        tags["team"].alias("team"), tags["cost_center"].alias("cost_center"), environment_tag(tags).alias("env_tag"),
+    )
+    owner = ["team", "cost_center", "env_tag"]
+    by_group = owned.groupBy(*RESOURCE_KEY, *ATTRIBUTES, "_tagged", *owner).agg(
         F.sum("billed_cost").alias("_cost"), F.max("line_seq").alias("_seq")
     )
-    tagged = F.col("tags").isNotNull()
-    last_tags = F.when(tagged, F.struct(F.col("_seq").alias("seq"), F.to_json("tags").alias("json")))
     by_attributes = by_group.groupBy(*RESOURCE_KEY, *ATTRIBUTES).agg(
-        F.sum("_cost").alias("_cost"), F.max(last_tags).alias("_tags")
+        F.sum("_cost").alias("_cost"), F.max(F.when(F.col("_tagged"), F.struct("_seq", *owner))).alias("_last")
     )
     return (
         by_attributes.groupBy(*RESOURCE_KEY)
         .agg(
             F.sum("_cost").alias("_total"),
             F.max_by(F.struct(*ATTRIBUTES), F.struct("_cost", *ATTRIBUTES)).alias("_a"),
-            F.max("_tags").alias("_tags"),
+            F.max("_last").alias("_last"),
         )
         .select(
-            *RESOURCE_KEY, "_a.*",
-            F.from_json("_tags.json", "map<string,string>").alias("tags"),
+            *RESOURCE_KEY, "_a.*", *[F.col(f"_last.{c}").alias(c) for c in owner],
             places(F.coalesce("_total", F.lit(0)), 2).cast("decimal(18,2)").alias("total_cost"),
         )
     )
@@ -92,37 +95,37 @@ def resources(lines: DataFrame, iac_index: DataFrame | None = None) -> DataFrame
         )
     return found.select(
         *RESOURCE_KEY, *ATTRIBUTES,
-        F.col("tags")["team"].alias("team"),
-        F.col("tags")["cost_center"].alias("cost_center"),
+        "team", "cost_center",
         F.col("_source").isNotNull().alias("in_terraform_state"),
         "terraform_module",
         F.coalesce("_source", F.lit("none")).alias("iac_source"),
-        environment(F.col("resource_name"), F.col("tags"), F.col("terraform_module")).alias("environment"),
+        environment(F.col("resource_name"), F.col("env_tag"), F.col("terraform_module")).alias("environment"),
         "total_cost",
     )
 
 
 def resource_signals(lines: DataFrame) -> DataFrame:
-    """Charge types in first-seen order, first description and first tags of each (resource, period).
+    """Charge types in first-seen order, first description, and whether the first tags name another IaC tool.
 
-    The collected list holds distinct charge types only, a billing vocabulary of a few dozen words.
+    Keyed by (resource, period). The collected list holds distinct charge types only, a billing
+    vocabulary of a few dozen words.
     """
-    seen = lines.where("resource_id <> ''").groupBy(*RESOURCE_KEY, "charge_type", "description", "tags").agg(
-        F.min("line_seq").alias("_seq")
-    )
-    described = blank_to_null(F.col("description")).isNotNull()
-    tagged = F.col("tags").isNotNull() & (F.size("tags") > 0)
+    tags = F.col("tags")
+    tool = F.when(F.size(tags) > 0, other_iac_tool(tags)).alias("_tool")
+    named = blank_to_null(F.col("charge_type")).alias("charge_type")
+    described = blank_to_null(F.col("description")).alias("description")
+    own = lines.where("resource_id <> ''").select(*RESOURCE_KEY, named, described, tool, "line_seq")
+    seen = own.groupBy(*RESOURCE_KEY, "charge_type", "description", "_tool").agg(F.min("line_seq").alias("_seq"))
     by_type = seen.groupBy(*RESOURCE_KEY, "charge_type").agg(
         F.min("_seq").alias("_seq"),
-        F.min(F.when(described, F.struct("_seq", "description"))).alias("_d"),
-        F.min(F.when(tagged, F.struct(F.col("_seq"), F.to_json("tags").alias("json")))).alias("_t"),
+        F.min(F.when(F.col("description").isNotNull(), F.struct("_seq", "description"))).alias("_d"),
+        F.min(F.when(F.col("_tool").isNotNull(), F.struct("_seq", "_tool"))).alias("_t"),
     )
-    named = blank_to_null(F.col("charge_type")).isNotNull()
-    ordered = F.array_sort(F.collect_list(F.when(named, F.struct("_seq", "charge_type"))))
+    typed = F.when(F.col("charge_type").isNotNull(), F.struct("_seq", "charge_type"))
     return by_type.groupBy(*RESOURCE_KEY).agg(
-        F.transform(ordered, lambda s: s["charge_type"]).alias("charge_types"),
+        F.transform(F.array_sort(F.collect_list(typed)), lambda s: s["charge_type"]).alias("charge_types"),
         F.min("_d")["description"].alias("description"),
-        F.from_json(F.min("_t")["json"], "map<string,string>").alias("tags"),
+        F.min("_t")["_tool"].alias("other_tool"),
     )
 
 

@@ -59,7 +59,7 @@ def classify_pairs(paired: DataFrame, signals: DataFrame, events: DataFrame) ->
     on the columns the pairs are already partitioned by.
     """
     own = signals.select(
-        "resource_id", F.col("billing_period_start").alias(PAIR[1]), "charge_types", "description", "tags"
+        "resource_id", F.col("billing_period_start").alias(PAIR[1]), "charge_types", "description", "other_tool"
     )
     key = ["resource_id", PAIR[1]]
     joined = variance_amounts(paired).join(own, key, "left").join(events, key, "left")
@@ -86,7 +86,7 @@ def classify_pairs(paired: DataFrame, signals: DataFrame, events: DataFrame) ->
     has_team = rules.blank_to_null(F.col("team")).isNotNull()
     reason = rules.classify(
         in_prior=F.col("in_prior"), in_current=F.col("in_current"), managed=F.col("managed"),
-        has_event=F.col("event").isNotNull(), has_team=has_team, tags=F.col("tags"),
+        has_event=F.col("event").isNotNull(), has_team=has_team, other_tool=F.col("other_tool"),
         prior_cost=F.col("prior_raw"), current_cost=F.col("current_cost"),
         abs_norm_pct=F.abs(F.coalesce("norm_pct", F.lit(0.0))), edge=F.col("edge"),
     )

@@ -139,9 +139,10 @@ SELECT o_orderkey AS number, 'Update order ' || CAST(o_orderkey AS STRING) AS ti
 FROM {orders} WHERE o_orderpriority = '1-URGENT'
 """
 
-# Their files are the lines of the order, one per line number and part.
+# Their files are the lines of the order, ordered by line number, part and status.
 PR_FILES = f"""
-SELECT o_orderkey AS number, l_linenumber * 1000000000000 + l_partkey AS file_pos,
+SELECT o_orderkey AS number, (l_linenumber * 1000000000000 + l_partkey) * 3
+    + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS file_pos,
   CASE l_linenumber WHEN 1 THEN 'modules/' || {UNIT} || '/main.tf' WHEN 2 THEN 'legacy/' || {UNIT} || '/main.tf'
     WHEN 3 THEN 'docs/' || {UNIT} || '.md' WHEN 4 THEN 'stacks/' || {UNIT} || '/net.tf'
     ELSE 'live/' || {UNIT} || '/app.tf' END AS filename,

@@ -164,12 +164,13 @@ SELECT resource_id, billing_period_start, description FROM (
   SELECT *, row_number() OVER (PARTITION BY resource_id, billing_period_start ORDER BY line_seq, description) AS rn
   FROM bl WHERE resource_id <> '' AND description <> '') WHERE rn = 1""",
     "sig_tags": """
-SELECT resource_id, billing_period_start, tag_team, tag_managed_by, tag_stack FROM (
+SELECT resource_id, billing_period_start, tag_managed_by, tag_stack FROM (
   SELECT *, row_number() OVER (PARTITION BY resource_id, billing_period_start ORDER BY line_seq) AS rn
   FROM bl WHERE resource_id <> ''
     AND coalesce(tag_team, tag_cost_center, tag_environment, tag_managed_by, tag_stack) IS NOT NULL) WHERE rn = 1""",
     "sig": f"""
-SELECT k.*, coalesce(y.charge_types, []) AS charge_types, d.description, g.tag_team AS first_team, g.tag_managed_by, g.tag_stack,
+SELECT k.*, coalesce(y.charge_types, []) AS charge_types, d.description,
+  CASE WHEN g.resource_id IS NOT NULL THEN coalesce({in_list('lower(g.tag_managed_by)', codes.IAC_TOOLS)}, false) OR g.tag_stack IS NOT NULL END AS other_tool,
   CASE WHEN t1 IS NOT NULL THEN {_case('t1', codes.CHARGE_TYPE_REASONS)}
     WHEN {any_of("lower(coalesce(d.description, ''))", codes.MARKETPLACE_WORDS)} THEN 'marketplace_subscription'
     WHEN {any_of("lower(coalesce(d.description, ''))", codes.SPOT_WORDS)}
@@ -199,12 +200,12 @@ SELECT * FROM (
 SELECT *, edge IS NOT NULL AS excluded,
   CASE WHEN edge IS NOT NULL THEN edge WHEN NOT in_prior THEN 'new_resource' WHEN NOT in_current THEN 'removed_resource'
     WHEN managed AND has_event THEN 'planned'
-    WHEN NOT managed AND (coalesce({in_list('lower(tag_managed_by)', codes.IAC_TOOLS)}, false) OR tag_stack IS NOT NULL) THEN 'non_terraform_iac'
+    WHEN NOT managed AND other_tool THEN 'non_terraform_iac'
     WHEN NOT managed AND coalesce(team, '') <> '' THEN 'orphan_sdk_created'
     WHEN NOT managed AND prior_raw > 0 AND current_cost < {codes.LEGACY_COST} THEN 'legacy_untracked'
     WHEN NOT managed THEN 'orphan_unknown'
     WHEN abs(coalesce(norm_pct, 0)) > {_STEADY} THEN 'usage_growth' ELSE 'steady_state' END AS reason_code
-FROM (SELECT a.*, s.charge_types, s.edge, s.tag_managed_by, s.tag_stack, e.rid IS NOT NULL AS has_event,
+FROM (SELECT a.*, s.charge_types, s.edge, s.other_tool, e.rid IS NOT NULL AS has_event,
     e.pr_number, e.pr_title, e.pr_author, e.description AS event_description
   FROM amounts a
   LEFT JOIN sig s ON a.resource_id = s.resource_id AND a.current_period_start = s.billing_period_start
@@ -424,7 +425,7 @@ FROM prs p JOIN pr_file f ON p.number = f.number WHERE filename LIKE '%.tf' AND
   {dbl('attributed_cost')} AS attributed_cost, {dbl('unattributed_cost')} AS unattributed_cost, attribution_coverage_pct, status FROM inv""",
     "resources": f"SELECT * REPLACE ({dbl('total_cost')} AS total_cost) FROM res",
     "resource_tags": f"SELECT {KEY}, tag_team AS team, tag_cost_center AS cost_center, tag_environment AS env FROM last_tags",
-    "resource_signals": f"""SELECT {KEY}, array_to_string(charge_types, ',') AS charge_types, description, first_team AS team, tag_managed_by AS managed_by FROM sig""",
+    "resource_signals": f"""SELECT {KEY}, array_to_string(charge_types, ',') AS charge_types, description, other_tool FROM sig""",
     "environment": f"SELECT environment, billing_period_start, count(*) AS resources, {dbl('sum(total_cost)')} AS cost FROM res GROUP BY ALL",
     "logical_resources": """
 SELECT c.billing_period_start, c.resource_id AS logical_resource_id, c.resource_name AS logical_resource_name, c.kind AS resource_type,
@@ -577,10 +578,8 @@ UNION ALL SELECT current_period_start, count(*), count(*) FILTER (NOT in_terrafo
     "upsert_resources": f"""SELECT {KEY}, CASE WHEN billing_period_start < DATE '1998-01-01' THEN 'stale' ELSE team END AS team, {STAGED_SPEND} FROM res""",
     "tenant_replace": f"""SELECT {big('user_id')} AS user_id, count(*) AS rows, {dbl('sum(billed_cost)')} AS cost FROM bl
 WHERE user_id <> 2 OR billing_period_start >= DATE '1998-01-01' GROUP BY bl.user_id""",
-    "incremental_ingest": """SELECT billing_period_start, provider, count(*) AS rows FROM (
-  SELECT billing_period_start, coalesce(provider, 'AWS') AS provider,
-    row_number() OVER (PARTITION BY invoice_id, nullif(resource_id, ''), charge_period_start ORDER BY billing_period_start) AS nth FROM bl)
-WHERE nth = 1 GROUP BY ALL""",
+    "incremental_ingest": """SELECT billing_period_start, count(*) AS rows FROM (
+  SELECT DISTINCT billing_period_start, invoice_id, nullif(resource_id, ''), charge_period_start FROM bl) GROUP BY ALL""",
     "gl_export": f"""SELECT strftime(current_period_start, '%Y-%m-%d') AS "Date", '6' || upper(substr(coalesce(nullif(service_name, ''), 'CLD'), 1, 3)) || '00' AS "Account",
   resource_name || ' — ' || replace(reason_code, '_', ' ') AS "Description",
   CAST(CASE WHEN delta_dollars > 0 THEN abs(delta_dollars) ELSE 0 END AS VARCHAR) AS "Debit",

@@ -439,10 +439,7 @@ def resource_tags(spark, sf):
 
 @query
 def resource_signals(spark, sf):
-    return silver.resource_signals(t.billing_lines(spark, sf)).select(
-        *RESOURCE_KEY, "charge_types", "description", F.col("tags")["team"].alias("team"),
-        F.col("tags")["managed_by"].alias("managed_by"),
-    )
+    return silver.resource_signals(t.billing_lines(spark, sf))
 
 
 @query
@@ -900,7 +897,7 @@ def incremental_ingest_(spark, sf):
         export(rows).write.mode("append").option("header", True).option("escape", '"').csv(landing)
         headers = {h: c for h, c in codes.FOCUS_HEADERS.items() if h in export(rows).columns}
         incremental_ingest(spark, landing, table, state, headers)
-    return sinks.read_table(spark, table).groupBy(PERIOD, "provider").agg(F.count(F.lit(1)).alias("rows"))
+    return sinks.read_table(spark, table).groupBy(PERIOD).agg(F.count(F.lit(1)).alias("rows"))
 
 
 QUERIES["incremental_ingest"] = QUERIES.pop("incremental_ingest_")

@@ -1,4 +1,8 @@
-"""Spark frames of the mapped billing tables, and the gold tables reports read."""
+"""Spark frames of the mapped billing tables, and the stored tables later layers read.
+
+Bronze lines, change events, silver resources and the gold variance report are written once per
+session to the shared folder and read back, as a pipeline of stored tables would.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from spendweave.session import new_dir
 from spendweave.sources.sinks import write_table
 from spendweave.testbed import mapping
 
-_gold: dict[tuple[str, str, str], str] = {}
+_tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +33,19 @@ def flat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir, mapping.BILLING_LINES)
 
 
-def billing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze charge lines with tags as a map; untagged lines have NULL tags."""
+def mapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charge lines with tags as a map; untagged lines have NULL tags."""
     flat = flat_lines(spark, sf_dir)
     pairs = [x for column, key in mapping.TAG_KEYS.items() for x in (F.lit(key), F.col(column))]
     tags = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
     return flat.withColumn("tags", F.when(F.size(tags) > 0, tags)).drop(*mapping.TAG_KEYS)
 
 
+def billing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze charge lines."""
+    return _stored(spark, sf_dir, "lines", mapped_lines, "billing_period_start")
+
+
 def iac_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: _mapped(spark, sf_dir, mapping.iac_source(name, rank)) for rank, name in enumerate(SOURCE_ORDER)}
 
@@ -45,10 +54,14 @@ def iac_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iac_union(iac_sources(spark, sf_dir))
 
 
-def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir, mapping.CHANGE_EVENTS)
 
 
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "events", mapped_events)
+
+
 def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged pull requests: pr_number, title, author, merged_at, commit_sha."""
     rows = _mapped(spark, sf_dir, mapping.PULL_REQUESTS).where("merged_at is not null")
@@ -78,14 +91,15 @@ def variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build, period: str) -> DataFrame:
-    """Gold table written once per session to the shared folder, then read like any stored table."""
+def _stored(spark: SparkSession, sf_dir: str, name: str, build, period: str | None = None) -> DataFrame:
+    """Table written on first use in a session, then read like any stored table."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _gold:
-        path = new_dir(spark, f"gold-{name}")
-        write_table(build(spark, sf_dir), path, [period])
-        _gold[key] = path
-    return spark.read.parquet(_gold[key])
+    if key not in _tables:
+        path = new_dir(spark, name)
+        write_table(build(spark, sf_dir), path, [period] if period else None)
+        # Kept as a frame, so the partitions are listed once.
+        _tables[key] = spark.read.parquet(path)
+    return _tables[key]
 
 
 def gold_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
