@@ -29,60 +29,69 @@ ARM_ID = f"""CASE p_size % 6
 
 AZURE_RESOURCES = f"SELECT p_partkey, {ARM_ID} AS resource_id FROM {{part}}"
 
-# Lines carry tags except where the line number is 5; line number 4 names a shared team.
-_TAGGED = "l_linenumber <> 5"
+# What depends on the part alone is computed per part, before the join.
+_PARTS = f"""
+SELECT p_partkey, {SERVICE} AS service,
+  CASE p_type WHEN 'ECONOMY' THEN 'Compute' WHEN 'LARGE' THEN 'Containers' WHEN 'MEDIUM' THEN 'Database'
+    WHEN 'PROMO' THEN 'Networking' WHEN 'SMALL' THEN 'Compute' ELSE 'Storage' END AS category,
+  {RESOURCE_ID} AS rid, {RESOURCE_NAME} AS rname,
+  CASE p_partkey % 29 WHEN 0 THEN 'AWS Marketplace subscription' WHEN 1 THEN 'Spot instance hours'
+    WHEN 2 THEN 'NAT Gateway processing' WHEN 3 THEN NULL WHEN 4 THEN ''
+    ELSE 'Running hours of ' || p_brand END AS part_text,
+  CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DECIMAL(18,10)) AS price,
+  CASE WHEN p_partkey % 10 < 2 THEN 'platform' WHEN p_partkey % 10 < 4 THEN 'data-eng'
+    WHEN p_partkey % 10 < 6 THEN 'payments' WHEN p_partkey % 10 = 6 THEN 'search' WHEN p_partkey % 10 = 7 THEN '' END AS team,
+  CASE WHEN p_partkey % 10 < 7 THEN 'CC-' || CAST(p_partkey % 4 AS STRING) END AS center,
+  CASE p_partkey % 7 WHEN 0 THEN 'prod-eu' WHEN 1 THEN 'UAT' WHEN 2 THEN 'preprod' END AS stage,
+  CASE p_partkey % 17 WHEN 0 THEN 'Pulumi' WHEN 1 THEN 'ops' END AS tool,
+  CASE WHEN p_partkey % 23 = 0 THEN 'stack-' || CAST(p_partkey AS STRING) END AS stack
+FROM {{part}}"""
+
+_LINES = """
+SELECT *, substr(CAST(l_shipdate AS STRING), 1, 10) AS ship_day,
+  CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(0.02 AS DECIMAL(3,2)) AS listed,
+  CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(3,2)) AS paid_share,
+  l_linenumber = 7 AND l_returnflag = 'R' AS odd_type
+FROM {lineitem}"""
 
+# Lines carry tags except where the line number is 5; line number 4 names a shared team.
 BILLING_LINES = f"""
 SELECT
-  CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || substr(CAST(l_shipdate AS STRING), 1, 10) AS line_id,
+  CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || ship_day AS line_id,
   l_orderkey * 8 + l_linenumber AS line_seq,
   CAST(l_suppkey % 3 + 1 AS INT) AS user_id,
-  'INV-' || substr(CAST(l_shipdate AS STRING), 1, 7) || '-' || CAST(l_suppkey % 5 AS STRING) AS invoice_id,
-  CAST(date_trunc('month', l_shipdate) AS DATE) AS billing_period_start,
+  'INV-' || substr(ship_day, 1, 7) || '-' || CAST(l_suppkey % 5 AS STRING) AS invoice_id,
+  CAST(substr(ship_day, 1, 8) || '01' AS DATE) AS billing_period_start,
   last_day(CAST(l_shipdate AS DATE)) AS billing_period_end,
   l_shipdate AS charge_period_start,
   l_shipdate + INTERVAL 1 DAY AS charge_period_end,
-  CASE WHEN l_orderkey % 601 = 0 THEN NULL ELSE {SERVICE} END AS service_name,
-  CASE p_type WHEN 'ECONOMY' THEN 'Compute' WHEN 'LARGE' THEN 'Containers' WHEN 'MEDIUM' THEN 'Database'
-    WHEN 'PROMO' THEN 'Networking' WHEN 'SMALL' THEN 'Compute' ELSE 'Storage' END AS service_category,
-  CASE WHEN l_orderkey % 499 = 0 THEN NULL WHEN l_orderkey % 499 = 1 THEN '' ELSE {RESOURCE_ID} END AS resource_id,
-  {RESOURCE_NAME} AS resource_name,
+  CASE WHEN l_orderkey % 601 = 0 THEN NULL ELSE service END AS service_name,
+  category AS service_category,
+  CASE WHEN l_orderkey % 499 = 0 THEN NULL WHEN l_orderkey % 499 = 1 THEN '' ELSE rid END AS resource_id,
+  rname AS resource_name,
   CASE l_suppkey % 5 WHEN 0 THEN 'us-east-1' WHEN 1 THEN 'us-west-2' WHEN 2 THEN 'eu-west-1'
     WHEN 3 THEN 'eu-central-1' ELSE 'ap-south-1' END AS region,
   CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS availability_zone,
-  CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' AND l_suppkey % 4 = 0 THEN 'Credit'
-    WHEN l_linenumber = 7 AND l_returnflag = 'R' AND l_suppkey % 4 = 1 THEN 'RIFee'
-    WHEN l_linenumber = 7 AND l_returnflag = 'R' AND l_suppkey % 4 = 2 THEN 'SavingsPlanCoveredUsage'
-    WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'Tax'
+  CASE WHEN odd_type AND l_suppkey % 4 = 0 THEN 'Credit' WHEN odd_type AND l_suppkey % 4 = 1 THEN 'RIFee'
+    WHEN odd_type AND l_suppkey % 4 = 2 THEN 'SavingsPlanCoveredUsage' WHEN odd_type THEN 'Tax'
     WHEN l_linenumber = 6 AND l_returnflag = 'A' AND l_suppkey % 20 = 0 THEN 'SpotUsage'
     WHEN l_linenumber = 6 AND l_returnflag = 'A' AND l_suppkey % 20 = 1 THEN NULL
     ELSE 'Usage' END AS charge_type,
-  CASE p_partkey % 29 WHEN 0 THEN 'AWS Marketplace subscription' WHEN 1 THEN 'Spot instance hours'
-    WHEN 2 THEN 'NAT Gateway processing' WHEN 3 THEN NULL WHEN 4 THEN ''
-    ELSE 'Running hours of ' || p_brand END AS description,
+  part_text AS description,
   CAST(l_quantity AS DECIMAL(18,6)) AS quantity,
   'Hrs' AS unit,
-  CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DECIMAL(18,10)) AS unit_price,
-  CAST(CAST(CASE WHEN l_orderkey % 307 = 0 THEN 0
-    WHEN l_linenumber = 7 AND l_returnflag = 'R' AND l_suppkey % 4 = 0 THEN -1
-    WHEN l_orderkey % 311 = 0 THEN -1 ELSE 1 END AS DECIMAL(2,0))
-    * CAST(l_extendedprice AS DECIMAL(14,2)) * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(3,2)))
-    * CAST(0.02 AS DECIMAL(3,2)) AS DECIMAL(18,6)) AS billed_cost,
-  CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(0.02 AS DECIMAL(3,2)) AS DECIMAL(18,6)) AS list_cost,
-  CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(3,2)))
-    * CAST(0.02 AS DECIMAL(3,2)) AS DECIMAL(18,6)) AS effective_cost,
+  price AS unit_price,
+  CAST(CAST(CASE WHEN l_orderkey % 307 = 0 THEN 0 WHEN odd_type AND l_suppkey % 4 = 0 THEN -1
+    WHEN l_orderkey % 311 = 0 THEN -1 ELSE 1 END AS DECIMAL(2,0)) * listed * paid_share AS DECIMAL(18,6)) AS billed_cost,
+  CAST(listed AS DECIMAL(18,6)) AS list_cost,
+  CAST(listed * paid_share AS DECIMAL(18,6)) AS effective_cost,
   CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN 'Azure' ELSE 'AWS' END AS provider,
-  CASE WHEN {_TAGGED} THEN
-    CASE WHEN l_linenumber = 4 AND p_partkey % 10 < 6 THEN 'shared-services'
-      WHEN p_partkey % 10 < 2 THEN 'platform' WHEN p_partkey % 10 < 4 THEN 'data-eng'
-      WHEN p_partkey % 10 < 6 THEN 'payments' WHEN p_partkey % 10 = 6 THEN 'search'
-      WHEN p_partkey % 10 = 7 THEN '' END END AS tag_team,
-  CASE WHEN {_TAGGED} AND p_partkey % 10 < 7 THEN 'CC-' || CAST(p_partkey % 4 AS STRING) END AS tag_cost_center,
-  CASE WHEN {_TAGGED} AND p_partkey % 7 = 0 THEN 'prod-eu' WHEN {_TAGGED} AND p_partkey % 7 = 1 THEN 'UAT'
-    WHEN {_TAGGED} AND p_partkey % 7 = 2 THEN 'preprod' END AS tag_environment,
-  CASE WHEN {_TAGGED} AND p_partkey % 17 = 0 THEN 'Pulumi' WHEN {_TAGGED} AND p_partkey % 17 = 1 THEN 'ops' END AS tag_managed_by,
-  CASE WHEN {_TAGGED} AND p_partkey % 23 = 0 THEN 'stack-' || CAST(p_partkey AS STRING) END AS tag_stack
-FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
+  CASE WHEN l_linenumber = 5 THEN NULL WHEN l_linenumber = 4 AND p_partkey % 10 < 6 THEN 'shared-services' ELSE team END AS tag_team,
+  CASE WHEN l_linenumber <> 5 THEN center END AS tag_cost_center,
+  CASE WHEN l_linenumber <> 5 THEN stage END AS tag_environment,
+  CASE WHEN l_linenumber <> 5 THEN tool END AS tag_managed_by,
+  CASE WHEN l_linenumber <> 5 THEN stack END AS tag_stack
+FROM ({_LINES}) AS line_cells JOIN ({_PARTS}) AS part_cells ON l_partkey = p_partkey
 """
 
 # Tag column of the mapping to tag key.
