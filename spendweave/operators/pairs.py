@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from spendweave.functions.numbers import parse_period
 from spendweave.schemas import PAIR
 
+# A side's rows are keyed by resource and the current period of their pair.
+SIDE_KEY = ["resource_id", PAIR[1]]
 CARRIED = [
     "resource_name", "service_name", "service_category", "region", "team", "cost_center",
     "in_terraform_state", "terraform_module", "iac_source",
@@ -17,7 +19,10 @@ CARRIED = [
 
 
 def consecutive_pairs(periods: DataFrame) -> DataFrame:
-    """Each observed month with the next observed one. The list of months is bounded by the calendar."""
+    """Each observed month with the next observed one. The list of months is bounded by the calendar.
+
+    This and the other pair makers give every current period exactly one prior period.
+    """
     months = periods.agg(F.array_sort(F.collect_set("billing_period_start")).alias("m")).where(F.size("m") >= 2)
     earlier = F.expr("slice(m, 1, size(m) - 1)")
     later = F.expr("slice(m, 2, size(m) - 1)")
@@ -40,7 +45,7 @@ def last_year_pairs(pairs: DataFrame) -> DataFrame:
 def side(resources: DataFrame, pairs: DataFrame, role: str) -> DataFrame:
     """Resources of one side of every pair. Pairs are months, so broadcasting them is bounded."""
     return resources.join(F.broadcast(pairs), F.col("billing_period_start") == F.col(role)).select(
-        *PAIR, "resource_id", *CARRIED, "total_cost"
+        *SIDE_KEY, *CARRIED, "total_cost"
     )
 
 
@@ -51,15 +56,18 @@ def rolling_baseline(resources: DataFrame, pairs: DataFrame, months: int = 3) ->
     joined = spread.join(F.broadcast(pairs), F.col("_current") == F.col(PAIR[1]))
     latest = F.max_by(F.struct(*CARRIED), F.col("billing_period_start"))
     return (
-        joined.groupBy(*PAIR, "resource_id")
+        joined.groupBy(*SIDE_KEY)
         .agg(latest.alias("_a"), F.avg("total_cost").alias("total_cost"))
-        .select(*PAIR, "resource_id", "_a.*", "total_cost")
+        .select(*SIDE_KEY, "_a.*", "total_cost")
     )
 
 
-def variance_pairs(prior: DataFrame, current: DataFrame) -> DataFrame:
-    """Both sides of each (pair, resource) by full outer join, as structs ``p`` and ``c``."""
-    key = [*PAIR, "resource_id"]
-    left = prior.select(*key, F.struct(*CARRIED, "total_cost").alias("p"))
-    right = current.select(*key, F.struct(*CARRIED, "total_cost").alias("c"))
-    return left.join(right, key, "full_outer")
+def variance_pairs(prior: DataFrame, current: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Both sides of each (pair, resource) by full outer join, as structs ``p`` and ``c``.
+
+    A current period has one prior period, so resource and current period are key enough; what was
+    joined to a side on that key before needs no further shuffle here.
+    """
+    left = prior.select(*SIDE_KEY, F.struct(*[c for c in prior.columns if c not in SIDE_KEY]).alias("p"))
+    right = current.select(*SIDE_KEY, F.struct(*[c for c in current.columns if c not in SIDE_KEY]).alias("c"))
+    return left.join(right, SIDE_KEY, "full_outer").join(F.broadcast(pairs), PAIR[1])

@@ -9,6 +9,7 @@ from spendweave.functions import rules
 from spendweave.functions.numbers import days_in_month, percent, places
 from spendweave.operators.events import change_event_match
 from spendweave.operators.pairs import (
+    SIDE_KEY,
     consecutive_pairs,
     last_year_pairs,
     rolling_baseline,
@@ -52,18 +53,11 @@ def _ref(name: str) -> Column:
     return F.when(F.col("c").isNotNull(), F.col(f"c.{name}")).otherwise(F.col(f"p.{name}"))
 
 
-def classify_pairs(paired: DataFrame, signals: DataFrame, events: DataFrame) -> DataFrame:
-    """Adds reason, confidence and evidence to full-outer pairs.
-
-    ``signals`` are keyed by (resource, period), ``events`` by (resource, current period); both join
-    on the columns the pairs are already partitioned by.
-    """
-    own = signals.select(
-        "resource_id", F.col("billing_period_start").alias(PAIR[1]), "charge_types", "description", "other_tool"
+def classify_pairs(paired: DataFrame) -> DataFrame:
+    """Adds reason, confidence and evidence inputs to full-outer pairs whose sides carry their context."""
+    joined = variance_amounts(paired).select(
+        "*", "c.charge_types", "c.description", "c.other_tool", F.coalesce("c.event", "p.event").alias("event")
     )
-    key = ["resource_id", PAIR[1]]
-    joined = variance_amounts(paired).join(own, key, "left").join(events, key, "left")
-
     staged = joined.select(
         "*",
         F.coalesce(_ref("in_terraform_state"), F.lit(False)).alias("managed"),
@@ -142,22 +136,35 @@ def report(classified: DataFrame) -> DataFrame:
     )
 
 
-def paired_sides(silver: DataFrame, pairs: DataFrame, baseline: str = "prior_month") -> DataFrame:
-    """Full-outer pairs of the chosen baseline."""
+def paired_sides(
+    silver: DataFrame,
+    pairs: DataFrame,
+    baseline: str = "prior_month",
+    signals: DataFrame | None = None,
+    events: DataFrame | None = None,
+) -> DataFrame:
+    """Full-outer pairs of the chosen baseline.
+
+    ``signals`` (by resource and period) and ``events`` (by resource and current period) join the
+    sides before they meet, on the key the sides meet on, so the wide pairs are never shuffled.
+    """
     if baseline not in BASELINES:
         raise ValueError(f"baseline must be one of {BASELINES}, not {baseline!r}")
     if baseline == "same_month_last_year":
         pairs = last_year_pairs(pairs)
     current = side(silver, pairs, PAIR[1])
     prior = rolling_baseline(silver, pairs) if baseline == "rolling_3m" else side(silver, pairs, PAIR[0])
-    return variance_pairs(prior, current)
+    if signals is not None:
+        current = current.join(signals.withColumnRenamed("billing_period_start", PAIR[1]), SIDE_KEY, "left")
+    if events is not None:
+        current, prior = current.join(events, SIDE_KEY, "left"), prior.join(events, SIDE_KEY, "left")
+    return variance_pairs(prior, current, pairs)
 
 
 def classified_variance(
     lines: DataFrame, silver: DataFrame, events: DataFrame, pairs: DataFrame, baseline: str = "prior_month"
 ) -> DataFrame:
-    paired = paired_sides(silver, pairs, baseline)
-    return classify_pairs(paired, resource_signals(lines), change_event_match(events))
+    return classify_pairs(paired_sides(silver, pairs, baseline, resource_signals(lines), change_event_match(events)))
 
 
 def compute_variance(
