@@ -10,8 +10,10 @@ from spendweave.functions.numbers import percent, percent_or_zero, places
 from spendweave.operators.ranking import ranked
 from spendweave.plans.allocation import allocation_summary
 from spendweave.schemas import PAIR, RESOURCE_KEY
+from spendweave.sources.sinks import write_table
 
 PERIOD = "billing_period_start"
+CURRENT = PAIR[1]
 
 
 def stg_billing_lines(lines: DataFrame) -> DataFrame:
@@ -260,3 +262,26 @@ def variance_missing_resources(staged: DataFrame, variance: DataFrame) -> DataFr
 
 def no_negative_costs(staged: DataFrame) -> DataFrame:
     return staged.where("total_cost < 0").select(*RESOURCE_KEY, "total_cost")
+
+
+def publish(
+    lines: DataFrame, resources: DataFrame, variance: DataFrame, allocations: DataFrame, root: str
+) -> dict[str, str]:
+    """Materializes the models: staging as views, intermediate models and marts as tables below ``root``.
+
+    Run it after the variance report, which the marts read. Returns the path of each table.
+    """
+    staged_lines, staged = stg_billing_lines(lines), stg_resources(resources)
+    staged_lines.createOrReplaceTempView("stg_billing_lines")
+    staged.createOrReplaceTempView("stg_resources")
+    models = {
+        "int_invoice_totals": (int_invoice_totals(staged_lines, allocations), PERIOD),
+        "int_monthly_resource_spend": (int_monthly_resource_spend(staged), PERIOD),
+        "dim_resources": (dim_resources(staged), None),
+        "fct_variance_report": (fct_variance_report(variance, resources, allocations), CURRENT),
+    }
+    paths = {}
+    for name, (model, period) in models.items():
+        paths[name] = f"{root}/{name}"
+        write_table(model, paths[name], [period] if period else None)
+    return paths

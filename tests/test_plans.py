@@ -275,3 +275,15 @@ def test_fact_does_not_fan_out(spark):
     assert fact.count() == v.count()
     assert fact.where("team_key is not null").count() == 1
     assert fact.where("prior_period_key is null and current_period_key is not null").count() == v.count()
+
+
+def test_publish(spark, tmp_path):
+    bill = lines(spark, [line(1, "a", 10, JAN), line(2, "a", 20), line(3, "b", 5, charge_type="Credit")])
+    res = resources(spark, [managed("a", 10, JAN, team="x"), managed("a", 20, team="x"), resource("b", 5)])
+    v = compute_variance(bill, res, events(spark, []), consecutive_pairs(res))
+    args = (bill, res, v, allocation.allocate_lines(bill, res), str(tmp_path))
+    paths = marts.publish(*args)
+    assert marts.publish(*args) == paths
+    counts = {name: spark.read.parquet(path).count() for name, path in paths.items()}
+    assert counts == {"int_invoice_totals": 2, "int_monthly_resource_spend": 3, "dim_resources": 2, "fct_variance_report": 2}
+    assert spark.table("stg_billing_lines").count() == 2 and spark.table("stg_resources").count() == 3
