@@ -64,7 +64,9 @@ def plain(df: DataFrame) -> DataFrame:
 # -- billing exports ----------------------------------------------------------------------------------
 
 
-def _export(lines: DataFrame, headers: dict[str, str], skip: tuple[str, ...] = ()) -> DataFrame:
+def _export(
+    lines: DataFrame, headers: dict[str, str], skip: tuple[str, ...] = (), keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Lines under the headers of an export, all text; the first header of a column is used."""
     by_column: dict[str, str] = {}
     for header, column in headers.items():
@@ -74,7 +76,7 @@ def _export(lines: DataFrame, headers: dict[str, str], skip: tuple[str, ...] = (
         if column in lines.columns and column not in skip:
             value = F.to_json(column) if column == "tags" else F.col(column).cast("string")
             cells.append(value.alias(header))
-    return lines.select(*cells)
+    return lines.select(*keep, *cells)
 
 
 def _land_csv(export: DataFrame, purpose: str) -> str:
@@ -163,11 +165,7 @@ def coerce_lines(spark, sf):
 
 def _with_bad_cells(lines: DataFrame) -> DataFrame:
     """The export of the lines where tax lines carry an unreadable cost and spot lines unreadable dates."""
-    export = _export(lines.withColumn("keep_id", F.col("line_id")), codes.FOCUS_HEADERS)
-    named = lines.select("line_id", "line_seq", *[
-        (F.to_json("tags") if c == "tags" else F.col(c).cast("string")).alias(h)
-        for h, c in _first_headers().items() if h in export.columns
-    ])
+    named = _export(lines, codes.FOCUS_HEADERS, keep=("line_id", "line_seq"))
     tax, spot = F.col("ChargeType") == "Tax", F.col("ChargeType") == "SpotUsage"
     return (
         named.withColumn("BilledCost", F.when(tax, "12 USD").otherwise(F.col("BilledCost")))
@@ -177,14 +175,6 @@ def _with_bad_cells(lines: DataFrame) -> DataFrame:
     )
 
 
-def _first_headers() -> dict[str, str]:
-    seen: dict[str, str] = {}
-    for header, column in codes.FOCUS_HEADERS.items():
-        if column not in seen.values():
-            seen[header] = column
-    return seen
-
-
 def _redelivered(spark, sf):
     """Stored lines, and an export that repeats half a year of them and every tax line twice."""
     lines = t.billing_lines(spark, sf)
