@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendweave.llm import byte_bpe, exact_dedup, ngram_join, quality, sharding, token_files
+from spendweave.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality, sharding, token_files
 from spendweave.llm.common import table
 from spendweave.session import new_dir
 
@@ -35,6 +35,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, path))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_join": op2_ngram_join,
@@ -42,6 +46,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLES = {
