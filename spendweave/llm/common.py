@@ -28,6 +28,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of ``rows`` with one row per ``key`` of ``groups``, safe when a key holds a third of all rows.
 
@@ -72,14 +80,16 @@ def bloom_filter(hashes: DataFrame, column: str, blocks: int, least: int = 1) ->
 def maybe_in(df: DataFrame, column: str, bloom: DataFrame, blocks: int, flag: str) -> DataFrame:
     """Adds the boolean ``flag``: whether the filter may hold the hash in ``column`` (never a false no)."""
     block, bits = _cells(F.col(column), blocks)
+    place, held = fresh(df, "_block"), fresh(df, "_bitmap")
 
     def bit_set(bit: Column) -> Column:
-        byte = F.substring(F.col("_bitmap"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+        byte = F.substring(F.col(held), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
         return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
 
-    probe = F.broadcast(bloom.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap")))
-    found = df.withColumn("_block", block).join(probe, "_block", "left")
-    return found.withColumn(flag, F.col("_bitmap").isNotNull() & bit_set(bits[0]) & bit_set(bits[1])).drop("_block", "_bitmap")
+    probe = F.broadcast(bloom.select(F.col("block").alias(place), F.col("bitmap").alias(held)))
+    found = df.withColumn(place, block).join(probe, place, "left")
+    is_set = F.col(held).isNotNull() & bit_set(bits[0]) & bit_set(bits[1])
+    return found.select(*df.columns, F.coalesce(is_set, F.lit(False)).alias(flag))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -7,38 +7,39 @@ rows it lets more unique rows into the shuffle and the result stays exact.
 
 Defined results: a null text counts as the empty text; texts are equal when their UTF-8 bytes are. The row
 with the largest id stays; a null id is smaller than any other. Rows that share both text and the largest id
-are one document: marking gives all of them ``kept``, dropping leaves one. Other columns pass unchanged and
-may have any name but those that begin with an underscore. No rows in, no rows out.
+are one document: marking gives all of them ``kept``, dropping leaves one. Other columns pass unchanged,
+whatever their names. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendweave.llm.common import MAX_BLOCKS, attach, block_count, bloom_filter, maybe_in, stored
+from spendweave.llm.common import MAX_BLOCKS, attach, block_count, bloom_filter, fresh, maybe_in, stored
 
 
-def _flagged(docs: DataFrame, text_col: str, max_blocks: int) -> tuple[DataFrame, int]:
-    """``docs`` with ``_hash`` and ``_repeated`` (may occur twice), and the number of rows."""
+def _flagged(docs: DataFrame, text_col: str, max_blocks: int) -> tuple[DataFrame, str, int]:
+    """``docs`` with a flag column (may occur twice), its name, and the number of rows."""
     total = docs.count()
     blocks = block_count(total, most=max_blocks)
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    repeated = bloom_filter(hashed.select("_hash"), "_hash", blocks, least=2)
-    return maybe_in(hashed, "_hash", repeated, blocks, "_repeated"), total
+    hashed, flag = fresh(docs, "_hash"), fresh(docs, "_repeated")
+    rows = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    repeated = bloom_filter(rows.select(hashed), hashed, blocks, least=2)
+    return maybe_in(rows, hashed, repeated, blocks, flag).drop(hashed), flag, total
 
 
-def _sha(text_col: str):
+def _sha(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """One row per input row: the id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
-    flagged, total = _flagged(docs.select(id_col, text_col), text_col, max_blocks)
-    rows = stored(flagged.select(F.col(id_col), _sha(text_col).alias("text_sha256"), "_repeated"), "exact-rows")
-    unique = rows.where("not _repeated").select(
+    flagged, flag, total = _flagged(docs.select(id_col, text_col), text_col, max_blocks)
+    rows = stored(flagged.select(F.col(id_col), _sha(text_col).alias("text_sha256"), F.col(flag).alias("repeated")), "exact-rows")
+    unique = rows.where("not repeated").select(
         id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = rows.where("_repeated").select(id_col, "text_sha256")
+    again = rows.where("repeated").select(id_col, "text_sha256")
     groups = again.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     marked = attach(again, groups, "text_sha256", "group_size", total)
     return unique.unionByName(marked.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))))
@@ -46,9 +47,10 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The rows that stay, with the columns of ``docs``. Only possibly repeated rows shuffle."""
-    flagged, total = _flagged(docs, text_col, max_blocks)
-    unique = flagged.where("not _repeated").select(*docs.columns)
-    again = stored(flagged.where("_repeated").withColumn("_sha", _sha(text_col)).drop("_hash", "_repeated"), "exact-repeated")
-    groups = again.groupBy("_sha").agg(F.max(id_col).alias("_keep"), F.count(F.lit(1)).alias("_rows"))
-    kept = attach(again, groups, "_sha", "_rows", total).where(F.col(id_col).eqNullSafe(F.col("_keep")))
-    return unique.unionByName(kept.dropDuplicates([id_col, "_sha"]).select(*docs.columns))
+    flagged, flag, total = _flagged(docs, text_col, max_blocks)
+    sha, keep, size = fresh(docs, "_sha"), fresh(docs, "_keep"), fresh(docs, "_size")
+    unique = flagged.where(~F.col(flag)).select(*docs.columns)
+    again = stored(flagged.where(F.col(flag)).withColumn(sha, _sha(text_col)).drop(flag), "exact-repeated")
+    groups = again.groupBy(sha).agg(F.max(id_col).alias(keep), F.count(F.lit(1)).alias(size))
+    kept = attach(again, groups, sha, size, total).where(F.col(id_col).eqNullSafe(F.col(keep)))
+    return unique.unionByName(kept.dropDuplicates([id_col, sha]).select(*docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendweave.llm.common import HOT_SHARE, stored
+from spendweave.llm.common import HOT_SHARE, fresh, stored
 from spendweave.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -141,7 +141,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as it takes them, with their columns. Rows that repeat an id count alike."""
+    key, copies, copy = fresh(docs, "_key"), fresh(docs, "_copies"), fresh(docs, "_copy")
     found = mix(docs, id_col, text_col, source_col, **options).where("copies <> 1")
-    changed = found.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    placed = docs.join(changed, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return placed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    changed = found.groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(copies))
+    placed = docs.join(changed, F.col(id_col).eqNullSafe(F.col(key)), "left").withColumn(copies, F.coalesce(F.col(copies), F.lit(1)))
+    return placed.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

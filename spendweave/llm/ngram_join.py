@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendweave.llm.common import attach, block_count, bloom_filter, connected_components, maybe_in, stored
+from spendweave.llm.common import attach, block_count, bloom_filter, connected_components, fresh, maybe_in, stored
 from spendweave.llm.kernels import LOWER, chunks, mix, shingles, text_bytes, token_hashes
 
 WORDS = 5
@@ -294,9 +294,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without a link pass straight through; the ids to drop meet the rows by a Bloom filter first.
     """
     found = jaccard_components(docs, id_col, text_col)
-    dropped = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("_drop")).distinct(), "near-copies")
+    drop, hashed, flag = fresh(docs, "_drop"), fresh(docs, "_hash"), fresh(docs, "_maybe")
+    own = F.col(id_col).cast("long")
+    dropped = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(drop)).distinct(), "near-copies")
     blocks = block_count(dropped.count())
-    bloom = bloom_filter(dropped.select(F.xxhash64("_drop").alias("h")), "h", blocks)
-    flagged = maybe_in(docs.withColumn("_h", F.xxhash64(F.col(id_col).cast("long"))), "_h", bloom, blocks, "_maybe").withColumn("_maybe", F.coalesce("_maybe", F.lit(False)))
-    tested = flagged.where("_maybe").join(dropped, F.col(id_col).cast("long") == F.col("_drop"), "left_anti")
-    return flagged.where("not _maybe").select(*docs.columns).unionByName(tested.select(*docs.columns))
+    bloom = bloom_filter(dropped.select(F.xxhash64(drop).alias(hashed)), hashed, blocks)
+    flagged = maybe_in(docs.withColumn(hashed, F.xxhash64(own)), hashed, bloom, blocks, flag)
+    tested = flagged.where(F.col(flag)).join(dropped, own == F.col(drop), "left_anti")
+    return flagged.where(~F.col(flag)).select(*docs.columns).unionByName(tested.select(*docs.columns))

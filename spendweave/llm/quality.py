@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendweave.llm.common import stored
+from spendweave.llm.common import fresh, stored
 from spendweave.llm.kernels import SEPARATOR, chunks, mix, text_bytes, token_hashes
 
 HASH_BITS = 18
@@ -152,5 +152,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows predicted 1, with the columns of ``docs``."""
-    scored = score(docs, train(docs, labels, id_col, text_col), text_col, "_score")
-    return scored.where(F.col("_score") >= threshold).drop("_score")
+    name = fresh(docs, "_score")
+    return score(docs, train(docs, labels, id_col, text_col), text_col, name).where(F.col(name) >= threshold).drop(name)
