@@ -1,12 +1,15 @@
 """Texts as blocks of word codes, and the shuffle of distinct words that gives every word a value once.
 
 A block is some megabytes of whole texts: its distinct words, and for every text the positions of those
-words as codes into that list. Only distinct words of blocks are shuffled, never single occurrences, and
-the values join back to their blocks, where the positions put them in order again.
-"""
+words as codes into that list. The words of a block are dealt into buckets by their hash and sorted there,
+so a bucket's words go as one value and need no numbers. Only distinct words of blocks are shuffled, never
+single occurrences. What a bucket finds for its words goes back to their blocks in the same order, where
+the codes put it in the order of the texts again. """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,45 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendweave.llm.common import stored
-
-#: Bytes of text in a block. A longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
-
-
-def groups_of(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most so many bytes of text, or one row. Null texts become empty."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        text = batch.column(column).fill_null("")
-        batch = batch.set_column(column, batch.schema.field(column), text)
-        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
-        at, used = 0, 0
-        while at < len(ends):
-            to = max(at + 1, int(np.searchsorted(ends, used + most, side="right")))
-            yield batch.slice(at, to - at)
-            at, used = to, int(ends[to - 1])
-
-
-def merged_groups(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Like ``groups_of``, with small neighbours put together."""
-    held, size = [], 0
-    for group in groups_of(batches, column, most):
-        own = int(pc.sum(pc.binary_length(group.column(column))).as_py() or 0)
-        if held and size + own > most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-        held.append(group)
-        size += own
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+from spendweave.llm.kernels import merged_groups, string_hashes
+
+#: Buckets grow with the rows, so that the distinct words of one fit in a task.
+LEAST_BUCKETS = 48
+ROWS_PER_BUCKET = 200_000
+#: A byte that no UTF-8 text has.
+BETWEEN = b"\xff"
 
 
 def pack(codes: np.ndarray) -> bytes:
     """Numbers of 32 bits, their bytes apart by rank, as zstd."""
     planes = np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+    return pa.Codec("zstd", 6).compress(planes.tobytes(), asbytes=True)
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
@@ -85,36 +62,86 @@ def lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return ascii_words(pc.ascii_lower(texts))
 
 
-def to_blocks(docs: DataFrame, id_col: str, text_col: str, split: Callable, purpose: str) -> DataFrame:
-    """A stored table with a row for each block: block, ids, counts (words by text), words, codes, flags."""
-    id_type = docs.schema[id_col].dataType
+def words_of(blob: bytes, size: int) -> list[bytes]:
+    """The words of a bucket of a block, from their zstd value and its unpacked size."""
+    return pa.Codec("zstd").decompress(blob, size, asbytes=True).split(BETWEEN)
+
+
+def to_blocks(docs: DataFrame, id_col: str, text_col: str, split: Callable, marked: Callable | None = None) -> DataFrame:
+    """A row for each block: block, ids, counts (words by text), n_codes, codes, mark, words.
+
+    The rows are read more than once. Either store them, or let ``docs`` be a table of files, whose rows come in
+    the same order each time; ``mark`` is a checksum of a block's words by which ``with_values`` users can tell.
+    ``words`` has (bucket, n, size, words, marks) for each bucket with words. With ``marked`` (a function of the
+    ids) ``marks`` counts each word's occurrences in marked texts.
+    """
+    buckets = max(LEAST_BUCKETS, math.ceil(docs.count() / ROWS_PER_BUCKET))
+    words_type = T.ArrayType(T.StructType([
+        T.StructField("bucket", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("size", T.LongType()),
+        T.StructField("words", T.BinaryType()), T.StructField("marks", T.BinaryType())]))
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
-        T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("n_codes", T.LongType()), T.StructField("codes", T.BinaryType())])
+        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
+        T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("n_codes", T.LongType()),
+        T.StructField("codes", T.BinaryType()), T.StructField("mark", T.LongType()), T.StructField("words", words_type)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for k, group in enumerate(merged_groups(batches, 1)):
             words, counts, order = split(group.column(1))
             coded = words.dictionary_encode()
             ids = group.column(0).take(pa.array(order))
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            found = coded.dictionary.to_pylist()
+            bucket = (string_hashes(coded.dictionary) % np.uint64(buckets)).astype(np.int64) if found else np.zeros(0, np.int64)
+            alphabetic = pc.sort_indices(coded.dictionary).to_numpy()
+            place = alphabetic[np.argsort(bucket[alphabetic], kind="stable")]
+            new = np.empty(len(place), np.int32)
+            new[place] = np.arange(len(place))
+            codes = new[coded.indices.to_numpy(zero_copy_only=False)] if found else np.zeros(0, np.int32)
+            # frequent words get small numbers in the stored codes, which compress better
+            uses = np.bincount(codes, minlength=len(place))
+            by_use = np.argsort(-uses, kind="stable")
+            rank = np.empty(len(place), np.int32)
+            rank[by_use] = np.arange(len(place))
+            marks = None
+            if marked is not None:
+                marks = np.bincount(codes, weights=np.repeat(marked(ids), counts), minlength=len(place)).astype(np.int32)
+            cuts = np.searchsorted(bucket[place], np.arange(buckets + 1)).tolist()
+            dealt, mark = [], 0
+            for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if j > i:
+                    blob = BETWEEN.join([found[w].encode() for w in place[i:j]])
+                    mark = zlib.crc32(blob, mark)
+                    dealt.append({"bucket": b, "n": j - i, "size": len(blob), "words": pa.Codec("zstd", 6).compress(blob, asbytes=True),
+                                  "marks": None if marks is None else pack(marks[i:j])})
+            kind = pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), ("words", pa.binary()), ("marks", pa.binary())])
+            data = np.concatenate([rank[codes], by_use.astype(np.int32)]) if found else codes
             yield pa.RecordBatch.from_arrays([
-                pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()), one(ids),
-                one(pa.array(counts.astype(np.int32))), one(coded.dictionary), pa.array([len(codes)], pa.int64()),
-                pa.array([pack(codes)], pa.binary())], names=["block", "ids", "counts", "words", "n_codes", "codes"])
+                pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()), one(ids), one(pa.array(counts.astype(np.int32))),
+                pa.array([len(codes)], pa.int64()), pa.array([_joined(data, len(codes))], pa.binary()), pa.array([mark], pa.int64()), one(pa.array(dealt, kind))],
+                names=["block", "ids", "counts", "n_codes", "codes", "mark", "words"])
+
+    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+
+
+def _joined(data: np.ndarray, n: int) -> bytes:
+    codes, by_use = pack(data[:n]), pack(data[n:])
+    return np.array([len(codes), len(data) - n], "<i8").tobytes() + codes + by_use
+
 
-    return stored(docs.select(id_col, text_col).mapInArrow(cut, schema), purpose)
+def codes_of(blob: bytes, n: int) -> np.ndarray:
+    """Each word's number among the words of its block in order of bucket."""
+    cut, words = np.frombuffer(blob, "<i8", 2).tolist()
+    ranks, by_use = unpack(blob[16:16 + cut], n), unpack(blob[16 + cut:], words)
+    return by_use[ranks]
 
 
-def words_of(blocks: DataFrame) -> DataFrame:
-    """(block, pos, word): the distinct words of every block."""
-    return blocks.select("block", F.posexplode("words").alias("pos", "word"))
+def bucket_words(blocks: DataFrame) -> DataFrame:
+    """(bucket, block, mark, n, size, words, marks): what each bucket gets of each block."""
+    return blocks.select("block", "mark", F.explode("words").alias("w")).select("w.bucket", "block", "mark", "w.n", "w.size", "w.words", "w.marks")
 
 
 def with_values(blocks: DataFrame, valued: DataFrame) -> DataFrame:
-    """Blocks with ``found``: their words' (pos, value...) from ``valued`` (word, value...), in any order."""
-    names = [c for c in valued.columns if c != "word"]
-    back = words_of(blocks).join(valued, "word").groupBy("block").agg(F.collect_list(F.struct("pos", *names)).alias("found"))
-    return blocks.select("block", "ids", "counts", "n_codes", "codes").join(back, "block", "left")
+    """Blocks with ``found``: the rows of ``valued`` (bucket, block, ...) of a block in order of bucket."""
+    names = [c for c in valued.columns if c not in ("bucket", "block")]
+    back = valued.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", *names))).alias("found"))
+    return blocks.select("block", "mark", "ids", "counts", "n_codes", "codes").join(back, "block", "left")

@@ -5,6 +5,9 @@ space before it if there is one, or white space itself, so no match of the split
 Every distinct unit of the corpus is encoded once, its ids join back to the blocks, and the positions put
 them in order. Decoding joins the token-byte table, which is as large as the vocabulary and broadcast.
 
+``docs`` must be a table of files (or stored first), as its rows are read twice and must come in the same
+order; a checksum of each block tells if they did not.
+
 Defined results: a null or empty text has no ids. Rows are encoded one by one, whatever ids repeat; a null
 id stays null. Decoding an unknown id raises. An empty table gives no rows.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendweave.llm.blocks import ragged, to_blocks, unpack, with_values, words_of
+from spendweave.llm.blocks import bucket_words, codes_of, pack, ragged, to_blocks, unpack, with_values, words_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Unicode's White_Space, as the split pattern's \s has it.
@@ -62,15 +65,29 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
            pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(id, tokens): tokens as little-endian unsigned 32-bit numbers in one binary value."""
     vocabulary = _shared_file(docs.sparkSession, ranks)
-    blocks = to_blocks(docs, id_col, text_col, units, "bpe-blocks")
+    blocks = to_blocks(docs, id_col, text_col, units)  # cut twice: codes on disk would cost more than cutting again
 
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode_words(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_read_ranks(vocabulary.value), special_tokens={})
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            found = [np.array(bpe.encode_ordinary(w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["word", "tokens"])
-
-    coded = words_of(blocks).select("word").distinct().mapInArrow(encode_words, "word string, tokens binary")
+            rows = batch.select(["bucket", "block", "mark", "words", "size"]).to_pylist()
+            for row in rows:
+                found = []
+                for word in words_of(row["words"], row["size"]):
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = bpe.encode_ordinary(word.decode())
+                    found.append(ids)
+                flat = np.array([i for ids in found for i in ids], np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["bucket"]], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([row["mark"]], pa.int64()), pa.array([len(found)], pa.int32()),
+                    pa.array([pack(np.array([len(ids) for ids in found], np.int32))], pa.binary()),
+                    pa.array([len(flat)], pa.int64()), pa.array([pack(flat)], pa.binary())],
+                    names=["bucket", "block", "mark", "n", "lengths", "n_tokens", "tokens"])
+
+    coded = bucket_words(blocks).groupBy("bucket").applyInArrow(
+        encode_words, "bucket int, block long, mark long, n int, lengths binary, n_tokens long, tokens binary")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("tokens", T.BinaryType())])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +97,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 counts = row["counts"].values.to_numpy(zero_copy_only=False)
                 n = row["n_codes"].as_py()
                 if n:
-                    pairs = row["found"].values
-                    pos = pairs.field("pos").to_numpy(zero_copy_only=False)
-                    tokens = pairs.field("tokens").take(pa.array(np.argsort(pos)))
-                    lengths = pc.binary_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-                    flat = np.frombuffer(b"".join(tokens.to_pylist()), "<u4")
-                    codes = unpack(row["codes"].as_py(), n)
+                    found = row["found"].as_py()
+                    if any(f["mark"] != batch.column("mark")[k].as_py() for f in found):
+                        raise RuntimeError("the rows came in another order the second time; store the table before encoding it")
+                    lengths = np.concatenate([unpack(f["lengths"], f["n"]) for f in found]).astype(np.int64)
+                    flat = np.concatenate([unpack(f["tokens"], f["n_tokens"]) for f in found]).astype("<u4")
+                    codes = codes_of(row["codes"].as_py(), n)
                     per_code = lengths[codes]
                     out = ragged(flat, (np.cumsum(lengths) - lengths)[codes], per_code)
                     before = np.concatenate(([0], np.cumsum(per_code)))

@@ -1,4 +1,4 @@
-"""Hashes of all words of a chunk of texts at once, on the bytes of an Arrow string column."""
+"""Slices of Arrow batches by bytes of text, and hashes of all words of a slice at once."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from spendweave.llm.blocks import groups_of
-
+#: Bytes of text in a block (``blocks.py``). A longer text is a block of its own.
+BLOCK_BYTES = 6 << 20
 #: Bytes of text that one call works on; its arrays take about 60 bytes a byte of text.
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -46,6 +47,35 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most so many bytes of text, or one row. Null texts become empty."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        text = batch.column(column).fill_null("")
+        batch = batch.set_column(column, batch.schema.field(column), text)
+        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, used = 0, 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, used + most, side="right")))
+            yield batch.slice(at, to - at)
+            at, used = to, int(ends[to - 1])
+
+
+def merged_groups(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Like ``groups_of``, with small neighbours put together."""
+    held, size = [], 0
+    for group in groups_of(batches, column, most):
+        own = int(pc.sum(pc.binary_length(group.column(column))).as_py() or 0)
+        if held and size + own > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(group)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     return groups_of(batches, column, CHUNK_BYTES)
 
@@ -77,6 +107,15 @@ def token_hashes(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray | None
     return hashes, np.searchsorted(starts, bounds)
 
 
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of whole strings."""
+    data, bounds = text_bytes(strings)
+    power, inverse = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
+    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) * inverse[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all word sequences of ``size`` words, and where texts begin; a shorter text is one sequence, an empty one none."""
     counts = np.diff(bounds)

@@ -26,10 +26,12 @@ from pyspark.sql import types as T
 from spendweave.llm.common import fresh, stored
 from spendweave.llm.kernels import SEPARATOR, chunks, mix, text_bytes, token_hashes
 
-HASH_BITS = 18
+HASH_BITS = 17
 SAMPLE_ROWS = 20_000
 SHARDS = 8
 PASSES = 8
+#: Parts in which a state of weights is averaged.
+SLICES = 16
 THRESHOLD = 0.3
 #: FTRL: learning rate, its smoothing, and the L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 5.0, 1.0, 0.02, 0.001
@@ -94,31 +96,62 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where(~held_out(F.col("_id")) & F.col("_label").isin(0, 1))
         .orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_rows))
     sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
-    sample = stored(sample.withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SHARDS)).cast("int")).repartition(SHARDS, "_shard"), "quality-sample")
-    schema = "shard int, z binary, n binary"
+    sample = sample.withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SHARDS)).cast("int"))
+
+    def to_features(table: pa.Table) -> pa.Table:
+        order = table.sort_by([("_id", "ascending"), ("_text", "ascending"), ("_label", "ascending")])
+        rows = []
+        for batch in chunks(order.to_batches(), order.schema.get_field_index("_text")):
+            numbers, first = features(batch.column("_text"))
+            rows += [_row(numbers[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        return pa.table({
+            "shard": pa.array([order.column("_shard")[0].as_py()], pa.int32()), "labels": pa.array([order.column("_label").to_pylist()], pa.list_(pa.int32())),
+            "numbers": pa.array([[r[0].astype("<i4").tobytes() for r in rows]], pa.list_(pa.binary())),
+            "amounts": pa.array([[r[1].astype("<f4").tobytes() for r in rows]], pa.list_(pa.binary()))})
+
+    shards = stored(sample.groupBy("_shard").applyInArrow(
+        to_features, "shard int, labels array<int>, numbers array<binary>, amounts array<binary>"), "quality-sample")
     z, n = np.zeros(SIZE), np.zeros(SIZE)
     context = docs.sparkSession.sparkContext
     for _ in range(passes):
         state = context.broadcast((z, n))
 
-        def one_pass(table: pa.Table) -> pa.Table:
-            order = table.sort_by([("_id", "ascending"), ("_text", "ascending"), ("_label", "ascending")])
-            rows = []
-            for batch in chunks(order.to_batches(), order.schema.get_field_index("_text")):
-                numbers, first = features(batch.column("_text"))
-                rows += [(*_row(numbers[a:b]), y) for a, b, y in zip(first[:-1], first[1:], batch.column("_label").to_pylist(), strict=True)]
-            own = [a.copy() for a in state.value]
-            _ftrl([rows[i] for i in np.random.default_rng(0).permutation(len(rows))], *own)
-            return pa.table({"shard": pa.array([order.column("_shard")[0].as_py()], pa.int32()), "z": [own[0].tobytes()], "n": [own[1].tobytes()]})
-
-        states = sample.groupBy("_shard").applyInArrow(one_pass, schema).orderBy("shard").collect()  # SHARDS rows of a fixed size
-        if not states:
+        def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    examples = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float), y)
+                                for i, v, y in zip(row["numbers"], row["amounts"], row["labels"], strict=True)]
+                    own = [a.copy() for a in state.value]
+                    _ftrl([examples[i] for i in np.random.default_rng(row["shard"]).permutation(len(examples))], *own)
+                    parts = [[_small(x) for x in np.array_split(a, SLICES)] for a in own]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(np.full(SLICES, row["shard"], np.int32)),
+                        pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], names=["slice", "shard", "z", "n"])
+
+        def average(table: pa.Table) -> pa.Table:
+            order = table.sort_by("shard")
+            z, n = (np.mean([_large(v) for v in order.column(c).to_pylist()], axis=0) for c in ("z", "n"))
+            return pa.table({"slice": order.column("slice")[:1], "z": pa.array([_small(z)], pa.binary()), "n": pa.array([_small(n)], pa.binary())})
+
+        states = shards.mapInArrow(one_pass, "slice int, shard int, z binary, n binary")
+        means = sorted(states.groupBy("slice").applyInArrow(average, "slice int, z binary, n binary").collect())  # one state of a fixed size
+        state.destroy()
+        if not means:
             break
-        z, n = (np.mean([np.frombuffer(r[k]) for r in states], axis=0) for k in ("z", "n"))
-        state.unpersist()
+        z, n = (np.concatenate([_large(r[c]) for r in means]) for c in ("z", "n"))
     return _weights(z, n)
 
 
+def _small(values: np.ndarray) -> bytes:
+    """32-bit floats as zstd, after their size."""
+    data = values.astype("<f4").tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def _large(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little")), "<f4").astype(float)
+
+
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendweave.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality, sharding, token_files
+from spendweave.llm import byte_bpe, exact_dedup, lattice_lm, mixing, ngram_join, quality, sharding, token_files, vector_join
 from spendweave.llm.common import table
 from spendweave.session import new_dir
 
@@ -39,6 +39,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_join": op2_ngram_join,
@@ -47,6 +55,8 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
+    "op8_vector_join": op8_vector_join,
+    "op10_lattice_lm": op10_lattice_lm,
 }
 
 ORACLES = {
@@ -70,6 +80,19 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op8_vector_join": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND list_dot_product(embedding, embedding) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        components AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM components LEFT JOIN counts USING (vec_id)""",
     "op5_sharding": f"""
         WITH rows AS (
             SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,

@@ -21,19 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from spendweave.llm.blocks import ascii_words, merged_groups, ragged
+from spendweave.llm.blocks import ascii_words, ragged
+from spendweave.llm.kernels import merged_groups
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
+#: The split pattern always cuts between a letter and an ASCII mark after it; then fewer words differ.
+LETTER_THEN_MARK = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([!-/:-@\[-`{-~])"
 #: Words whose ids a worker keeps from one group of texts to the next.
 KEPT_WORDS = 300_000
 
@@ -47,8 +51,14 @@ class _Words:
         self.kept: dict[str, bytes] = {}
 
     def ids(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.kept]
         found: dict[str, bytes] = {}
+        new = []
+        for w in words:
+            if w not in self.kept:
+                if w.isascii() and w.isalpha():  # neither normalised nor split
+                    found[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w)], "<i4").tobytes()
+                else:
+                    new.append(w)
         if new:
             coded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in new[:-1]])
@@ -56,7 +66,7 @@ class _Words:
             first = np.array([a for a, _ in coded.offsets], np.int64)
             cuts = np.searchsorted(first, starts).tolist() + [len(flat)]
             data = flat.tobytes()
-            found = {w: data[4 * a:4 * b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
+            found.update({w: data[4 * a:4 * b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)})
         out = [self.kept.get(w) if w in self.kept else found[w] for w in words]
         if len(self.kept) < KEPT_WORDS:
             self.kept.update(found)
@@ -76,7 +86,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         words_by_id = _Words(vocabulary.value)
         part, offset = TaskContext.get().partitionId(), 0
         for group in merged_groups(batches, 1):
-            words, counts, _ = ascii_words(group.column(1))
+            texts = pc.replace_substring_regex(pc.ascii_lower(group.column(1)), LETTER_THEN_MARK, r"\1 \2")
+            words, counts, _ = ascii_words(texts)
             coded = words.dictionary_encode()
             found = words_by_id.ids(coded.dictionary.to_pylist()) + [np.array([end_id], "<i4").tobytes()]
             lengths = np.array([len(b) // 4 for b in found], np.int64)
