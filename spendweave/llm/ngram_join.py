@@ -8,7 +8,7 @@ product of each column gives pairs, which the bounds discard when the sizes or t
 column leave too little overlap. What is left is counted exactly on all shingles of both texts.
 
 Only components are asked for, so no column multiplies all its rows at once. In each of ``PIVOT_ROUNDS``
-rounds a column pairs its rows with one of them, and columns whose rows have become one component are done.
+rounds a column pairs its rows with one of them (first that which shares most), and columns whose rows have become one component are done.
 The last round pairs the rows of the other columns across components, except with the earlier pivots, so no
 possible link is left out, while a group of copies costs as many pairs as it has rows.
 
@@ -33,8 +33,8 @@ from spendweave.llm.kernels import LOWER, chunks, mix, shingles, text_bytes, tok
 WORDS = 5
 #: Two documents link when 100 * overlap >= PERCENT * union.
 PERCENT = 80
-#: The sketch counts shingles by the first bits of their hash: 4 MB.
-SKETCH_BITS = 20
+#: The sketch counts shingles by the first bits of their hash; its logarithms take 8 MB.
+SKETCH_BITS = 22
 _SKETCH_PARTS = 16
 #: Shingles in a block of columns, about.
 BLOCK_SHINGLES = 1 << 19
@@ -52,7 +52,7 @@ def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
 
 
 def _sketch(docs: DataFrame) -> np.ndarray:
-    """How often each of ``2**SKETCH_BITS`` hash prefixes occurs in the shingles of all texts."""
+    """How often each of ``2**SKETCH_BITS`` hash prefixes occurs in the shingles of all texts, as 1000 * log2(1 + n)."""
     cells, part = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // _SKETCH_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +76,11 @@ def _sketch(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for c in batch.column("counts").to_pylist():
                 total += np.frombuffer(pa.Codec("zstd").decompress(c, 8 * part), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.round(1000 * np.log2(1 + total)).astype(np.uint16).tobytes()], pa.binary())], names=["part", "counts"])
 
-    out = np.zeros(cells, np.int64)
+    out = np.zeros(cells, np.uint16)
     for row in docs.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        out[row["part"] * part:(row["part"] + 1) * part] = np.frombuffer(row["counts"], np.int64)  # _SKETCH_PARTS rows
+        out[row["part"] * part:(row["part"] + 1) * part] = np.frombuffer(row["counts"], np.uint16)  # _SKETCH_PARTS rows
     return out
 
 
@@ -111,7 +111,7 @@ def _signatures(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return stored(docs.mapInArrow(rows, f"id {id_type}, n bigint, signature binary, columns binary"), "shingle-sets")
 
 
-_COLUMNS = "block int, column long, node long, n int, place int"
+_COLUMNS = "block int, column long, node long, n int, place int, rows long"
 
 
 def _fits(n1: np.ndarray, n2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -122,7 +122,10 @@ def _fits(n1: np.ndarray, n2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
 
 
 def _shared_columns(classes: DataFrame, blocks: int) -> DataFrame:
-    """Stored (block, column, node, n, place) rows of the columns with several rows; dealt as whole arrays by block."""
+    """Stored (block, column, node, n, place, weight) rows of the columns with several rows; dealt as whole arrays by block.
+
+    A node's weight is the number of rows in its columns: large for a text whose shingles many others have.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,38 +151,45 @@ def _shared_columns(classes: DataFrame, blocks: int) -> DataFrame:
             for name, kind in (("column", np.uint64), ("node", np.int64), ("n", np.int32), ("place", np.int32)))
         order = np.argsort(column, kind="stable")
         same = np.diff(column[order]) == 0
+        edges = np.append(np.flatnonzero(np.concatenate(([True], ~same))), len(order))
+        rows = np.empty(len(order), np.int64)
+        rows[order] = np.repeat(np.diff(edges), np.diff(edges))
         several = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
         if len(several):
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(several), key[0].as_py(), np.int32)), pa.array(column[several].view(np.int64)),
-                pa.array(node[several]), pa.array(n[several]), pa.array(place[several])], names=["block", "column", "node", "n", "place"])
+                pa.array(node[several]), pa.array(n[several]), pa.array(place[several]), pa.array(rows[several])],
+                names=["block", "column", "node", "n", "place", "rows"])
 
     parts = classes.mapInArrow(deal, "block int, column binary, node binary, n binary, place binary")
-    return stored(parts.groupBy("block").applyInArrow(multiply, _COLUMNS), "shared-columns")
+    columns = stored(parts.groupBy("block").applyInArrow(multiply, _COLUMNS), "shared-columns")
+    return stored(columns.join(columns.groupBy("node").agg(F.sum("rows").alias("weight")), "node"), "weighted-columns")
 
 
 def _pairs(columns: DataFrame, round_: int, last: bool) -> DataFrame:
     """Distinct (a, b) pairs that the bounds allow, of columns that span several components; ``columns`` has ``component``."""
 
-    def first_of(node: np.ndarray, column: np.ndarray, k: int) -> np.ndarray:
-        """Rows in order of column and then of round k's pivots."""
+    def first_of(node: np.ndarray, column: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+        """Rows in order of column and then of round k's pivots: the heaviest, then by chance."""
+        if k == 0:
+            return np.lexsort((node, -weight, column))
         return np.lexsort((node, mix(node.view(np.uint64) + np.uint64(977 * (k + 1))), column))
 
     def multiply(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches([b for b in batches if b.num_rows])
-        column, node, n, place, component = (held.column(c).to_numpy() for c in ("column", "node", "n", "place", "component"))
+        column, node, n, place, component, weight = (held.column(c).to_numpy() for c in ("column", "node", "n", "place", "component", "weight"))
         n, place = n.astype(np.int64), place.astype(np.int64)
         order = np.argsort(column, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], np.diff(column[order]) != 0)))
         low, high = np.minimum.reduceat(component[order], starts), np.maximum.reduceat(component[order], starts)
         open_ = np.empty(len(order), bool)
         open_[order] = np.repeat(low != high, np.diff(np.append(starts, len(order))))
-        column, node, n, place, component = (x[open_] for x in (column, node, n, place, component))
+        column, node, n, place, component, weight = (x[open_] for x in (column, node, n, place, component, weight))
         if not len(column):
             return
         pivots = []
         for k in range(PIVOT_ROUNDS if last else round_ + 1):
-            order = first_of(node, column, k)
+            order = first_of(node, column, weight, k)
             starts = np.flatnonzero(np.concatenate(([True], np.diff(column[order]) != 0)))
             pivot = np.empty(len(order), np.int64)
             pivot[order] = np.repeat(order[starts], np.diff(np.append(starts, len(order))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendweave.llm import byte_bpe, exact_dedup, lattice_lm, mixing, ngram_join, quality, sharding, token_files, vector_join
+from spendweave.llm import byte_bpe, exact_dedup, html_extract, lattice_lm, mixing, ngram_join, quality, sharding, token_files, vector_join
 from spendweave.llm.common import table
 from spendweave.session import new_dir
 
@@ -43,6 +43,10 @@ def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_vector_join": op8_vector_join,
+    "op9_html_extract": op9_html_extract,
     "op10_lattice_lm": op10_lattice_lm,
 }
 
