@@ -37,6 +37,8 @@ UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 ODD = (r"[\x00\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
        r"|[ \n][ \n]")
 MARK = "\0"
+#: Rows that are decoded together.
+DECODED_ROWS = 500
 
 
 def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -127,7 +129,7 @@ def decode(encoded: DataFrame, tokens_col: str = "tokens", out_col: str = "decod
     def join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = {i: b for b, i in _read_ranks(vocabulary.value).items()}
         table = [by_id.get(i) for i in range(max(by_id) + 1)]
-        for batch in batches:
+        for batch in (whole.slice(k, DECODED_ROWS) for whole in batches for k in range(0, whole.num_rows, DECODED_ROWS)):
             found = [None if t is None else b"".join([table[i] for i in np.frombuffer(t, "<u4").tolist()]) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=schema.names)
 

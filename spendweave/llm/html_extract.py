@@ -148,7 +148,7 @@ def labelled_page(seed: int) -> str:
         body.insert(rng.randint(0, len(body)), other(rng.choice(LAYOUTS["inside"])))
     before = [other(p) for p in rng.sample(LAYOUTS["before"], rng.randint(0, 4))]
     after = [other(p) for p in rng.sample(LAYOUTS["after"], rng.randint(0, 3))]
-    head = f"<html><head><title>{_MARKS[0]}{_words(rng, 2, 12, 0.1)}</title></head><body>"
+    head = f"<html><head><title>{_MARKS[0]}{_words(rng, 2, 12, 0.1)}</title></head><body>" if rng.random() < 0.7 else ""
     return head + "".join(before) + opening + "".join(body) + closing + "".join(after) + rng.choice(("</body></html>", ""))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a block (``blocks.py``). A longer text is a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text that one call works on; its arrays take about 60 bytes a byte of text.
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -1,0 +1,270 @@
+"""The corpus operators against brute force, on a small table with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from spendweave.llm import byte_bpe, exact_dedup, html_extract, lattice_lm, mixing, ngram_join, quality, sharding, token_files, vector_join
+
+DOCS = "doc_id long, text string, lang string, source string, _hash string, score int, id string"
+WORD = rb"[^\x20\x09-\x0d]+"
+
+
+def documents():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdeéßñ") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    rows = [(0, None), (1, ""), (2, "One"), (3, "one"), (4, "a b c d"), (5, "A b  C\td"), (6, "  spaced \n\n out\u00a0 text \x00 \x1c x\r\n"),
+            (7, "It's 12 o'clock, isn't it?!! <|endoftext|>"), (8, "日本語 のテキスト 𝒳 e\u0301 \u0130"), (9, " ".join(rng.choice(vocabulary) for _ in range(20000))), (10, "x" * 50000)]
+    for k in range(11, 30):  # near copies of one text, some too far from each other
+        own = list(base)
+        for _ in range(k % 4):
+            own[rng.randrange(60)] = rng.choice(vocabulary)
+        rows.append((k, " ".join(own)))
+    rows += [(k, rows[12][1]) for k in range(30, 40)]  # exact copies
+    rows += [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40)))) for k in range(40, 140)]
+    rows += [(k, "### junk!! ### " + " ".join(w.upper() + "!!" for w in rng.choices(vocabulary, k=30))) for k in range(140, 180)]
+    rows += [(200, "same row"), (200, "same row"), (None, "no id"), (None, None)]
+    return [(i, t, "en", None if k % 7 == 0 else f"s{k % 4}", "clash", 3, "x") for k, (i, t) in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def none(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("none") / "documents.parquet")
+    spark.createDataFrame([], DOCS).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def found(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_byte_bpe_is_what_the_library_gives(docs, rows, none):
+    ranks = byte_bpe._read_ranks(open(byte_bpe.RANKS, "rb").read())
+    bpe = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in rows:
+        ids = bpe.encode_ordinary(r[1] or "")
+        want.append((r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    assert found(byte_bpe.digests(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    assert byte_bpe.digests(none).count() == 0
+
+
+def test_token_files_round_trip(spark, docs, rows, none, tmp_path):
+    tokenizer = Tokenizer.from_file(token_files.TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    token_files.write_tokens(docs, str(tmp_path / "a"))
+    got = token_files.checksums(token_files.read_tokens(spark, str(tmp_path / "a"))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    ids = defaultdict(list)
+    for r in rows:
+        ids[r[0]].append(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1])
+    start = 0
+    for r in got:
+        assert r.start == start
+        assert any(r.n_tokens == len(x) and r.ids_crc32 == zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids[r.doc_id])
+        start += r.n_tokens
+    token_files.write_tokens(none, str(tmp_path / "b"))
+    assert token_files.read_tokens(spark, str(tmp_path / "b")).count() == 0
+
+
+def jaccard_brute(rows):
+    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for r in rows:
+        w = re.findall(WORD, (r[1] or "").encode().translate(low))
+        sets.append(({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) if w else set())
+    least = [r[0] for r in rows]
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(a):
+                if least[a] is None or least[b] is None or least[a] == least[b]:
+                    continue
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    least[a] = least[b] = min(least[a], least[b])
+                    changed = True
+    return sorted(((r[0], len(s), c) for r, s, c in zip(rows, sets, least, strict=True)), key=repr)
+
+
+def test_ngram_join_finds_all_components(docs, rows, none):
+    assert found(ngram_join.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == jaccard_brute(rows)
+    assert ngram_join.jaccard_components(none).count() == 0
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    components = {i: c for i, _, c in jaccard_brute(rows)}
+    assert {r.doc_id for r in kept.collect()} == {i for i, c in components.items() if i == c}
+
+
+def test_exact_dedup(docs, rows, none):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r[0])
+    keep = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = sorted(((r[0], keep[r[1] or ""], len(groups[r[1] or ""]), r[0] == keep[r[1] or ""], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows), key=repr)
+    assert found(exact_dedup.mark_duplicates(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+    assert found(exact_dedup.mark_duplicates(docs, max_blocks=1), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+    dropped = exact_dedup.drop_duplicates(docs)
+    assert dropped.columns == docs.columns
+    assert found(dropped, "doc_id") == sorted(((i,) for i in keep.values()), key=repr)
+    assert exact_dedup.mark_duplicates(none).count() == 0
+
+
+def test_sharding_splits_oversized_buckets_only(docs, rows, none, spark, tmp_path):
+    limit = 20_000
+    got = sharding.assign_shards(docs, limit=limit).collect()
+    assert len(got) == len(rows)
+    hashes = {r[0]: int(hashlib.md5(str(r[0] if r[0] is not None else "\0").encode()).hexdigest()[:15], 16) for r in rows}
+    sizes = [(hashes[r[0]], len((r[1] or "").encode())) for r in rows]
+    for r in got:
+        h = hashes[r.doc_id]
+        for depth in range(61):
+            same = [(x, n) for x, n in sizes if x >> (60 - depth) == h >> (60 - depth)]
+            if sum(n for _, n in same) <= limit or len({x for x, _ in same}) == 1:
+                break
+        assert (r.shard_depth, r.shard_bytes, r.shard_rows) == (depth, sum(n for _, n in same), len(same))
+        assert r.shard == (format(h >> (60 - depth), f"0{depth}b") if depth else "")
+    assert sharding.assign_shards(none).count() == 0
+    sharding.write_shards(docs.dropDuplicates(["doc_id"]), str(tmp_path / "shards"), limit=limit)
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == len({r[0] for r in rows})
+
+
+def test_quality_learns_from_rows_not_held_out(docs, none, spark):
+    labels = spark.createDataFrame([(i, int(i < 140), 0) for i in range(11, 180)] + [(None, 1, 0), (12, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == docs.count()
+    test = [r for r in got if r.held_out and r.doc_id is not None and 11 <= r.doc_id < 180]
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    good, bad = [r.score for r in test if r.doc_id < 140], [r.score for r in test if r.doc_id >= 140]
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+    assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
+    assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.classify(none, labels).count() == 0
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_mix_meets_targets(docs, rows, none):
+    got = mixing.mix(docs).collect()
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(re.findall(WORD, (r[1] or "").encode()))
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, free, target = float(sum(size.values())), list(order), {}
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * size[s]]
+        if not over:
+            target.update(share)
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+            free.remove(s)
+    taken = Counter()
+    for r in got:
+        s = next(s for s in order if size[s] == r.source_size)
+        assert math.isclose(r.target, target[s]) and r.taken <= 3 * r["size"]
+        taken[s] += r.taken
+    assert len(got) == len(rows)
+    largest = 20000
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] or size[s] > largest / 2 and abs(taken[s] - target[s]) <= largest for s in order)
+    assert found(mixing.mix(docs), "doc_id", "taken") == sorted(((r.doc_id, r.taken) for r in got), key=repr)
+    assert mixing.repeat(docs).columns == docs.columns
+    assert mixing.mix(none).count() == 0
+
+
+def test_vector_join_is_exact(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 24))
+    vectors = [b + rng.normal(size=24) * s for b in base for s in (0, 0, 0.1, 0.2, 0.25, 0.3)]
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    rows += [(500, None), (501, [0.0] * 24), (502, [float("nan")] * 24), (503, []), (504, [1.0, 2.0]), (505, [2.0, 4.0]), (506, [None] * 24), (507, rows[0][1]), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+    got = vector_join.near_vectors(df, tile_rows=32).collect()
+    valid = {k: np.array(v) for k, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)}
+    links = defaultdict(set)
+    for a, x in valid.items():
+        for b, y in valid.items():
+            if a != b and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.95:
+                links[a].add(b)
+    least = [r[0] for r in rows]
+    for _ in rows:
+        least = [min((least[b] for b in {a, *links[a]} if least[b] is not None), default=None) for a in range(len(rows))]
+    want = sorted(((r[0], len(links[a]), least[a]) for a, r in enumerate(rows)), key=repr)
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == want
+    assert vector_join.near_vectors(df.limit(0)).count() == 0
+
+
+def test_html_extract(spark):
+    pages = [
+        (1, "u", "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><nav><ul><li><a href='/a'>Menu</a></li></ul></nav>"
+                 "<div class=\"ad\">Buy this now please.</div><article><h1>A  title &amp; more</h1><p>First   line of the text that goes on for a while.<br>Next.</p>"
+                 "<p>Second paragraph of the text, which is also long enough to read.</article><footer>&copy; Someone &middot; Rights.</footer></body></html>"),
+        (2, "u", None), (3, "u", ""), (4, "u", "<nav><a href=x>only</a></nav>"), (5, "u", "<article><p>Cut off text that is long enough to be real &am")]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1].text == ("A title & more\n\nFirst line of the text that goes on for a while. Next.\n\n"
+                           "Second paragraph of the text, which is also long enough to read.")
+    assert got[1].n_chars == len(got[1].text)
+    assert got[2].text == got[3].text == "" and got[5].text.endswith("real &am")
+    weights, trans, start = html_extract.train()
+    wrong = total = 0
+    for seed in range(9000, 9060):  # pages that were not trained on
+        blocks = html_extract.blocks_of(html_extract.labelled_page(seed))
+        marks = [int(html_extract._MARKS[1] in b[1]) for b in blocks]
+        clean = [b[1].translate({ord(c): None for c in html_extract._MARKS.values()}).strip() or "." for b in blocks]
+        scores = [sum(weights.get(f, 0) for f in (*dict.fromkeys(b[0]), *html_extract._text_features(t, b[2], k, len(blocks)))) for k, (b, t) in enumerate(zip(blocks, clean, strict=True))]
+        wrong += sum(a != b for a, b in zip(marks, html_extract.best_labels(scores, trans.tolist(), start), strict=True))
+        total += len(marks)
+    assert wrong <= 0.01 * total
+
+
+def test_lattice_sums_all_segmentations(docs, rows, none):
+    pieces, p = [START for START in ("▁".encode(), "▁a".encode(), b"ab", b"b", b"a", b"bc", b"abc", b"c", b"\xe2", b"\x96", b"\x81")], np.arange(1, 12) / 66
+    lattice = lattice_lm._Lattice(pieces, np.log(p))
+
+    def total(text):
+        return 1.0 if not text else sum(q * total(text[len(x):]) for x, q in zip(pieces, p, strict=True) if text.startswith(x))
+
+    for word in (b"a", b"abc", b"aabcb"):
+        assert math.isclose(lattice.log_probabilities([word])[0], math.log(total("▁".encode() + word)), rel_tol=1e-9)
+    uses = lattice.expected_counts([b"abc"], np.ones(1))
+    step = 1e-6
+    for k in range(len(pieces)):  # expected uses are the derivative of the log-probability by the piece's log-weight
+        moved = np.log(p) + step * (np.arange(len(p)) == k)
+        assert math.isclose((lattice_lm._Lattice(pieces, moved).log_probabilities([b"abc"])[0] - lattice.log_probabilities([b"abc"])[0]) / step, uses[k], abs_tol=1e-4)
+    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    words = [re.findall(WORD, (r[1] or "").encode().translate(low)) + [None] for r in rows]
+    out = [r[0] is None or zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows]
+    seen = Counter(w for ws, h in zip(words, out, strict=True) if not h for w in ws)
+    n, v = sum(seen.values()), len(seen)
+    want = sorted(((r[0], h, len(ws), sum(seen[w] > 0 for w in ws), n, round(sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 4))
+                   for r, ws, h in zip(rows, words, out, strict=True)), key=repr)
+    got = lattice_lm.lm_scores(docs).collect()
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got), key=repr) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert lattice_lm.lm_scores(none).count() == 0
