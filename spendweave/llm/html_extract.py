@@ -33,8 +33,8 @@ BLOCK_TAGS = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul label".split())
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
-TRAIN_PAGES = 160
-TRAIN_STEPS = 80
+TRAIN_PAGES = 200
+TRAIN_STEPS = 120
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
@@ -87,11 +87,11 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     return out
 
 
-def _text_features(text: str, linked: float, place: int, count: int) -> tuple[str, ...]:
+def _text_features(text: str, linked: float) -> tuple[str, ...]:
     words = text.count(" ") + 1
     size = 0 if words < 3 else 1 if words < 8 else 2 if words < 20 else 3 if words < 60 else 4
     return (f"size:{size}", f"linked:{int(linked * 4)}", "stop" if text[-1] in ".!?:;\"'”»。" else "open",
-            "legal" if "©" in text or "·" in text else "plain", "first" if place == 0 else "last" if place == count - 1 else "middle")
+            "legal" if "©" in text or "·" in text else "plain")
 
 
 #: How labelled pages are laid out. Each part is (opening tags, kind of blocks, closing tags), with
@@ -146,9 +146,9 @@ def labelled_page(seed: int) -> str:
         body.append(rng.choice(LAYOUTS["main blocks"]).replace("%", _MARKS[1] + _words(rng, *size, 0.9)))
     for _ in range(rng.choice((0, 0, 1, 2))):
         body.insert(rng.randint(0, len(body)), other(rng.choice(LAYOUTS["inside"])))
-    before = [other(p) for p in rng.sample(LAYOUTS["before"], rng.randint(0, 4))]
+    before = [other(p) for p in rng.sample(LAYOUTS["before"], rng.choice((0, 0, 1, 2, 3, 4)))]
     after = [other(p) for p in rng.sample(LAYOUTS["after"], rng.randint(0, 3))]
-    head = f"<html><head><title>{_MARKS[0]}{_words(rng, 2, 12, 0.1)}</title></head><body>" if rng.random() < 0.7 else ""
+    head = f"<html><head><title>{_MARKS[0]}{_words(rng, 2, 12, 0.1)}</title></head><body>" if rng.random() < 0.5 else ""
     return head + "".join(before) + opening + "".join(body) + closing + "".join(after) + rng.choice(("</body></html>", ""))
 
 
@@ -160,11 +160,11 @@ def train(pages: int = TRAIN_PAGES, steps: int = TRAIN_STEPS) -> tuple[dict[str,
     for seed in range(pages):
         found = blocks_of(labelled_page(seed))
         starts.append(len(rows))
-        for k, (path, text, linked) in enumerate(found):
+        for path, text, linked in found:
             mark = next((c for c in text if c in _MARKS.values()), _MARKS[0])
             labels.append(int(mark == _MARKS[1]))
             clean = text.translate({ord(c): None for c in _MARKS.values()}).strip() or "."
-            rows.append([numbers.setdefault(f, len(numbers)) for f in (*dict.fromkeys(path), *_text_features(clean, linked, k, len(found)))])
+            rows.append([numbers.setdefault(f, len(numbers)) for f in (*dict.fromkeys(path), *_text_features(clean, linked))])
     labels, bounds = np.array(labels), [*starts, len(rows)]
     x = np.zeros((len(rows), len(numbers)))
     for k, features in enumerate(rows):
@@ -244,7 +244,7 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
             texts = []
             for page in batch.column(len(rest)).to_pylist():
                 found = blocks_of(page or "")
-                scores = [score(by_path, path) + score(by_text, _text_features(text, linked, k, len(found))) for k, (path, text, linked) in enumerate(found)]
+                scores = [score(by_path, path) + score(by_text, _text_features(text, linked)) for path, text, linked in found]
                 texts.append("\n\n".join(b[1] for b, y in zip(found, best_labels(scores, trans, start), strict=True) if y))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 

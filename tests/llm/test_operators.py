@@ -237,7 +237,7 @@ def test_html_extract(spark):
         blocks = html_extract.blocks_of(html_extract.labelled_page(seed))
         marks = [int(html_extract._MARKS[1] in b[1]) for b in blocks]
         clean = [b[1].translate({ord(c): None for c in html_extract._MARKS.values()}).strip() or "." for b in blocks]
-        scores = [sum(weights.get(f, 0) for f in (*dict.fromkeys(b[0]), *html_extract._text_features(t, b[2], k, len(blocks)))) for k, (b, t) in enumerate(zip(blocks, clean, strict=True))]
+        scores = [sum(weights.get(f, 0) for f in (*dict.fromkeys(b[0]), *html_extract._text_features(t, b[2]))) for b, t in zip(blocks, clean, strict=True)]
         wrong += sum(a != b for a, b in zip(marks, html_extract.best_labels(scores, trans.tolist(), start), strict=True))
         total += len(marks)
     assert wrong <= 0.01 * total
