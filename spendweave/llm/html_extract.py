@@ -149,7 +149,8 @@ def labelled_page(seed: int) -> str:
     before = [other(p) for p in rng.sample(LAYOUTS["before"], rng.choice((0, 0, 1, 2, 3, 4)))]
     after = [other(p) for p in rng.sample(LAYOUTS["after"], rng.randint(0, 3))]
     head = f"<html><head><title>{_MARKS[0]}{_words(rng, 2, 12, 0.1)}</title></head><body>" if rng.random() < 0.5 else ""
-    return head + "".join(before) + opening + "".join(body) + closing + "".join(after) + rng.choice(("</body></html>", ""))
+    page = head + "".join(before) + opening + "".join(body) + closing + "".join(after) + rng.choice(("</body></html>", ""))
+    return page[:rng.randint(len(page) // 4, len(page))] if rng.random() < 0.3 else page  # some pages are cut off
 
 
 @functools.lru_cache(maxsize=1)
