@@ -17,6 +17,7 @@ of their ranks, and the end costs nothing. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ EM_STEPS = 2
 #: Taken from each seen word's count for the subword segmentations.
 DISCOUNT = 0.5
 PARTS = 10
+#: Words with more bytes go one by one through the recursion, and so do those of a length that few others have.
+LONG_BYTES = 256
 #: Longest piece in bytes that segmentations use.
 MOST_BYTES = 16
 START = "▁".encode()
@@ -62,7 +65,7 @@ def read_pieces(path: str = PIECES) -> tuple[list[bytes], np.ndarray]:
 
 
 class _Lattice:
-    """Forward and backward recursions over many words of one length at once."""
+    """Forward and backward recursions: over many words of one length at once, or over the arcs of one word."""
 
     def __init__(self, pieces: list[bytes], log_p: np.ndarray):
         self.table, self.order = _hash_table(pieces)
@@ -103,11 +106,43 @@ class _Lattice:
                     ahead[i + size] = np.logaddexp(ahead[i + size], ahead[i] + self._log(arcs[i, size]))
         return ahead
 
+    def _word_arcs(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, piece numbers) of one word's arcs in order of their ends."""
+        data = np.frombuffer(START + word, np.uint8).astype(np.uint64) + np.uint64(1)
+        total, found = np.zeros(len(data), np.uint64), []
+        for size in range(1, min(MOST_BYTES, len(data)) + 1):
+            total = total[:len(data) - size + 1] + data[size - 1:] * np.uint64(pow(_BASE, size - 1, 1 << 64))
+            if size in self.lengths:
+                hashed = mix(total + np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+                some = np.flatnonzero(self.maybe[(hashed >> np.uint64(44)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.table, hashed[some]), len(self.table) - 1)
+                hit = self.table[at] == hashed[some]
+                found.append((some[hit], some[hit] + size, self.order[at[hit]]))
+        starts, ends, numbers = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(ends, kind="stable")
+        return starts[order], ends[order], numbers[order]
+
+    @staticmethod
+    def _sums(n: int, sources: np.ndarray, targets: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Log sums over all paths to each of the places 0 to n from place 0, along arcs in order of their targets."""
+        cuts, sources, logs = np.searchsorted(targets, np.arange(n + 2)).tolist(), sources.tolist(), logs.tolist()
+        sums = [0.0] + [-math.inf] * n
+        for place in range(1, n + 1):
+            paths = [sums[sources[k]] + logs[k] for k in range(cuts[place], cuts[place + 1])]
+            most = max(paths, default=-math.inf)
+            if most > -math.inf:
+                sums[place] = most + math.log(sum([math.exp(p - most) for p in paths]))
+        return np.array(sums)
+
     @staticmethod
-    def _by_length(words: list[bytes], rows: int = 20_000):
-        lengths = np.array([len(w) for w in words]) + len(START)
+    def _by_length(words: list[bytes], rows: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """(words' places, their bytes as rows), or without bytes the places of words to take one by one."""
+        lengths = np.array([len(w) for w in words], np.int64) + len(START)
         for n in np.unique(lengths).tolist():
             same = np.flatnonzero(lengths == n)
+            if n > LONG_BYTES or len(same) < n:
+                yield same, None
+                continue
             step = max(1, min(rows, 400_000 // n))
             for k in range(0, len(same), step):
                 some = same[k:k + step]
@@ -118,14 +153,34 @@ class _Lattice:
         out = np.zeros(len(words))
         with np.errstate(over="ignore", invalid="ignore"):
             for some, data in self._by_length(words):
-                out[some] = self._forward(data, self._arcs(data))[-1]
+                if data is None:
+                    for w in some.tolist():
+                        starts, ends, numbers = self._word_arcs(words[w])
+                        out[w] = self._sums(len(START) + len(words[w]), starts, ends, self.log_p[numbers])[-1]
+                else:
+                    out[some] = self._forward(data, self._arcs(data))[-1]
         return out
 
+    def _word_uses(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(piece numbers, how often the word's segmentations use them)."""
+        n = len(START) + len(word)
+        starts, ends, numbers = self._word_arcs(word)
+        logs = self.log_p[numbers]
+        ahead = self._sums(n, starts, ends, logs)
+        back_to = np.argsort(-starts, kind="stable")  # from the other end
+        back = self._sums(n, n - ends[back_to], n - starts[back_to], logs[back_to])[::-1]
+        return numbers, np.exp(ahead[starts] + logs + back[ends] - ahead[-1])
+
     def expected_counts(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """How often segmentations of the words, each so many times, use each piece."""
         out = np.zeros(len(self.log_p))
         with np.errstate(over="ignore", invalid="ignore"):
             for some, data in self._by_length(words):
+                if data is None:
+                    for w in some.tolist():
+                        numbers, uses = self._word_uses(words[w])
+                        np.add.at(out, numbers, uses * counts[w])
+                    continue
                 arcs = self._arcs(data)
                 ahead = self._forward(data, arcs)
                 back = np.full_like(ahead, -np.inf)

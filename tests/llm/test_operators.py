@@ -257,6 +257,10 @@ def test_lattice_sums_all_segmentations(docs, rows, none):
     for k in range(len(pieces)):  # expected uses are the derivative of the log-probability by the piece's log-weight
         moved = np.log(p) + step * (np.arange(len(p)) == k)
         assert math.isclose((lattice_lm._Lattice(pieces, moved).log_probabilities([b"abc"])[0] - lattice.log_probabilities([b"abc"])[0]) / step, uses[k], abs_tol=1e-4)
+    many = [b"abcbc", b"aabcb", b"bcbcb"] * 5  # a length that many words have goes as rows of bytes, others one by one
+    assert np.allclose(lattice.log_probabilities(many), [lattice.log_probabilities([w])[0] for w in many], rtol=1e-12)
+    assert np.allclose(lattice.expected_counts(many, np.ones(15)), sum(lattice.expected_counts([w], np.ones(1)) for w in many), rtol=1e-9)
+    assert math.isfinite(lattice.log_probabilities([b"abc" * 20_000])[0])
     low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     words = [re.findall(WORD, (r[1] or "").encode().translate(low)) + [None] for r in rows]
     out = [r[0] is None or zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows]
