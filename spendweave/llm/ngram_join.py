@@ -4,8 +4,8 @@ Rows are documents, columns are 5-word shingles. Documents with equal shingle se
 row. Two classes reach the similarity only if they share a column among the first ``n - ceil(t n) + 1`` of
 their shingles in any common order, so the product reads those alone; the order puts shingles first that a
 count sketch of the whole corpus holds for rare. Columns are dealt in blocks by their hash. In a block the
-product of each column gives pairs, which the bounds discard when the sizes or the places of the shared
-column leave too little overlap. What is left is counted exactly on all shingles of both texts.
+product of each column gives pairs, which the bounds discard when the sizes, or what either text has from the
+column on, leave too little overlap for it to be the first that they share. What is left is counted exactly on all shingles of both texts.
 
 Only components are asked for, so no column multiplies all its rows at once. In each of ``PIVOT_ROUNDS``
 rounds a column pairs its rows with one of them (first that which shares most), and columns whose rows have become one component are done.
@@ -115,9 +115,12 @@ _COLUMNS = "block int, column long, node long, n int, place int, rows long"
 
 
 def _fits(n1: np.ndarray, n2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes that share a column at places i and j may have enough overlap."""
+    """Whether sets of these sizes whose first shared column has places i and j may have enough overlap.
+
+    All shared columns then come from there on. A pair that links passes at its first one, so it may fail at later ones.
+    """
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-    most = np.minimum(i, j) + 1 + np.minimum(n1 - i - 1, n2 - j - 1)
+    most = np.minimum(n1 - i, n2 - j)
     return (100 * small >= PERCENT * large) & ((100 + PERCENT) * most >= PERCENT * (n1 + n2))
 
 
