@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spendweave.functions.numbers import fixed_text
 from spendweave.functions.rules import blank_to_null
 from spendweave.schemas import LINE_KEY
+from spendweave.session import cut_lineage
 from spendweave.sources.sinks import write_table
 
 PERIOD = "billing_period_start"
@@ -168,10 +169,13 @@ def dq_generic(tables: dict[str, tuple[DataFrame, Expectations]]) -> DataFrame:
 
 
 def dq_gate(checks: DataFrame, log_path: str | None = None) -> DataFrame:
-    """Writes the checks to the quality log, then raises when any of them failed; warnings pass."""
+    """Writes the checks to the quality log, then raises when any of them failed; warnings pass.
+
+    Only the checks given count; the log may hold failures of other months.
+    """
     if log_path is not None:
+        checks = cut_lineage(checks)
         write_table(checks, log_path, [PERIOD])
-        checks = checks.sparkSession.read.parquet(log_path)
     failed = checks.where("status = 'fail'").groupBy("check").agg(F.count(F.lit(1)).alias("n")).orderBy("check")
     # One row per kind of check.
     rows = failed.collect()

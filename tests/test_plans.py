@@ -133,6 +133,9 @@ def test_gate(spark, tmp_path):
         quality.dq_gate(quality.run_quality_checks(bill, invoices(bill)), log)
     assert spark.read.parquet(log).count() == 5
     assert quality.dq_gate(quality.dq_missing_ids(bill)).first().status == "warn"
+    later = quality.dq_missing_ids(bill).withColumn(quality.PERIOD, F.add_months(quality.PERIOD, 1))
+    assert quality.dq_gate(later, log).count() == 1  # the earlier month's failure in the log doesn't count
+    assert spark.read.parquet(log).count() == 6
 
 
 def test_generic_checks(spark):
