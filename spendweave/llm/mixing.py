@@ -63,13 +63,15 @@ def solve_duals(cells: DataFrame, targets: DataFrame, most: float = MOST_COPIES)
     state = cut_lineage(state.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
         F.col("source").alias("_source"), "unit", "target", F.when(full, high).otherwise(0.0).alias("dual"), F.lit(None).cast("double").alias("low"),
         high.alias("high"), full.alias("done")))
+    kept = ["_source", "unit", "target", "dual", "low", "high", "done"]
     for _ in range(MOST_STEPS):
-        both = used.join(state.where("not done"), F.col("source").eqNullSafe(F.col("_source")))
+        both = used.join(state, F.col("source").eqNullSafe(F.col("_source")))
         raw = F.exp(F.least(F.col("dual") * F.col("size") / F.col("unit"), F.lit(700.0)))
         words = F.col("size") * F.col("n") * F.least(raw, F.lit(float(most)))
         slope = F.when(raw < most, words * F.col("size") / F.col("unit")).otherwise(0.0)
-        sums = both.groupBy("_source", "unit", "target", "dual", "low", "high").agg(
-            F.sum(words.cast("decimal(38,9)")).cast("double").alias("words"), F.sum(slope.cast("decimal(38,9)")).cast("double").alias("slope"))
+        # finished sources go along in the same aggregate: a union would add its partitions to the state at every step
+        sums = both.groupBy(*kept).agg(*[
+            F.sum(F.when(~F.col("done"), value.cast("decimal(38,9)"))).cast("double").alias(name) for name, value in (("words", words), ("slope", slope))])
         near = F.abs(F.col("words") - F.col("target")) <= TOLERANCE * F.col("target")
         over = F.col("words") > F.col("target")
         low = F.when(over, F.col("low")).otherwise(F.col("dual"))
@@ -78,9 +80,9 @@ def solve_duals(cells: DataFrame, targets: DataFrame, most: float = MOST_COPIES)
         middle = F.when(low.isNull(), high * 2 - 1.0).otherwise((low + high) / 2)
         inside = step.isNotNull() & (F.coalesce(step > low, F.lit(True))) & (step < high)
         flat = (high - F.coalesce(low, F.lit(-1e9))) <= 1e-13
-        moved = sums.select("_source", "unit", "target", F.when(near | flat, F.col("dual")).when(inside, step).otherwise(middle).alias("dual"),
-                            low.alias("low"), high.alias("high"), (near | flat).alias("done"))
-        state = cut_lineage(state.where("done").unionByName(moved))
+        moved = {"dual": F.when(near | flat, F.col("dual")).when(inside, step).otherwise(middle), "low": low, "high": high, "done": near | flat}
+        state = cut_lineage(sums.select("_source", "unit", "target", *[
+            F.when(F.col("done"), F.col(c)).otherwise(value).alias(c) for c, value in moved.items()]))
         if state.where("not done").isEmpty():
             break
     return state.select(F.col("_source").alias("source"), "unit", "dual")
