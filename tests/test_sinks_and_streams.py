@@ -2,11 +2,13 @@
 
 from datetime import date
 
+import pytest
 from helpers import FEB, JAN, line, lines, managed, resource, resources
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from spendweave.sources import sinks
-from spendweave.streaming.ingest import incremental_ingest, touched_periods
+from spendweave.streaming.ingest import incremental_ingest, rejects_of, touched_periods
 
 HEADER = "InvoiceId,ResourceId,BillingPeriodStart,ChargePeriodStart,BilledCost"
 HEADERS = {"InvoiceId": "invoice_id", "ResourceId": "resource_id", "BillingPeriodStart": "billing_period_start",
@@ -46,6 +48,7 @@ def test_incremental_ingest(spark, tmp_path):
     run()
     run()
     assert [(r.resource_id, int(r.billed_cost), r.provider) for r in sinks.read_table(spark, table).collect()] == [("r1", 5, "AWS")]
+    assert [(r.resource_id, r._rejected) for r in sinks.read_table(spark, rejects_of(table)).collect()] == [("r2", ["billed_cost"])]
     # A later file brings a repeat, a late line of January and a new month.
     put(landing, "b.csv", "I1,r1,2025-01-01,2025-01-03,7", "I1,r3,2025-01-01,2025-01-09,8", "I2,r1,2025-02-01,2025-02-03,9")
     run()
@@ -65,3 +68,12 @@ def test_repeated_batch_leaves_the_same_table(spark, tmp_path):
         incremental_ingest(spark, str(landing), table, str(tmp_path / attempt), HEADERS)
         assert sinks.read_table(spark, table).count() == 2
     assert date(2025, 1, 1) in {r.billing_period_start for r in sinks.read_table(spark, table).collect()}
+
+
+def test_other_headers_fail_the_batch(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    swapped = "ResourceId,InvoiceId," + HEADER.split(",", 2)[2]
+    (landing / "a.csv").write_text(f"{swapped}\nr1,I1,2025-01-01,2025-01-03,5\n")
+    with pytest.raises(StreamingQueryException):
+        incremental_ingest(spark, str(landing), str(tmp_path / "table"), str(tmp_path / "state"), HEADERS)
