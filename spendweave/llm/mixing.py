@@ -89,7 +89,7 @@ def solve_duals(cells: DataFrame, targets: DataFrame, most: float = MOST_COPIES)
 
 
 def _round_cells(cells: DataFrame, most: int) -> DataFrame:
-    """(source, size, slot, base, extra): copies of all rows of a cell, and how many rows get one more."""
+    """(source, size, slot, source_size, target, base, extra): copies of all rows of a cell, and how many rows get one more."""
 
     def carry(cells: pa.Table) -> pa.Table:
         table = cells.sort_by([("size", "descending"), ("slot", "ascending")])
@@ -102,12 +102,12 @@ def _round_cells(cells: DataFrame, most: int) -> DataFrame:
             missing -= more * s
             base.append(whole)
             extra.append(more)
-        return table.select(["source", "size", "slot"]).append_column("base", pa.array(base, pa.int32())).append_column("extra", pa.array(extra, pa.int64()))
+        return table.select(["source", "size", "slot", "source_size", "target"]).append_column("base", pa.array(base, pa.int32())).append_column("extra", pa.array(extra, pa.int64()))
 
     source = cells.schema["source"].dataType.simpleString()
     # a source's cells are as many as it has different sizes and cut cells, not as it has rows
     return cells.groupBy("source").applyInArrow(
-        carry, f"source {source}, size bigint, slot int, base int, extra bigint")
+        carry, f"source {source}, size bigint, slot int, source_size bigint, target double, base int, extra bigint")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -130,15 +130,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         duals, F.col("_source").eqNullSafe(F.col("source")), "left").select("_source", "source_size", "target", "unit", "dual")
     cells = slotted.groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("n"))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("dual") * F.col("size") / F.col("unit"), F.lit(700.0)))))
-    rated = cells.join(shares, F.col("source").eqNullSafe(F.col("_source"))).select("source", "size", "slot", "n", rate.alias("rate"))
+    rated = cells.join(shares, F.col("source").eqNullSafe(F.col("_source"))).select("source", "size", "slot", "n", "source_size", "target", rate.alias("rate"))
     rounded = _round_cells(rated, most)
     rank = Window.partitionBy("source", "size", "slot").orderBy("h", "id")
     placed = slotted.withColumn("rank", F.row_number().over(rank)).alias("r").join(
         rounded.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size")) & (F.col("r.slot") == F.col("c.slot")))
     copies = F.when(F.col("r.size") == 0, F.lit(1)).otherwise(F.col("base") + (F.col("rank") <= F.col("extra")).cast("int"))
-    copied = placed.select("r.id", "r.source", "r.size", copies.alias("copies"))
-    return copied.join(shares.select("_source", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    # the source's figures come with the cell: a join of all rows by source would gather a hot one
+    return placed.select(
+        F.col("r.id").alias(id_col), F.col("r.size").alias("size"), "c.source_size", "c.target", copies.alias("copies"), (copies * F.col("r.size")).alias("taken"))
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
