@@ -272,7 +272,7 @@ def _class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
             state = columns.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         pairs = stored(_pairs(state, k, k == PIVOT_ROUNDS), "pairs")
         if pairs.isEmpty():
-            break
+            continue  # no row fits its column's pivot, which says nothing of rows other than pivots
         new = _links(pairs, docs)
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():

@@ -120,6 +120,18 @@ def test_ngram_join_finds_all_components(docs, rows, none):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in components.items() if i == c}
 
 
+def test_ngram_join_without_candidates_in_a_pivot_round(spark):
+    passages = [[f"c{k}w{i}" for i in range(904)] for k in range(5)]
+    texts = [p + [f"{side}{k}w{i}" for i in range(100)] for k, p in enumerate(passages) for side in "ab"]
+    texts.append([w for p in passages for w in p])  # the heaviest row of every shared column, and too long for a link
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    want = jaccard_brute(rows)
+    assert [c for _, _, c in sorted(want)] == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8, 10]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(ngram_join.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == want
+    assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == {0, 2, 4, 6, 8, 10}
+
+
 def test_exact_dedup(docs, rows, none):
     groups = defaultdict(list)
     for r in rows:
