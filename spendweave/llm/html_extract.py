@@ -7,8 +7,9 @@ ascent on labelled pages that a small grammar lays out from ``LAYOUTS`` with fix
 labels of a page are found by Viterbi in the task that reads it.
 
 Defined results: a null, empty or text-free page has the empty text. Character references are decoded once,
-white space becomes one space, blocks without text vanish; scripts, styles, templates, comments and tags
-are no text; a tag that the page's end cuts off is dropped. ``br`` is white space. Rows are extracted one by
+white space becomes one space, blocks without text vanish; scripts, styles, closed templates, comments and tags
+are no text; a tag that the page's end cuts off is dropped. ``br`` and ``option`` are white space. Buttons, svg
+and the like are blocks that the field labels; without an end tag, or as ``<svg/>``, they hold nothing. Rows are extracted one by
 one, whatever ids repeat. An empty table gives no rows.
 """
 
@@ -25,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: Scripts, styles and comments go up to their end, or to the page's end without one. Names end at white space, ``/`` or ``>``.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<", re.S)
+    r"<!--.*?(?:-->|\Z)|(?i:<(script|style)(?=[ \t\n\f\r/>])[^>]*>.*?(?:</\1(?=[ \t\n\f\r/>])[^>]*(?:>|\Z)|\Z))"
+    r"|<(/?)([a-zA-Z][^ \t\n\f\r/>\"'<]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<", re.S)
+#: Elements that are blocks only if their end tag comes before the next start tag of their name; other start tags of them are ignored.
+CLOSED_TAGS = {name: re.compile(rf"<(/?){name}(?=[ \t\n\f\r/>])", re.I) for name in "button iframe noscript select svg template textarea".split()}
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul label".split())
+    "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul label".split()) | CLOSED_TAGS.keys()
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 TRAIN_PAGES = 200
@@ -42,7 +46,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked, in_link, path = 0, False, None
+    linked, in_link, path, resume = 0, False, None, 0
 
     def end_block() -> None:
         nonlocal parts, linked, path
@@ -56,6 +60,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         parts, linked = [], 0
 
     for m in TOKEN.finditer(page):
+        if m.start() < resume:
+            continue
         name = m.group(3)
         if name is None:
             piece = m.group()
@@ -67,7 +73,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         name = name.lower()
         if name == "a":
             in_link = not m.group(2)
-        elif name == "br":
+        elif name in ("br", "option"):
             parts.append(" ")
         elif name in BLOCK_TAGS:
             end_block()
@@ -80,6 +86,13 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             else:
                 if stack and stack[-1][0] in ("p", "li", "td", "th", "dt", "dd", "tr") and (name == stack[-1][0] or stack[-1][0] == "p"):
                     stack.pop()  # their end tags may be missing
+                if name in CLOSED_TAGS:
+                    following = CLOSED_TAGS[name].search(page, m.end())
+                    if not following or not following.group(1) or name == "svg" and m.group(4).endswith("/"):
+                        continue
+                    if name == "template":
+                        resume = following.start()
+                        continue
                 if name != "hr":
                     named = " ".join(a or b or c for a, b, c in NAMES.findall(m.group(4))) if m.group(4) else ""
                     stack.append((name, ("tag:" + name, *("name:" + w for w in WORD.findall(named.lower())))))
@@ -102,12 +115,15 @@ LAYOUTS = {
         ("<div id=\"menu\" class=\"navbar\"><ul>", "menu", "</ul></div>"), ("<div class=\"cookie notice banner\">", "line", "</div>"),
         ("<form class=\"search\">", "short", "</form>"), ("<div class=\"breadcrumbs\">", "short", "</div>"), ("<header><nav><ul>", "menu", "</ul></nav></header>"),
         ("<div class=\"advert sponsored\">", "line", "</div>"), ("<div role=\"navigation\"><ul>", "menu", "</ul></div>"), ("<aside class=\"sidebar\">", "line", "</aside>"),
-        ("<div class=\"alert notice\"><p>", "line", "</p></div>")],
+        ("<div class=\"alert notice\"><p>", "line", "</p></div>"), ("<button>", "short", "</button>"), ("<noscript>", "line", "</noscript>"),
+        ("<svg>", "short", "</svg>"), ("<select>", "short", "</select>"), ("<iframe>", "line", "</iframe>")],
     "inside": [
         ("<aside class=\"related\"><ul>", "menu", "</ul></aside>"), ("<div class=\"ad\">", "line", "</div>"), ("<form class=\"newsletter signup\">", "short", "</form>"),
         ("<div class=\"share social\">", "short", "</div>"), ("<section class=\"comments\">", "long", "</section>"), ("<div class=\"notice\">", "line", "</div>"),
         ("<nav class=\"toc\"><ul>", "menu", "</ul></nav>"), ("<div class=\"promo advertisement\"><p>", "line", "</p></div>"), ("<header class=\"meta\">", "short", "</header>"),
-        ("<footer class=\"tags\">", "short", "</footer>")],
+        ("<footer class=\"tags\">", "short", "</footer>"), ("<button>", "short", "</button>"), ("<noscript>", "line", "</noscript>"),
+        ("<svg>", "short", "</svg>"), ("<select>", "short", "</select>"), ("<iframe>", "line", "</iframe>"),
+        ("<textarea>", "line", "</textarea>")],
     "after": [
         ("<footer>", "legal", "</footer>"), ("<div class=\"footer\" id=\"footer\">", "legal", "</div>"), ("<section class=\"comments\" id=\"comments\">", "long", "</section>"),
         ("<div class=\"comment-list\"><ol><li class=\"comment\">", "long", "</li></ol></div>"), ("<aside class=\"sidebar widget\"><ul>", "menu", "</ul></aside>"),

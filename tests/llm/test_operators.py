@@ -255,6 +255,20 @@ def test_html_extract(spark):
     assert wrong <= 0.01 * total
 
 
+def test_html_extract_keeps_text_after_unclosed_elements(spark):
+    article = "<article><h1>A title of some words</h1>%s<p>The main text of the page, which goes on for a while and ends here.</p></article>"
+    text = "A title of some words\n\nThe main text of the page, which goes on for a while and ends here."
+    starts = ["<svg class=\"icon\"/>", "<svg/>", "<SVG />", "<svg-icon></svg-icon>", "<svg-icon>", "<button-group></button-group>", "<template-x>", "<script-x>",
+              *(f"<{name}>" for name in "button iframe noscript select svg template textarea".split()), "<Button class=x>", "<button><button>", "<SCRIPT>var a = '<p>x</p>'</SCRIPT>",
+              "<script>var a = 1</SCRIPT>", "<SCRIPT>var a = 1</script >", "<STYLE>p {color: red}</STYLE>", "<style>p {color: red}</Style>",
+              "<svg><title>Icon</title><path d='x'/></svg>", "<BUTTON type=button>Share</BUTTON>", "<noscript>Enable scripts.</noscript>",
+              "<template><p>Never shown words.</p></template>", "<select><option>One<option>Two</select>"]
+    pages = [(2 * k + inside, article % s if inside else s + article % "") for k, s in enumerate(starts) for inside in (0, 1)]
+    pages += [(1000, article % "" + "<script>var a = 1 <p>no text"), (1001, article % "" + "<!-- no <p>text"), (1002, article % "" + "<STYLE>p {} <p>no text")]
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, html string")).collect()
+    assert {r.page_id: r.text for r in got if r.text != text} == {}
+
+
 def test_lattice_sums_all_segmentations(docs, rows, none):
     pieces, p = [START for START in ("▁".encode(), "▁a".encode(), b"ab", b"b", b"a", b"bc", b"abc", b"c", b"\xe2", b"\x96", b"\x81")], np.arange(1, 12) / 66
     lattice = lattice_lm._Lattice(pieces, np.log(p))
