@@ -40,15 +40,14 @@ DISCOUNT = 0.5
 PARTS = 10
 #: Words with more bytes go one by one through the recursion, and so do those of a length that few others have.
 LONG_BYTES = 256
-#: Longest piece in bytes that segmentations use.
-MOST_BYTES = 16
 START = "▁".encode()
 _BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _hash_table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of pieces and their numbers."""
-    powers = [pow(_BASE, k, 1 << 64) for k in range(MOST_BYTES)]
+    powers = [pow(_BASE, k, 1 << 64) for k in range(max(map(len, pieces)))]
     found = np.array([sum((b + 1) * p for b, p in zip(piece, powers, strict=False)) + len(piece) * 0xD6E8FEB86659FD93 & (1 << 64) - 1 for piece in pieces], np.uint64)
     order = np.argsort(mix(found))
     return mix(found)[order], order
@@ -59,7 +58,7 @@ def read_pieces(path: str = PIECES) -> tuple[list[bytes], np.ndarray]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = [(model.id_to_piece(i).encode(), -model.get_score(i)) for i in range(model.vocab_size())
            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    own = [(p, r) for p, r in own if 1 < len(p) <= MOST_BYTES]
+    own = [(p, r) for p, r in own if len(p) > 1]
     last = 1 + max(r for _, r in own)
     return [p for p, _ in own] + [bytes([b]) for b in range(256)], np.array([1 / (r + 1) for _, r in own] + [1 / last] * 256)
 
@@ -78,13 +77,13 @@ class _Lattice:
         """Piece numbers (or -1) by start and length for words as rows of bytes."""
         n = data.shape[1]
         arcs = {}
-        powers = np.array([pow(_BASE, k, 1 << 64) for k in range(MOST_BYTES)], np.uint64)
+        powers, inverses = (np.array([pow(base, k, 1 << 64) for k in range(n)], np.uint64) for base in (_BASE, _BASE_INVERSE))
+        sums = np.zeros((n + 1, len(data)), np.uint64)
+        np.cumsum((data.T.astype(np.uint64) + np.uint64(1)) * powers[:, None], axis=0, out=sums[1:])
         for i in range(n):
-            total = np.zeros(len(data), np.uint64)
-            for size in range(1, min(MOST_BYTES, n - i) + 1):
-                total = total + (data[:, i + size - 1].astype(np.uint64) + np.uint64(1)) * powers[size - 1]
-                if size in self.lengths:
-                    hashed = mix(total + np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+            for size in self.lengths:
+                if size <= n - i:
+                    hashed = mix((sums[i + size] - sums[i]) * inverses[i] + np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
                     some = np.flatnonzero(self.maybe[(hashed >> np.uint64(44)).astype(np.int64)])
                     at = np.minimum(np.searchsorted(self.table, hashed[some]), len(self.table) - 1)
                     hit = self.table[at] == hashed[some]
@@ -101,7 +100,7 @@ class _Lattice:
         ahead = np.full((data.shape[1] + 1, len(data)), -np.inf)
         ahead[0] = 0
         for i in range(data.shape[1]):
-            for size in range(1, MOST_BYTES + 1):
+            for size in self.lengths:
                 if (i, size) in arcs:
                     ahead[i + size] = np.logaddexp(ahead[i + size], ahead[i] + self._log(arcs[i, size]))
         return ahead
@@ -110,7 +109,7 @@ class _Lattice:
         """(starts, ends, piece numbers) of one word's arcs in order of their ends."""
         data = np.frombuffer(START + word, np.uint8).astype(np.uint64) + np.uint64(1)
         total, found = np.zeros(len(data), np.uint64), []
-        for size in range(1, min(MOST_BYTES, len(data)) + 1):
+        for size in range(1, min(self.lengths[-1], len(data)) + 1):
             total = total[:len(data) - size + 1] + data[size - 1:] * np.uint64(pow(_BASE, size - 1, 1 << 64))
             if size in self.lengths:
                 hashed = mix(total + np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
@@ -186,7 +185,7 @@ class _Lattice:
                 back = np.full_like(ahead, -np.inf)
                 back[-1] = 0
                 for i in range(data.shape[1] - 1, -1, -1):
-                    for size in range(1, MOST_BYTES + 1):
+                    for size in self.lengths:
                         if (i, size) in arcs:
                             number = arcs[i, size]
                             arc = self._log(number) + back[i + size]

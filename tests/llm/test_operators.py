@@ -298,3 +298,26 @@ def test_lattice_sums_all_segmentations(docs, rows, none):
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got), key=repr) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lattice_lm.lm_scores(none).count() == 0
+
+
+def test_lattice_uses_pieces_of_any_length():
+    read, weights = lattice_lm.read_pieces()
+    assert len(read) == len(weights)
+    assert {"▁representation".encode(), "▁infrastructure".encode(), "▁который".encode(), "▁области".encode()} <= set(read)
+    long = "который".encode() + b"ab" * 17
+    pieces, p = ["▁".encode(), "▁который".encode(), "▁".encode() + long, b"ab" * 17, b"abab", *[bytes([b]) for b in range(256)]], np.arange(1, 262) / 34191
+    lattice = lattice_lm._Lattice(pieces, np.log(p))
+    by_piece = {x: q for x, q in zip(pieces, p, strict=True)}
+
+    def total(text):
+        sums = [1.0] + [0.0] * len(text)
+        for end in range(1, len(text) + 1):
+            sums[end] = sum(sums[start] * by_piece.get(text[start:end], 0.0) for start in range(end))
+        return sums[-1]
+
+    words = [long, "который".encode(), b"ab" * 20]
+    want = [math.log(total("▁".encode() + w)) for w in words]
+    assert np.allclose(lattice.log_probabilities(words), want, rtol=1e-9)
+    many = [w for w in words for _ in range(60)]  # as rows of bytes
+    assert np.allclose(lattice.log_probabilities(many), np.repeat(want, 60), rtol=1e-9)
+    assert np.allclose(lattice.expected_counts(many, np.ones(180)), 60 * sum(lattice.expected_counts([w], np.ones(1)) for w in words), rtol=1e-9)
