@@ -122,7 +122,7 @@ WHERE p_size % 10 < 7 AND (p_size % 4 = {rank} OR p_partkey % 11 = {rank})
 """
 
 
-# Lines of urgent and high orders are infrastructure changes of their part.
+# Every line is an infrastructure change of its part, with the priority of its order.
 CHANGE_EVENTS = f"""
 SELECT l_orderkey * 8 + l_linenumber AS event_seq,
   CASE WHEN l_partkey % 3 = 0 THEN 'apply/' || {RESOURCE_ID} ELSE {RESOURCE_ID} END AS resource_id,
@@ -134,18 +134,19 @@ SELECT l_orderkey * 8 + l_linenumber AS event_seq,
   'c' || CAST(l_orderkey AS STRING) AS commit_sha,
   {MODULE} AS terraform_module,
   CASE WHEN l_orderkey % 8 = 0 THEN NULL ELSE 'Apply of order ' || CAST(l_orderkey AS STRING) END AS description,
-  CAST(l_extendedprice * 0 + 500 AS DECIMAL(18,2)) AS estimated_cost_delta
+  CAST(l_extendedprice * 0 + 500 AS DECIMAL(18,2)) AS estimated_cost_delta,
+  o_orderpriority AS priority
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey
-WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
 """
 
-# Urgent orders are pull requests; those still pending were never merged.
+# Every order is a pull request; those still pending were never merged.
 PULL_REQUESTS = """
 SELECT o_orderkey AS number, 'Update order ' || CAST(o_orderkey AS STRING) AS title,
   'user-' || CAST(o_custkey % 50 AS STRING) AS author,
   CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS merged_at,
-  'c' || CAST(o_orderkey AS STRING) AS commit_sha
-FROM {orders} WHERE o_orderpriority = '1-URGENT'
+  'c' || CAST(o_orderkey AS STRING) AS commit_sha,
+  o_orderpriority AS priority
+FROM {orders}
 """
 
 # Their files are the lines of the order, ordered by line number, part and status.
@@ -161,5 +162,4 @@ SELECT o_orderkey AS number, (l_linenumber * 1000000000000 + l_partkey) * 3
     WHEN 5 THEN '+  size = 3'
     ELSE '+resource "' || {RESOURCE_TYPE} || '" "' || {RESOURCE_NAME} || '" {{{{' || chr(10) || '+resource  "aws_lb" "lb-' || CAST(p_partkey AS STRING) || '" {{{{' END AS patch
 FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey JOIN {{part}} ON l_partkey = p_partkey
-WHERE o_orderpriority = '1-URGENT'
 """

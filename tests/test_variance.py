@@ -17,6 +17,7 @@ from spendweave.plans.variance import (
     evidence_chain,
     paired_sides,
 )
+from spendweave.testbed import tables
 
 MONTH = {JAN: 31, FEB: 28}
 
@@ -159,3 +160,15 @@ def test_signals_and_events_are_only_joined_for_current_rows(spark):
     assert paired.where("c is null").count() == 1
     assert resource_signals(bill).where(F.col("billing_period_start") == F.lit(JAN)).count() == 2
     assert change_event_match(change).count() >= 2
+
+
+def test_every_order_is_a_pull_request_and_every_line_a_change_event(spark):
+    sf = "/root/testdata/sf0.001"
+    orders, lines = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
+    prs, files = tables._mapped(spark, sf, tables.mapping.PULL_REQUESTS), tables._mapped(spark, sf, tables.mapping.PR_FILES)
+    known = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(spark.read.parquet(f"{sf}/part.parquet"), lines.l_partkey == F.col("p_partkey")).count()
+    assert prs.count() == orders.count() and files.count() == known
+    events = tables.mapped_events(spark, sf)
+    assert events.count() == known
+    for df in (prs, events):
+        assert df.select("priority").distinct().count() == orders.select("o_orderpriority").distinct().count()
