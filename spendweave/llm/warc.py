@@ -45,8 +45,6 @@ REVISIT_RECORD = 1000
 EPOCH = 1_577_836_800  # 2020-01-01 in UTC
 VERSION, CRLF = "WARC/1.1", "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CAPTURE = ("page_id long, url string, captured timestamp, record_type string, payload_bytes long, payload_digest string, refers_to long, "
-           "archive string, offset long, url_key string, place int")
 
 
 def url_key(url: Column) -> Column:
@@ -239,18 +237,12 @@ class LoserTree:
 
 
 def sorted_runs(captures: DataFrame) -> DataFrame:
-    """The captures of each archive in the order of the index, written as one run: ``place`` counts from 0."""
-    keyed = captures.withColumn("url_key", url_key(F.col("url")))
-    names = [*keyed.columns, "place"]
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        for archive in table.column("archive").unique().to_pylist() if table else []:
-            run = table.filter(pa.compute.equal(table.column("archive"), archive))
-            run = run.take(pa.compute.sort_indices(run, [("url_key", "ascending"), ("captured", "ascending"), ("page_id", "ascending")], null_placement="at_start"))
-            yield from run.append_column("place", pa.array(range(len(run)), pa.int32())).select(names).combine_chunks().to_batches()
-
-    return stored(keyed.mapInArrow(sort, CAPTURE), "warc-runs")
+    """The captures of each archive in the order of the index, written as one run: ``place`` grows along it.
+
+    An archive is read by one task, so its run needs a local sort only.
+    """
+    keyed = captures.withColumn("url_key", url_key(F.col("url"))).sortWithinPartitions("archive", "url_key", "captured", "page_id")
+    return stored(keyed.withColumn("place", F.monotonically_increasing_id()), "warc-runs")
 
 
 def merged_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
