@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,47 +15,68 @@ EXTRA_CANDIDATES = 3
 SHARED_WORDS = 0.5
 
 
-def chunk_spans(lines: list[str], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[tuple[int, int, str]]:
-    """(first line, end line, section) of each chunk of a document.
+# White space as Python's strip() sees it.
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def chunk_spans(lines: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
+    """Array of (first line, end line, section) of the chunks of a document, given as an array of its lines.
 
     A chunk is a run of whole lines of at most ``size`` characters, unless one line is longer. It
     starts with those trailing lines of the chunk before it that together fit in ``overlap``. Its
     section is the newest level 2 or 3 heading up to and including the line that closed it.
+
+    A fold over the lines; its state is the open chunk's first line, length and section, and the closed chunks.
     """
-    first, held, section = 0, 0, ""
-    for here, line in enumerate(lines):
-        bare = line.strip()
-        if bare.startswith(("## ", "### ")):
-            section = bare.lstrip("#").strip()
-        if here > first and held + len(line) > size:
-            yield first, here, section
-            low, first, held = first, here, 0
-            while first > low and held + len(lines[first - 1]) <= overlap:
-                first -= 1
-                held += len(lines[first])
-        held += len(line)
-    yield first, len(lines), section
+    sizes = F.transform(lines, F.length)
+    span = "struct<first:int,end:int,section:string>"
+
+    def section(line: Column, old: Column) -> Column:
+        bare = F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", "")
+        title = F.regexp_replace(F.regexp_replace(bare, "^#+", ""), f"^{BLANK}+", "")
+        return F.when(F.contains(line, F.lit("## ")) & bare.rlike("^###? "), title).otherwise(old)
+
+    def tail(state: Column, here: Column) -> Column:
+        """How many of the lines before ``here`` begin the next chunk, and their length."""
+        back = F.reverse(F.slice(sizes, state["first"] + 1, here - state["first"]))
+        start = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("held"), F.lit(True).alias("open"))
+
+        def step(kept: Column, n: Column) -> Column:
+            fits = kept["open"] & (kept["held"] + n <= overlap)
+            more = F.struct((kept["lines"] + 1).alias("lines"), (kept["held"] + n).alias("held"), F.lit(True).alias("open"))
+            return F.when(fits, more).otherwise(F.struct(kept["lines"].alias("lines"), kept["held"].alias("held"), F.lit(False).alias("open")))
+
+        return F.aggregate(back, start, step)
+
+    def closed(state: Column, end: Column, newest: Column) -> Column:
+        one = F.struct(state["first"].alias("first"), end.alias("end"), newest.alias("section"))
+        return F.concat(state["done"], F.array(one))
+
+    def step(state: Column, here: Column) -> Column:
+        n = F.get(sizes, here)
+        newest = section(F.get(lines, here), state["section"])
+        full = (here > state["first"]) & (state["held"] + n > size)
+        opened = F.transform(F.array(tail(state, here)), lambda kept: F.struct(
+            (here - kept["lines"]).alias("first"), (kept["held"] + n).alias("held"), newest.alias("section"), closed(state, here, newest).alias("done")))
+        longer = F.struct(state["first"].alias("first"), (state["held"] + n).alias("held"), newest.alias("section"), state["done"].alias("done"))
+        return F.when(full, F.get(opened, F.lit(0))).otherwise(longer)
+
+    empty = F.array().cast(f"array<{span}>")
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("held"), F.lit("").alias("section"), empty.alias("done"))
+    return F.aggregate(
+        F.sequence(F.lit(0), F.size(lines) - 1), start, step, lambda state: closed(state, F.size(lines), state["section"]))
 
 
 def chunk_docs(docs: DataFrame) -> DataFrame:
     """Chunks of every non-blank document (columns source, text), numbered in reading order.
 
-    The split is a sequential fold over a document's lines, which no built-in expresses; documents
-    are independent, so it runs per Arrow batch without a shuffle.
+    Documents are independent, so there is no shuffle; the lines are split once and folded in the JVM.
     """
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for source, text in zip(batch["source"], batch["text"]):
-                lines = text.split("\n")
-                for number, (first, end, section) in enumerate(chunk_spans(lines)):
-                    rows.append((source, number, section, "\n".join(lines[first:end])))
-            yield pd.DataFrame(rows, columns=["source", "chunk_no", "section", "text"])
-
     # Blank as Python's strip() sees it: any Unicode white space.
-    written = docs.where(F.col("text").rlike(r"(?U)\S")).select("source", "text")
-    return written.mapInPandas(split, "source string, chunk_no int, section string, text string")
+    written = docs.where(F.col("text").rlike(r"(?U)\S")).select("source", F.split("text", "\n").alias("_lines"))
+    spans = written.select("source", "_lines", F.posexplode(chunk_spans(F.col("_lines"))).alias("chunk_no", "_span"))
+    body = F.array_join(F.slice("_lines", F.col("_span.first") + 1, F.col("_span.end") - F.col("_span.first")), "\n")
+    return spans.select("source", "chunk_no", F.col("_span.section").alias("section"), body.alias("text"))
 
 
 def chunk_id(source: Column, section: Column, text: Column) -> Column:

@@ -3,14 +3,26 @@
 A needle is looked up through the one of its n-grams that is rarest among the haystacks, so the
 join is an equi-join on that n-gram followed by an exact check. Every true pair is found: when
 the needle lies in a haystack, so does each of its n-grams.
+
+Texts are matched once each, whatever groups they occur in. Haystacks are cut into n-grams once, and those that no
+needle has are dropped before any exchange (by a broadcast of the needles' n-grams up to ``MOST_BROADCAST_GRAMS``,
+by a join beyond). An n-gram that very many haystacks share is dealt over several tasks by a salt.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendweave.session import stored
+
 GRAM_SIZES = (8, 4, 2, 1)
+# Hashes of 8 bytes each.
+MOST_BROADCAST_GRAMS = 1_000_000
+# Haystacks of one n-gram in a task, at least; larger shares of all rows are dealt out, so at most 1,000 n-grams are.
+SALT_ROWS, SALT_SHARE = 100_000, 1000
 
 
 def _gram_size(text: Column) -> Column:
@@ -23,17 +35,32 @@ def _gram_size(text: Column) -> Column:
 
 
 def _explode_grams(df: DataFrame, text: str) -> DataFrame:
-    """One row per distinct n-gram (column ``_gram``) of a text, sized by the row's ``_size``.
+    """One row per distinct n-gram (its hash in column ``_gram``) of a text, sized by the row's ``_size``.
 
     Only the first place of an n-gram counts, so a text never meets the same n-gram twice.
     """
     size, starts = F.col("_size"), F.length(text) - F.col("_size") + 1
     placed = df.where(starts > 0).withColumn("_at", F.explode(F.sequence(F.lit(1), starts)))
-    return (
-        placed.withColumn("_gram", F.substring(text, F.col("_at"), size))
-        .where(F.instr(F.col(text), F.col("_gram")) == F.col("_at"))
-        .drop("_at")
-    )
+    gram = F.substring(text, F.col("_at"), size)
+    return placed.where(F.instr(F.col(text), gram) == F.col("_at")).withColumn("_gram", F.xxhash64(gram)).drop("_at", "_size")
+
+
+def _distinct(df: DataFrame, text: str, name: str, extra: list[str]) -> DataFrame:
+    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text).alias(name), *extra)
+    return rows if extra else rows.distinct()
+
+
+def _salted(grams: DataFrame, anchors: DataFrame, seen: DataFrame, rows: int) -> DataFrame:
+    """Haystacks and needles that share an anchor; a hot anchor's haystacks lie in several tasks, with its needles in each."""
+    chunk = max(SALT_ROWS, math.ceil(rows / SALT_SHARE))
+    hot = seen.where(F.col("_seen") > chunk).select("_gram", F.ceil(F.col("_seen") / chunk).cast("int").alias("_salts"))
+    if hot.isEmpty():
+        return grams.join(anchors, "_gram")
+    hot = F.broadcast(hot)  # at most SALT_SHARE rows
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = grams.join(hot, "_gram", "left").withColumn("_salt", F.pmod(F.xxhash64("_hay"), salts).cast("int")).drop("_salts")
+    copies = anchors.join(hot, "_gram", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copies, ["_gram", "_salt"])
 
 
 def containment_pairs(
@@ -42,53 +69,41 @@ def containment_pairs(
     haystack: str,
     needle: str,
     within: list[str] | None = None,
-    bounded_groups: bool = False,
+    haystack_extra: list[str] | None = None,
+    needle_extra: list[str] | None = None,
 ) -> DataFrame:
     """Distinct (``within``..., haystack, needle) rows where the haystack text contains the needle text.
 
-    Empty needles match nothing. ``within`` names columns both sides must agree on; say
-    ``bounded_groups`` when its values are bounded by nature (months), so they may be broadcast.
+    Empty needles match nothing. ``within`` names columns both sides must agree on; texts are matched
+    without them and the pairs then joined with the groups of either text. Extra columns of a side come along; its texts must
+    then be distinct.
     """
-    within = within or []
-    tasks = int(haystacks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Exploding multiplies rows, so the distinct texts are spread first instead of being merged
-    # into a few partitions by their small size.
-    hay = (
-        haystacks.select(*within, F.col(haystack).alias("_hay"))
-        .where("_hay is not null")
-        .distinct()
-        .repartition(tasks, *within, "_hay")
-    )
-    pins = (
-        needles.select(*within, F.col(needle).alias("_pin"))
-        .where("_pin is not null and _pin <> ''")
-        .distinct()
-        .withColumn("_size", _gram_size(F.col("_pin")))
-    )
-    pin_grams = _explode_grams(pins, "_pin")
-
-    # At most one row per n-gram size and `within` group, so haystacks emit only sizes that occur.
-    sizes = pins.select(*within, "_size").distinct()
-    if within:
-        sized = hay.join(F.broadcast(sizes), within) if bounded_groups else hay.join(sizes, within)
-    else:
-        sized = hay.withColumn("_size", F.explode(sizes.agg(F.collect_set("_size")).scalar()))
-    hay_grams = _explode_grams(sized, "_hay")
-
-    # A hot n-gram is counted map-side; it is then avoided as an anchor.
-    gram_key = [*within, "_size", "_gram"]
-    seen = hay_grams.groupBy(*gram_key).agg(F.count(F.lit(1)).alias("_seen"))
+    pins = _distinct(needles, needle, "_pin", needle_extra or []).withColumn("_size", _gram_size(F.col("_pin")))
+    pin_grams = stored(_explode_grams(pins, "_pin"), "needle-grams")
+    wanted = pin_grams.select("_gram").distinct()
+    if pin_grams.count() <= MOST_BROADCAST_GRAMS:
+        wanted = F.broadcast(wanted)
+
+    # Haystacks emit only sizes that occur.
+    hay = _distinct(haystacks, haystack, "_hay", haystack_extra or [])
+    sizes = pins.select("_size").distinct().agg(F.collect_set("_size")).scalar()
+    grams = _explode_grams(hay.withColumn("_size", F.explode(sizes)), "_hay")
+    grams = stored(grams.join(wanted, "_gram", "left_semi"), "haystack-grams")
+
+    seen = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_seen"))
+    extra = [F.first(c).alias(c) for c in needle_extra or []]
     anchors = (
-        pin_grams.join(seen, gram_key, "left")
-        .groupBy(*within, "_pin", "_size")
-        .agg(
-            F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_best")
-        )
+        pin_grams.join(seen, "_gram", "left")
+        .groupBy("_pin")
+        .agg(F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_best"), *extra)
         .where("_best.n > 0")
-        .select(*within, "_pin", "_size", F.col("_best.gram").alias("_gram"))
-    )
-    return (
-        hay_grams.join(anchors, gram_key)
-        .where(F.contains("_hay", "_pin"))
-        .select(*within, F.col("_hay").alias(haystack), F.col("_pin").alias(needle))
+        .withColumn("_gram", F.col("_best.gram")).drop("_best")
     )
+    found = _salted(grams, anchors, seen, grams.count()).where(F.contains("_hay", "_pin"))
+    pairs = found.select(
+        F.col("_hay").alias(haystack), F.col("_pin").alias(needle), *(haystack_extra or []), *(needle_extra or []))
+    if not within:
+        return pairs
+    mine = needles.select(*within, needle).distinct()
+    own = haystacks.select(*within, haystack).distinct()
+    return pairs.join(mine, needle).join(own, [*within, haystack]).select(*within, haystack, needle)

@@ -9,7 +9,7 @@ from spendweave.functions import codes
 from spendweave.functions.rules import lookup
 from spendweave.operators.containment import containment_pairs
 from spendweave.operators.ranking import top_per_group
-from spendweave.session import cut_lineage
+from spendweave.session import stored
 
 EVENT = ["pr_number", "pr_title", "pr_author", "description", "event_date"]
 
@@ -21,8 +21,8 @@ def short_id(event_id):
     )
 
 
-def change_event_match(events: DataFrame, window_days: int = codes.EVENT_WINDOW_DAYS) -> DataFrame:
-    """Last event of each (resource id, billing period) within the window around the period start.
+def change_event_match(events: DataFrame, window_days: int = codes.EVENT_WINDOW_DAYS, by: list[str] | None = None) -> DataFrame:
+    """Last event of each (``by``..., resource id, billing period) within the window around the period start.
 
     Each event is expanded to the months whose window holds it (at most two for a week), so
     matching resources is an equi-join on id and period.
@@ -41,7 +41,7 @@ def change_event_match(events: DataFrame, window_days: int = codes.EVENT_WINDOW_
         events.where("resource_id is not null and event_date is not null")
         .withColumn("_period", F.explode(near))
         .withColumn("_id", F.explode(ids))
-        .groupBy(F.col("_id").alias("resource_id"), F.col("_period").alias("current_period_start"))
+        .groupBy(*(by or []), F.col("_id").alias("resource_id"), F.col("_period").alias("current_period_start"))
         .agg(F.max_by(F.struct(*EVENT), F.struct("event_date", "event_seq", "pr_number")).alias("event"))
     )
 
@@ -86,37 +86,31 @@ def pr_resource_match(prs: DataFrame, changes: DataFrame, resources: DataFrame)
     """
     period = "billing_period_start"
     # Read by all three rules, so the parsed changes are written once.
-    mine = cut_lineage(prs.select("pr_number", period).join(changes, "pr_number").select(
+    mine = stored(prs.select("pr_number", period).join(changes, "pr_number").select(
         "pr_number", period,
         F.col("terraform_module").alias("change_module"),
         F.lower("resource_name").alias("change_name"),
         F.substring_index("terraform_module", "/", -1).alias("segment"),
         lookup(codes.TYPE_SERVICE_HINTS, F.col("resource_type")).alias("hint"),
-    ).distinct())
+    ).distinct(), "pr-changes")
     own = resources.select(
         period, "resource_id", F.nullif("terraform_module", F.lit("")).alias("terraform_module"),
         F.lower("resource_name").alias("name"), F.lower("service_name").alias("service"),
     )
-    by_module = (
-        containment_pairs(own, mine, "terraform_module", "change_module", [period], bounded_groups=True)
-        .join(mine.select("pr_number", period, "change_module").distinct(), [period, "change_module"])
-        .join(own.select(period, "resource_id", "terraform_module"), [period, "terraform_module"])
-    )
-    by_name = (
-        containment_pairs(own, mine, "name", "change_name", [period], bounded_groups=True)
-        .join(mine.select("pr_number", period, "change_name").distinct(), [period, "change_name"])
-        .join(own.select(period, "resource_id", "name"), [period, "name"])
-    )
     hints = F.array(*[F.lit(h) for h in codes.TYPE_SERVICE_HINTS.values()])
     hinted = own.withColumn("hint", F.explode(F.filter(hints, lambda h: F.contains(F.col("service"), h))))
-    typed = mine.where("hint is not null")
-    by_type = (
-        containment_pairs(hinted, typed, "terraform_module", "segment", [period], bounded_groups=True)
-        .join(typed.select("pr_number", period, "segment", "hint").distinct(), [period, "segment"])
-        .join(hinted.select(period, "resource_id", "terraform_module", "hint"), [period, "terraform_module", "hint"])
-    )
     key = [period, "pr_number", "resource_id"]
-    return by_module.select(key).unionByName(by_name.select(key)).unionByName(by_type.select(key)).distinct()
+
+    def matches(side: DataFrame, text: str, changes: DataFrame, part: str, also: list[str]) -> DataFrame:
+        """PRs and resources whose texts match. Texts meet once without period; a PR's texts are reduced to the matched ones first."""
+        texts = containment_pairs(side, changes, text, part)
+        near = changes.select("pr_number", period, part, *also).join(texts, part).select("pr_number", period, text, *also).distinct()
+        return near.join(side.select(period, "resource_id", text, *also), [period, text, *also]).select(key)
+
+    by_module = matches(own, "terraform_module", mine, "change_module", [])
+    by_name = matches(own, "name", mine, "change_name", [])
+    by_type = matches(hinted, "terraform_module", mine.where("hint is not null"), "segment", ["hint"])
+    return by_module.unionByName(by_name).unionByName(by_type).distinct()
 
 
 def pr_periods(prs: DataFrame, periods: DataFrame, before: int = 30, after: int = 31) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendweave.operators.containment import containment_pairs
-from spendweave.session import cut_lineage
+from spendweave.session import stored
 
 # Later sources win the description of an identifier they share; its place stays the earliest.
 SOURCE_ORDER = ["terraform", "arm", "cloudformation", "pulumi"]
@@ -47,16 +47,13 @@ def iac_match_exact(ids: DataFrame, index: DataFrame) -> DataFrame:
 def iac_match_fuzzy(ids: DataFrame, index: DataFrame) -> DataFrame:
     """Ids that contain an identifier or lie in one; the earliest identifier wins."""
     ids = ids.select("resource_id").where("resource_id <> ''").distinct()
-    inside = containment_pairs(ids, index, "resource_id", "identifier")
-    around = containment_pairs(index, ids, "identifier", "resource_id").select("resource_id", "identifier")
-    place = F.struct("rank", "ordinal", "identifier", "module", "iac_source")
-    return (
-        inside.unionByName(around)
-        .join(index, "identifier")
-        .groupBy("resource_id")
-        .agg(F.min(place).alias("_first"))
-        .select("resource_id", "_first.module", "_first.iac_source")
-    )
+    place = ["rank", "ordinal"]
+    inside = containment_pairs(ids, index, "resource_id", "identifier", needle_extra=place)
+    around = containment_pairs(index, ids, "identifier", "resource_id", haystack_extra=place)
+    # The pairs carry the identifier's place alone, and each task keeps a minimum per id before anything is exchanged.
+    first = inside.unionByName(around).groupBy("resource_id").agg(F.min(F.struct(*place, "identifier")).alias("_first"))
+    found = first.select("resource_id", F.col("_first.identifier").alias("identifier"))
+    return found.join(index.select("identifier", "module", "iac_source"), "identifier").select("resource_id", "module", "iac_source")
 
 
 def iac_match(ids: DataFrame, index: DataFrame) -> DataFrame:
@@ -64,7 +61,7 @@ def iac_match(ids: DataFrame, index: DataFrame) -> DataFrame:
 
     The distinct ids and the index are read many times over, so both are written once.
     """
-    ids, index = cut_lineage(ids.select("resource_id").distinct()), cut_lineage(index)
+    ids, index = stored(ids.select("resource_id").distinct(), "billed-ids"), stored(index, "iac-index")
     exact = iac_match_exact(ids, index)
     rest = ids.join(exact.select("resource_id"), "resource_id", "left_anti")
     return exact.unionByName(iac_match_fuzzy(rest, index))

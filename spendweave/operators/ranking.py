@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendweave.session import cut_lineage
+from spendweave.session import stored
+
+
+# Rows of a slice, which one task ranks.
+SLICE_ROWS = 100_000
+
+
+def _slices(df: DataFrame, keys: list, partitions: int | None) -> DataFrame:
+    """The rows range-partitioned on the keys, with the slice's number: as many slices as the rows ask for.
+
+    The rows are written first, so that counting them and sampling the bounds do not compute them again, and the slices are
+    written because a second run would sample other bounds.
+    """
+    rows = stored(df, "unranked")
+    partitions = partitions or max(1, math.ceil(rows.count() / SLICE_ROWS))
+    return stored(rows.repartitionByRange(partitions, *keys).withColumn("_slice", F.spark_partition_id()), "slices")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -27,12 +44,9 @@ def ranked(
     task ranks its own slice and the slice is shifted by the counts of the slices before it. The
     order must be total, or the rank of equal rows is arbitrary.
     """
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc() for c in group]
     keys += [F.col(c).desc() if down else F.col(c).asc() for c, down in order.items()]
-    # Range bounds are sampled anew by each run, so the slices are written once.
-    sliced = cut_lineage(df.repartitionByRange(partitions, *keys).withColumn("_slice", F.spark_partition_id()))
+    sliced = _slices(df, keys, partitions)
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per slice a group reaches: at most `partitions` rows per group.
     shifts = (
@@ -59,11 +73,7 @@ def running_count(values: DataFrame, group: str, value: str, weight: str, partit
 
     Same slicing as :func:`ranked`: slices add up their own weights and are shifted by earlier slices.
     """
-    spark = values.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = cut_lineage(
-        values.repartitionByRange(partitions, group, value).withColumn("_slice", F.spark_partition_id())
-    )
+    sliced = _slices(values, [F.col(group), F.col(value)], partitions)
     earlier = Window.unboundedPreceding
     shifts = (
         sliced.groupBy(group, "_slice")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendweave.functions.numbers import places
 from spendweave.functions.rules import blank_to_null, environment, environment_tag, other_iac_tool
 from spendweave.operators.iac import iac_match
 from spendweave.schemas import RESOURCE_KEY
+from spendweave.session import stored
+from spendweave.sources.sinks import replace_periods
 
 ATTRIBUTES = ["resource_name", "service_name", "service_category", "region"]
+OWNER = ["team", "cost_center", "env_tag"]
 
 
 def invoices(lines: DataFrame) -> DataFrame:
@@ -48,23 +53,49 @@ def resource_tags(lines: DataFrame) -> DataFrame:
     return seen.groupBy(*RESOURCE_KEY).agg(F.max_by("tags", last).alias("tags"))
 
 
+def line_partials(lines: DataFrame) -> DataFrame:
+    """The lines reduced to what resources, signals and periods need: one row per combination of their texts, with sums.
+
+    Costs and lines add up, sequences are first and last ones, so partials of several loads may be reduced again. Lines without a
+    resource are one row per period. All aggregate buffers are numbers, so Spark hashes and reduces before the shuffle.
+    """
+    tags, own = F.col("tags"), F.col("resource_id") != ""
+    texts = [
+        *[F.col(c) for c in ATTRIBUTES], tags["team"].alias("team"), tags["cost_center"].alias("cost_center"), environment_tag(tags).alias("env_tag"),
+        blank_to_null(F.col("charge_type")).alias("charge_type"), blank_to_null(F.col("description")).alias("description"),
+        F.when(F.size(tags) > 0, other_iac_tool(tags)).alias("other_tool"), tags.isNotNull().alias("tagged"),
+        blank_to_null(F.col("provider")).alias("provider"),
+    ]
+    names = [*ATTRIBUTES, *OWNER, "charge_type", "description", "other_tool", "tagged", "provider"]
+    rows = lines.select("resource_id", "billing_period_start", *texts, "billed_cost", "line_seq")
+    rows = rows.select("billing_period_start", *[F.when(own, F.col(c)).alias(c) for c in ("resource_id", *names)], "billed_cost", "line_seq")
+    return rows.groupBy(*RESOURCE_KEY, *names).agg(
+        F.sum("billed_cost").alias("cost"), F.count(F.lit(1)).alias("lines"), F.min("line_seq").alias("first_seq"), F.max("line_seq").alias("last_seq"))
+
+
+def as_partials(lines: DataFrame) -> DataFrame:
+    """Partials of lines; partials themselves stay as they are."""
+    return lines if "first_seq" in lines.columns else line_partials(lines)
+
+
+def update_partials(lines: DataFrame, path: str, periods: list[date]) -> None:
+    """Replaces the partials of the given billing months in the table at ``path``; other months are neither read nor written."""
+    replace_periods(line_partials(lines.where(F.col("billing_period_start").isin(periods))), path, periods)
+
+
+def _by_resource(partials: DataFrame) -> DataFrame:
+    """Partials of resources, dealt by resource and period, which every aggregate below then shares."""
+    return partials.where("resource_id is not null").repartition(*RESOURCE_KEY)
+
+
 def resource_costs(lines: DataFrame) -> DataFrame:
     """Cost of each (resource, period), described by its costliest group of attributes.
 
-    Owner and environment come from the last tags. The first aggregate keeps only numbers in its
-    buffers, so it hashes; the later ones see one row per combination.
+    Owner and environment come from the last tags, the provider from the last line that names one. ``lines`` may be partials.
     """
-    tags = F.col("tags")
-    owned = lines.where("resource_id <> ''").select(
-        *RESOURCE_KEY, *ATTRIBUTES, "billed_cost", "line_seq", tags.isNotNull().alias("_tagged"),
-        tags["team"].alias("team"), tags["cost_center"].alias("cost_center"), environment_tag(tags).alias("env_tag"),
-    )
-    owner = ["team", "cost_center", "env_tag"]
-    by_group = owned.groupBy(*RESOURCE_KEY, *ATTRIBUTES, "_tagged", *owner).agg(
-        F.sum("billed_cost").alias("_cost"), F.max("line_seq").alias("_seq")
-    )
-    by_attributes = by_group.groupBy(*RESOURCE_KEY, *ATTRIBUTES).agg(
-        F.sum("_cost").alias("_cost"), F.max(F.when(F.col("_tagged"), F.struct("_seq", *owner))).alias("_last")
+    by_attributes = _by_resource(as_partials(lines)).groupBy(*RESOURCE_KEY, *ATTRIBUTES).agg(
+        F.sum("cost").alias("_cost"), F.max(F.when(F.col("tagged"), F.struct("last_seq", *OWNER))).alias("_last"),
+        F.max(F.when(F.col("provider").isNotNull(), F.struct("last_seq", "provider"))).alias("_provider"),
     )
     return (
         by_attributes.groupBy(*RESOURCE_KEY)
@@ -72,27 +103,31 @@ def resource_costs(lines: DataFrame) -> DataFrame:
             F.sum("_cost").alias("_total"),
             F.max_by(F.struct(*ATTRIBUTES), F.struct("_cost", *ATTRIBUTES)).alias("_a"),
             F.max("_last").alias("_last"),
+            F.max("_provider").alias("_provider"),
         )
         .select(
-            *RESOURCE_KEY, "_a.*", *[F.col(f"_last.{c}").alias(c) for c in owner],
+            *RESOURCE_KEY, "_a.*", *[F.col(f"_last.{c}").alias(c) for c in OWNER], F.col("_provider.provider").alias("provider"),
             places(F.coalesce("_total", F.lit(0)), 2).cast("decimal(18,2)").alias("total_cost"),
         )
     )
 
 
-def resources(lines: DataFrame, iac_index: DataFrame | None = None) -> DataFrame:
-    """One row per resource and billing period, with owner, IaC source and environment."""
+def resources(lines: DataFrame, iac_index: DataFrame | None = None, iac_id: Column | None = None) -> DataFrame:
+    """One row per resource and billing period, with owner, provider, IaC source and environment. ``lines`` may be partials.
+
+    ``iac_id`` is the id by which state knows a resource, if not its own.
+    """
     costs = resource_costs(lines)
     if iac_index is None:
         found = costs.withColumn("terraform_module", F.lit(None).cast("string")).withColumn(
             "_source", F.lit(None).cast("string")
         )
     else:
-        match = iac_match(lines.where("resource_id <> ''"), iac_index)
-        found = costs.join(
-            match.select("resource_id", F.col("module").alias("terraform_module"), F.col("iac_source").alias("_source")),
-            "resource_id", "left",
-        )
+        costs = stored(costs, "resource-costs")  # the ids to match come from here too, not from the lines again
+        costs = costs.withColumn("_iac_id", F.col("resource_id") if iac_id is None else iac_id)
+        match = iac_match(costs.select(F.col("_iac_id").alias("resource_id")), iac_index)
+        known = [F.col("resource_id").alias("_iac_id"), F.col("module").alias("terraform_module"), F.col("iac_source").alias("_source")]
+        found = costs.join(match.select(known), "_iac_id", "left")
     return found.select(
         *RESOURCE_KEY, *ATTRIBUTES,
         "team", "cost_center",
@@ -100,7 +135,7 @@ def resources(lines: DataFrame, iac_index: DataFrame | None = None) -> DataFrame
         "terraform_module",
         F.coalesce("_source", F.lit("none")).alias("iac_source"),
         environment(F.col("resource_name"), F.col("env_tag"), F.col("terraform_module")).alias("environment"),
-        "total_cost",
+        "total_cost", "provider",
     )
 
 
@@ -108,24 +143,18 @@ def resource_signals(lines: DataFrame) -> DataFrame:
     """Charge types in first-seen order, first description, and whether the first tags name another IaC tool.
 
     Keyed by (resource, period). The collected list holds distinct charge types only, a billing
-    vocabulary of a few dozen words.
+    vocabulary of a few dozen words. ``lines`` may be partials.
     """
-    tags = F.col("tags")
-    tool = F.when(F.size(tags) > 0, other_iac_tool(tags)).alias("_tool")
-    named = blank_to_null(F.col("charge_type")).alias("charge_type")
-    described = blank_to_null(F.col("description")).alias("description")
-    own = lines.where("resource_id <> ''").select(*RESOURCE_KEY, named, described, tool, "line_seq")
-    seen = own.groupBy(*RESOURCE_KEY, "charge_type", "description", "_tool").agg(F.min("line_seq").alias("_seq"))
-    by_type = seen.groupBy(*RESOURCE_KEY, "charge_type").agg(
-        F.min("_seq").alias("_seq"),
-        F.min(F.when(F.col("description").isNotNull(), F.struct("_seq", "description"))).alias("_d"),
-        F.min(F.when(F.col("_tool").isNotNull(), F.struct("_seq", "_tool"))).alias("_t"),
+    by_type = _by_resource(as_partials(lines)).groupBy(*RESOURCE_KEY, "charge_type").agg(
+        F.min("first_seq").alias("_seq"),
+        F.min(F.when(F.col("description").isNotNull(), F.struct("first_seq", "description"))).alias("_d"),
+        F.min(F.when(F.col("other_tool").isNotNull(), F.struct("first_seq", "other_tool"))).alias("_t"),
     )
     typed = F.when(F.col("charge_type").isNotNull(), F.struct("_seq", "charge_type"))
     return by_type.groupBy(*RESOURCE_KEY).agg(
         F.transform(F.array_sort(F.collect_list(typed)), lambda s: s["charge_type"]).alias("charge_types"),
         F.min("_d")["description"].alias("description"),
-        F.min("_t")["_tool"].alias("other_tool"),
+        F.min("_t")["other_tool"].alias("other_tool"),
     )
 
 

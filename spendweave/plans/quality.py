@@ -168,6 +168,15 @@ def dq_generic(tables: dict[str, tuple[DataFrame, Expectations]]) -> DataFrame:
     return out
 
 
+def verdicts(checks: DataFrame) -> DataFrame:
+    """One row per check: the worst status of its periods, how many there are and how many failed or warned."""
+    failed, warned = F.count_if(F.col("status") == "fail"), F.count_if(F.col("status") == "warn")
+    return checks.groupBy("check").agg(
+        F.when(failed > 0, "fail").when(warned > 0, "warn").otherwise("pass").alias("verdict"),
+        F.count(F.lit(1)).alias("periods"), failed.alias("failed"), warned.alias("warned"),
+    )
+
+
 def dq_gate(checks: DataFrame, log_path: str | None = None) -> DataFrame:
     """Writes the checks to the quality log, then raises when any of them failed; warnings pass.
 
@@ -176,9 +185,8 @@ def dq_gate(checks: DataFrame, log_path: str | None = None) -> DataFrame:
     if log_path is not None:
         checks = cut_lineage(checks)
         write_table(checks, log_path, [PERIOD])
-    failed = checks.where("status = 'fail'").groupBy("check").agg(F.count(F.lit(1)).alias("n")).orderBy("check")
     # One row per kind of check.
-    rows = failed.collect()
+    rows = verdicts(checks).where("verdict = 'fail'").orderBy("check").collect()
     if rows:
-        raise QualityError("; ".join(f"{r['check']}: {r['n']} period(s)" for r in rows))
+        raise QualityError("; ".join(f"{r['check']}: {r['failed']} period(s)" for r in rows))
     return checks

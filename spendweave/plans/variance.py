@@ -16,8 +16,9 @@ from spendweave.operators.pairs import (
     side,
     variance_pairs,
 )
-from spendweave.operators.silver import billing_periods, resource_signals, resources
+from spendweave.operators.silver import billing_periods, line_partials, resource_signals, resources
 from spendweave.schemas import PAIR
+from spendweave.session import stored
 
 REPORT = [
     *PAIR, "resource_id", "resource_name", "service_name", "team", "cost_center", "prior_cost", "current_cost",
@@ -174,12 +175,16 @@ def compute_variance(
     pairs: DataFrame | None = None,
     baseline: str = "prior_month",
 ) -> DataFrame:
-    """Variance report of the given pairs, or of all consecutive months, in one job."""
+    """Variance report of the given pairs, or of all consecutive months, in one job. ``lines`` may be their partials."""
     if pairs is None:
         pairs = consecutive_pairs(billing_periods(lines))
     return report(classified_variance(lines, silver, events, pairs, baseline))
 
 
 def run_pipeline(lines: DataFrame, iac_index: DataFrame, events: DataFrame) -> DataFrame:
-    """Charge lines to variance report over all consecutive months."""
-    return compute_variance(lines, resources(lines, iac_index), events)
+    """Charge lines to variance report over all consecutive months.
+
+    The lines are scanned once: costs, ids, signals and months come from their partials, which are written once.
+    """
+    partials = stored(line_partials(lines), "line-partials")
+    return compute_variance(partials, stored(resources(partials, iac_index), "resources"), events)

@@ -31,6 +31,13 @@ def new_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/spendweave/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: computed once, and not lost with an executor."""
+    path = new_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a cached block."""
     spark = df.sparkSession

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PERIOD, PAIR, TENANT = ["billing_period_start"], ["prior_period_start", "current_period_start"], ["user_id"]
+
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Writes a table, replacing only the partitions that occur in ``df``.
@@ -23,35 +29,94 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    files, target = _folder(spark, path)
+    return files.exists(target)
 
 
-def replace_period_pair(variance: DataFrame, path: str) -> None:
-    """Replaces the rows of every (prior, current) pair in ``variance``."""
-    write_table(variance, path, ["prior_period_start", "current_period_start"])
+def _partition(keys: list[str], values: tuple[Any, ...]) -> str:
+    """The folder of a partition. Keys are dates and numbers, whose text needs no escaping."""
+    for value in values:
+        if not isinstance(value, (date, int, type(None))):
+            raise TypeError(f"partition value {value!r} is neither a date nor a number")
+    return "/".join(f"{k}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for k, v in zip(keys, values, strict=True))
 
 
-def replace_periods(df: DataFrame, path: str) -> None:
-    """Replaces the billing periods in ``df``. Silver rows are a pure function of bronze, so this is their upsert."""
-    write_table(df, path, ["billing_period_start"])
+def replace_partitions(df: DataFrame, path: str, keys: list[str], scope: list[tuple[Any, ...]]) -> None:
+    """Replaces the partitions of ``scope`` and all others that occur in ``df``. A partition of the scope without rows is emptied.
+
+    Rows are written aside in one job, then each partition's folder is removed and the new one, if any, moved into its place.
+    So nothing is lost if the job fails, and a call that is broken off later may be repeated. ``scope`` is a list of periods or
+    tenants, bounded by their number.
+    """
+    spark = df.sparkSession
+    files, root = _folder(spark, path)
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"  # readers skip names that begin with an underscore
+    df.hint("rebalance", *keys).write.partitionBy(*keys).parquet(staged)
+    _, aside = _folder(spark, staged)
+    new = _partitions(files, aside, "", len(keys))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for name in sorted({_partition(keys, values) for values in scope} | set(new)):
+        target = hadoop(root, name)
+        files.delete(target, True)
+        if name in new:
+            files.mkdirs(target.getParent())
+            if not files.rename(hadoop(aside, name), target):
+                raise OSError(f"{name} could not be moved to {path}")
+    files.delete(aside, True)
+
+
+def _partitions(files, root, below: str, depth: int) -> list[str]:
+    """Names of the partition folders so many levels down."""
+    if depth == 0:
+        return [below]
+    names = [s.getPath().getName() for s in files.listStatus(root) if s.isDirectory()]
+    out = []
+    for name in names:
+        child = root.suffix(f"/{name}")
+        out += _partitions(files, child, f"{below}/{name}" if below else name, depth - 1)
+    return out
+
+
+def replace_period_pair(variance: DataFrame, path: str, pairs: list[tuple[date, date]] | None = None) -> None:
+    """Replaces the rows of every (prior, current) pair in ``variance``, and of the pairs named, which may have none now."""
+    replace_partitions(variance, path, PAIR, pairs or [])
+
+
+def replace_periods(df: DataFrame, path: str, periods: list[date] | None = None) -> None:
+    """Replaces the billing periods in ``df`` and those named. Silver rows are a pure function of bronze, so this is their upsert."""
+    replace_partitions(df, path, PERIOD, [(p,) for p in periods or []])
+
+
+def replace_tenants(df: DataFrame, path: str, tenants: list[int]) -> None:
+    """Replaces all rows of the tenants by those of ``df`` (with ``user_id``), in one job."""
+    replace_partitions(df.where(F.col("user_id").isin(tenants)), path, TENANT, [(t,) for t in tenants])
 
 
 def replace_tenant(df: DataFrame, path: str, tenant: int) -> None:
     """Replaces all rows of one tenant."""
-    write_table(df.withColumn("user_id", F.lit(tenant).cast("int")), path, ["user_id"])
+    replace_tenants(df.withColumn("user_id", F.lit(tenant).cast("int")), path, [tenant])
+
+
+def replace_pr_events(events: DataFrame, path: str, periods: list[date]) -> None:
+    """Replaces the pull-request events around the given billing periods; a period none falls near any more is emptied."""
+    replace_partitions(events, path, PERIOD, [(p,) for p in periods])
 
 
 def export_period_tables(tables: dict[str, tuple[DataFrame, str]], root: str, period=None) -> None:
     """Exports tables below ``root``; each comes with its period column.
 
-    With a period only that period is replaced. False, zero and empty text are kept as they are.
+    With a period only that period is replaced, also by nothing. False, zero and empty text are kept as they are.
     """
     for name, (df, column) in tables.items():
         rows = df if period is None else df.where(F.col(column) == F.lit(period))
-        write_table(rows, f"{root}/{name}", [column])
+        replace_partitions(rows, f"{root}/{name}", [column], [] if period is None else [(period,)])
 
 
 def write_gl_csv(journal: DataFrame, path: str) -> None:

@@ -134,8 +134,9 @@ SELECT l_orderkey * 8 + l_linenumber AS event_seq,
   'c' || CAST(l_orderkey AS STRING) AS commit_sha,
   {MODULE} AS terraform_module,
   CASE WHEN l_orderkey % 8 = 0 THEN NULL ELSE 'Apply of order ' || CAST(l_orderkey AS STRING) END AS description,
-  CAST(l_extendedprice * 0 + 500 AS DECIMAL(18,2)) AS estimated_cost_delta,
-  o_orderpriority AS priority
+  CAST(l_extendedprice / 100 AS DECIMAL(18,2)) AS estimated_cost_delta,
+  o_orderpriority AS priority,
+  CAST(l_suppkey % 3 + 1 AS INT) AS user_id
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey
 """
 

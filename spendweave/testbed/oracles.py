@@ -100,6 +100,15 @@ FROM ({inner})
 """
 
 
+CHUNK_CHARS, CHUNK_OVERLAP = 800, 100
+
+
+def _chunk_end(first: str, after: str) -> str:
+    """The line that closes a chunk: the first one behind line ``after`` with which the chunk gets too long; else the end."""
+    return f"""coalesce({after} + nullif(list_position(list_transform(run[{after} + 3:], lambda x: x - run[{first} + 1] > {CHUNK_CHARS}), true), 0), len(sizes))::BIGINT"""
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _PRIOR_SIDE = """SELECT pairs.*, r.*, r.total_cost AS cost FROM pairs
   JOIN res r ON r.billing_period_start = pairs.prior_period_start"""
 
@@ -135,21 +144,26 @@ SELECT resource_id, billing_period_start, tag_team, tag_cost_center, tag_environ
   SELECT *, row_number() OVER (PARTITION BY resource_id, billing_period_start ORDER BY line_seq DESC) AS rn
   FROM bl WHERE resource_id <> ''
     AND coalesce(tag_team, tag_cost_center, tag_environment, tag_managed_by, tag_stack) IS NOT NULL) WHERE rn = 1""",
+    "last_provider": """
+SELECT resource_id, billing_period_start, provider FROM (
+  SELECT *, row_number() OVER (PARTITION BY resource_id, billing_period_start ORDER BY line_seq DESC, provider DESC) AS rn
+  FROM bl WHERE resource_id <> '' AND provider <> '') WHERE rn = 1""",
     "attr_costs": """
 SELECT resource_id, billing_period_start, resource_name, service_name, service_category, region, sum(billed_cost) AS c
 FROM bl WHERE resource_id <> '' GROUP BY ALL""",
     "res": f"""
 SELECT resource_id, billing_period_start, resource_name, service_name, service_category, region, tag_team AS team,
-  tag_cost_center AS cost_center, in_terraform_state, terraform_module, iac_source, {_environment()} AS environment, total_cost
+  tag_cost_center AS cost_center, in_terraform_state, terraform_module, iac_source, {_environment()} AS environment, total_cost, provider
 FROM (
   SELECT a.resource_id, a.billing_period_start, a.resource_name, a.service_name, a.service_category, a.region,
     t.tag_team, t.tag_cost_center, t.tag_environment, m.resource_id IS NOT NULL AS in_terraform_state,
-    m.module AS terraform_module, coalesce(m.iac_source, 'none') AS iac_source, a.total_cost
+    m.module AS terraform_module, coalesce(m.iac_source, 'none') AS iac_source, a.total_cost, v.provider
   FROM (SELECT *, CAST(round(sum(c) OVER w, 2) AS DECIMAL(18,2)) AS total_cost,
       row_number() OVER (PARTITION BY resource_id, billing_period_start ORDER BY c DESC, coalesce(service_name, '') DESC, region DESC) AS rn
     FROM attr_costs WINDOW w AS (PARTITION BY resource_id, billing_period_start)) a
   LEFT JOIN last_tags t ON a.resource_id = t.resource_id AND a.billing_period_start = t.billing_period_start
   LEFT JOIN matched m ON a.resource_id = m.resource_id
+  LEFT JOIN last_provider v ON a.resource_id = v.resource_id AND a.billing_period_start = v.billing_period_start
   WHERE a.rn = 1)""",
     "pairs": """
 SELECT p AS prior_period_start, c AS current_period_start FROM (
@@ -257,7 +271,7 @@ FROM alloc WHERE resource_id <> '' GROUP BY ALL""",
     "sbl": "SELECT *, charge_type = 'Credit' AS is_credit, charge_type = 'Usage' AS is_usage FROM bl WHERE charge_type <> 'Credit'",
     "sres": """
 SELECT resource_id, billing_period_start, coalesce(resource_name, resource_id) AS resource_name, service_name,
-  coalesce(service_category, 'Uncategorized') AS service_category, coalesce(region, 'unknown') AS region, 'AWS' AS provider,
+  coalesce(service_category, 'Uncategorized') AS service_category, coalesce(region, 'unknown') AS region, coalesce(provider, 'AWS') AS provider,
   coalesce(team, 'Unattributed') AS team, coalesce(cost_center, 'UNALLOCATED') AS cost_center, in_terraform_state,
   terraform_module, total_cost,
   CASE WHEN in_terraform_state THEN 'managed' WHEN coalesce(team, '') <> '' THEN 'tagged_only' ELSE 'unmanaged' END AS management_status
@@ -301,6 +315,45 @@ WHERE (coalesce(r.terraform_module, '') <> '' AND contains(r.terraform_module, c
   OR (c.resource_name <> '' AND contains(lower(r.resource_name), lower(c.resource_name)))
   OR (contains(lower(r.service_name), {_case('c.resource_type', codes.TYPE_SERVICE_HINTS)})
     AND coalesce(r.terraform_module, '') <> '' AND contains(r.terraform_module, regexp_extract(c.terraform_module, '[^/]*$')))""",
+    "flagged": """
+SELECT r.resource_id, r.billing_period_start AS p, r.in_terraform_state OR ev.rid IS NOT NULL AS m FROM res r
+LEFT JOIN ev ON ev.rid = r.resource_id AND ev.current_period_start = r.billing_period_start""",
+    # -- chunks: a line's length and heading, running lengths, and from a chunk's first line the next chunk's
+    "chunk_lines": rf"""
+SELECT doc_id, k, length(line)::BIGINT AS n, CASE WHEN regexp_matches(bare, '^###? ') THEN trim(ltrim(bare, '#'), {_BLANKS}) END AS head, line
+FROM (SELECT doc_id, k, line, trim(line, {_BLANKS}) AS bare FROM (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS k
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE regexp_matches(text, '[^\s]'))))""",
+    "chunk_lists": """
+SELECT doc_id, list(line ORDER BY k) AS lines, list(n ORDER BY k) AS sizes, list_prepend(0::BIGINT, list(upto ORDER BY k)) AS run,
+  list({'k': k, 'head': head} ORDER BY k) FILTER (head IS NOT NULL) AS heads
+FROM (SELECT *, (sum(n) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS upto FROM chunk_lines) GROUP BY doc_id""",
+    "chunk_ends": f"""
+SELECT doc_id, 0::BIGINT AS chunk_no, 0::BIGINT AS first, {_chunk_end('0', '0')} AS last FROM chunk_lists
+UNION ALL
+SELECT doc_id, chunk_no + 1, next, {_chunk_end('next', 'last')} FROM (
+  SELECT c.doc_id, chunk_no, sizes, run, last, (last - len(list_filter(run[first + 1:last], lambda x: run[last + 1] - x <= {CHUNK_OVERLAP})))::BIGINT AS next
+  FROM chunk_ends c JOIN chunk_lists l ON l.doc_id = c.doc_id WHERE last < len(sizes))""",
+    "chunks": """
+SELECT c.doc_id, chunk_no, array_to_string(lines[first + 1:last], chr(10)) AS text,
+  coalesce(list_filter(heads, lambda h: h.k <= last)[-1].head, '') AS section
+FROM chunk_ends c JOIN chunk_lists l ON l.doc_id = c.doc_id""",
+    # -- vectors nearest to the mean, and those of them that share half their words with no earlier kept one
+    "near_mean": """
+SELECT vec_id, label, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT list(m ORDER BY i) FROM (
+  SELECT i, avg(x) AS m FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i))) AS distance
+FROM embeddings""",
+    "near_words": r"""
+SELECT rank, vec_id, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM (
+  SELECT row_number() OVER (ORDER BY distance, vec_id) AS rank, vec_id, text, distance FROM near_mean JOIN documents ON doc_id = vec_id)
+WHERE rank <= 8 AND distance <= 1.2""",
+    "word_clashes": """
+SELECT a.rank, list(b.rank) FILTER (least(len(a.words), len(b.words)) > 0 AND len(list_intersect(a.words, b.words)) > 0.5 * least(len(a.words), len(b.words))) AS earlier
+FROM near_words a LEFT JOIN near_words b ON b.rank < a.rank GROUP BY a.rank""",
+    "kept_ranks": """
+SELECT 0::BIGINT AS upto, []::BIGINT[] AS kept UNION ALL
+SELECT rank, CASE WHEN len(kept) < 5 AND NOT list_has_any(kept, coalesce(earlier, [])) THEN list_append(kept, rank) ELSE kept END
+FROM kept_ranks JOIN word_clashes ON rank = upto + 1""",
     "redelivered": """
 SELECT line_id, line_seq, invoice_id, resource_id, charge_period_start, charge_type, billed_cost FROM bl WHERE billing_period_start >= DATE '1997-07-01'
 UNION ALL SELECT line_id || '-again', line_seq, invoice_id, resource_id, charge_period_start, charge_type, billed_cost FROM bl
@@ -310,6 +363,19 @@ SELECT i.*, CASE WHEN nth = 1 AND NOT EXISTS (SELECT 1 FROM bl s WHERE s.billing
     AND s.invoice_id IS NOT DISTINCT FROM i.invoice_id AND s.resource_id IS NOT DISTINCT FROM i.resource_id
     AND s.charge_period_start IS NOT DISTINCT FROM i.charge_period_start) THEN 'kept' ELSE 'duplicate' END AS load_status
 FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id, resource_id, charge_period_start ORDER BY line_seq, line_id) AS nth FROM redelivered) i""",
+    # Lines dated by spot lines have no charge date once their date is unreadable.
+    "landed_keys": """
+SELECT invoice_id, nullif(resource_id, '') AS rid, CASE WHEN charge_type = 'SpotUsage' THEN NULL ELSE charge_period_start END AS charged, charge_type, billing_period_start
+FROM redelivered_lines""",
+    "streamed": """
+SELECT *, CAST(date_trunc('month', charged) AS DATE) AS billing_period_start FROM (
+  SELECT DISTINCT 0 AS delivery, invoice_id, nullif(resource_id, '') AS rid, charge_period_start AS charged FROM bl WHERE billing_period_start < DATE '1998-01-01'
+  UNION ALL SELECT 1, invoice_id, rid, charged FROM new_keys)""",
+    "redelivered_lines": "SELECT * FROM bl WHERE billing_period_start >= DATE '1997-07-01'",
+    "new_keys": """
+SELECT DISTINCT invoice_id, rid, charged FROM landed_keys k WHERE coalesce(charge_type, '') <> 'Tax' AND NOT EXISTS (
+  SELECT 1 FROM bl s WHERE s.billing_period_start < DATE '1998-01-01' AND s.invoice_id IS NOT DISTINCT FROM k.invoice_id
+    AND nullif(s.resource_id, '') IS NOT DISTINCT FROM k.rid AND s.charge_period_start IS NOT DISTINCT FROM k.charged)""",
     "drift": f"SELECT * FROM vr WHERE {in_list('reason_code', codes.DRIFT_CODES)}",
     "growth": f"""
 SELECT *, current_cost - prior_cost AS delta,
@@ -329,20 +395,26 @@ FROM res WHERE total_cost <> 0""",
 }
 
 
-def with_views(sql: str) -> str:
-    """Puts the views a text mentions in front of it, those they mention first."""
+# Views that a text reads more than once and that are costly.
+MATERIALIZED = {"flagged", "ev", "chunk_lists", "near_words"}
+
+
+def with_views(sql: str, instead: dict[str, str] | None = None) -> str:
+    """Puts the views a text mentions in front of it, those they mention first. ``instead`` replaces some."""
+    views = CTES | (instead or {})
     order: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str) -> None:
-        for name in CTES:
-            if name not in order and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
-                need(CTES[name])
-                if name not in order:
-                    order.append(name)
+        for name in views:
+            if name not in seen and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+                seen.add(name)
+                need(views[name])
+                order.append(name)
 
     need(sql)
-    views = ",\n".join(f"{name} AS ({CTES[name]})" for name in order)
-    return f"WITH {views}\n{sql}" if views else sql
+    texts = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in MATERIALIZED else ''}({views[name]})" for name in order)
+    return f"WITH RECURSIVE {texts}\n{sql}" if texts else sql
 
 
 KEY = "resource_id, billing_period_start"
@@ -350,22 +422,30 @@ STAGED_SPEND = "CAST(total_cost AS DOUBLE) AS total_cost"
 LINES = f"""billing_period_start, billing_period_end, CAST(charge_period_start AS VARCHAR) AS charge_period_start"""
 NUMBERS = ", ".join(f"{dbl(c)} AS {c}" for c in ("quantity", "unit_price", "billed_cost", "list_cost"))
 
-SELECTS: dict[str, str] = {
-    # -- exports
-    "scan_focus_csv": f"""SELECT invoice_id, {LINES}, service_name, service_category, nullif(resource_id, '') AS resource_id,
-  resource_name, region, charge_type, nullif(description, '') AS description, {NUMBERS}, coalesce(provider, 'AWS') AS provider,
-  tag_team AS team, tag_environment AS env FROM bl""",
-    "scan_azure_csv": f"""SELECT invoice_id, {LINES},
-  CASE WHEN a.resource_id LIKE '%Microsoft.Compute/virtualMachines/%' THEN 'Virtual Machines'
+LOADED = """(SELECT count(*) FROM redelivered) AS rows_read, (SELECT count(*) FROM redelivered WHERE charge_type = 'Tax') AS errors,
+  (SELECT count(*) FROM new_keys) AS rows_inserted,
+  (SELECT count(*) FROM redelivered WHERE coalesce(charge_type, '') <> 'Tax') - (SELECT count(*) FROM new_keys) AS rows_skipped"""
+BROKEN = """nullif(CASE WHEN description LIKE 'Spot%' THEN description || chr(10) || 'billed "as is", per hour' ELSE description END, '')"""
+ARM_SERVICE = """CASE WHEN a.resource_id LIKE '%Microsoft.Compute/virtualMachines/%' THEN 'Virtual Machines'
     WHEN a.resource_id LIKE '%Microsoft.Sql/servers/%' THEN 'SQL Database'
     WHEN a.resource_id LIKE '%Microsoft.Storage/storageAccounts/%' THEN 'Storage'
     WHEN a.resource_id LIKE '%Contoso.Backup%' THEN 'vaultStores'
-    WHEN a.resource_id LIKE '%Microsoft.Classic%' THEN 'Virtual MachinesSets' END AS service_name,
+    WHEN a.resource_id LIKE '%Microsoft.Classic%' THEN 'Virtual MachinesSets' END"""
+SELECTS: dict[str, str] = {
+    # -- exports
+    "scan_focus_csv": f"""SELECT invoice_id, {LINES}, service_name, service_category, nullif(resource_id, '') AS resource_id,
+  resource_name, region, charge_type, {BROKEN} AS description, {NUMBERS}, coalesce(provider, 'AWS') AS provider,
+  tag_team AS team, tag_environment AS env FROM bl WHERE user_id < 3
+UNION ALL SELECT invoice_id, {LINES}, {ARM_SERVICE} AS service_name,
+  service_category, a.resource_id, resource_name, region, charge_type, {BROKEN} AS description, {NUMBERS},
+  'Azure' AS provider, tag_team AS team, tag_environment AS env
+FROM bl JOIN arm_ids a ON CAST(split_part(bl.line_id, '-', 2) AS BIGINT) = a.p_partkey WHERE user_id = 3""",
+    "scan_azure_csv": f"""SELECT invoice_id, {LINES}, {ARM_SERVICE} AS service_name,
   service_category, a.resource_id, resource_name, region, charge_type, nullif(description, '') AS description, {NUMBERS},
   'Azure' AS provider, tag_team AS team, tag_environment AS env
 FROM bl JOIN arm_ids a ON CAST(split_part(bl.line_id, '-', 2) AS BIGINT) = a.p_partkey""",
-    "detect_format": """SELECT 'focus' AS export, 'AWS' AS provider, count(*) AS rows FROM bl
-UNION ALL SELECT 'azure', 'Azure', count(*) FROM bl""",
+    "detect_format": """SELECT 'InvoiceId' AS first_column, 'AWS' AS provider, count(*) AS rows FROM bl WHERE user_id = 1
+UNION ALL SELECT 'Provider', 'AWS', count(*) FROM bl WHERE user_id = 2 UNION ALL SELECT 'InvoiceId', 'Azure', count(*) FROM bl WHERE user_id = 3""",
     "map_columns": """SELECT invoice_id, CAST(billing_period_start AS VARCHAR) AS billing_period_start,
   CAST(billing_period_end AS VARCHAR) AS billing_period_end, CAST(charge_period_start AS VARCHAR) AS charge_period_start,
   CAST(charge_period_end AS VARCHAR) AS charge_period_end, service_name, service_category, nullif(resource_id, '') AS resource_id,
@@ -378,8 +458,12 @@ UNION ALL SELECT 'azure', 'Azure', count(*) FROM bl""",
   CASE WHEN charge_type = 'Tax' THEN 'billed_cost' ELSE '' END AS rejected,
   CASE WHEN charge_type = 'Tax' THEN NULL ELSE tag_team END AS team FROM bl""",
     "dedup_new_lines": f"SELECT line_id, invoice_id, resource_id, charge_type, {dbl('billed_cost')} AS billed_cost FROM tagged WHERE load_status = 'kept'",
-    "load_stats": """SELECT count(*) AS rows_read, count(*) FILTER (load_status = 'kept') AS rows_inserted,
-  count(*) FILTER (load_status = 'duplicate') AS rows_skipped, CAST(0 AS BIGINT) AS errors FROM tagged""",
+    "load_stats": f"SELECT {LOADED}",
+    "load_into": f"SELECT rows_inserted AS rows_stored, * FROM (SELECT {LOADED})",
+    "ingest_rejects": f"""SELECT invoice_id, nullif(resource_id, '') AS resource_id, CASE WHEN charge_type = 'SpotUsage' THEN NULL ELSE billing_period_start END AS billing_period_start,
+  bad.cell, bad.text, 'not a decimal(18,6)' AS reason FROM (
+  SELECT *, unnest(list_concat(CASE WHEN charge_type = 'Tax' THEN [{{'cell': 'billed_cost', 'text': '12 USD'}}] ELSE [] END,
+    CASE WHEN invoice_id LIKE '%-3' THEN [{{'cell': 'quantity', 'text': CAST(quantity AS VARCHAR) || ' of 2,5'}}] ELSE [] END)) AS bad FROM bl)""",
     "provider_default": "SELECT coalesce(provider, 'AWS') AS provider, count(*) AS rows FROM bl GROUP BY ALL",
     "azure_service": """SELECT p_partkey, resource_id,
   CASE WHEN resource_id LIKE '%Microsoft.Compute/virtualMachines/%' THEN 'Virtual Machines'
@@ -419,7 +503,7 @@ FROM (SELECT *, CASE WHEN rid <> '' THEN rid ELSE 'azure-' || CASE service_name
   WHEN 'Amazon S3' THEN 'microsoft.storage-storageaccounts' WHEN 'AWS Lambda' THEN 'functions' ELSE 'subscription' END || '-aggregate' END AS rid2 FROM page_rows)""",
     "scan_pr_events": f"""SELECT CAST(p.number AS VARCHAR) AS pr_number, title, author, merged_at, commit_sha, {big('count(*)')} AS tf_files
 FROM prs p JOIN pr_file f ON p.number = f.number WHERE filename LIKE '%.tf' AND merged_at BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' GROUP BY ALL""",
-    "scan_docs": "SELECT doc_id, length(text) + 1 AS chars, NOT regexp_matches(text, '[^\\s]') AS blank FROM documents",
+    "scan_docs": "SELECT doc_id, length(text) AS chars, NOT regexp_matches(text, '[^\\s]') AS blank FROM documents",
     # -- silver
     "invoices": f"""SELECT invoice_id, billing_period_start, billing_period_end, {dbl('total_billed_cost')} AS total_billed_cost, total_line_items,
   {dbl('attributed_cost')} AS attributed_cost, {dbl('unattributed_cost')} AS unattributed_cost, attribution_coverage_pct, status FROM inv""",
@@ -468,8 +552,10 @@ WHERE NOT EXISTS (SELECT 1 FROM pr_match m WHERE m.pr_number = p.pr_number AND m
     "edge_reason": f"SELECT {KEY}, edge FROM sig",
     "classify": f"SELECT {PAIR}, resource_id, reason_code, excluded FROM cls",
     "confidence": f"SELECT {PAIR}, reason_code, {dbl('confidence_score')} AS confidence_score, count(*) AS rows FROM vr GROUP BY {PAIR}, reason_code, vr.confidence_score",
-    "evidence_chain": f"""SELECT {PAIR}, resource_id, {big('step_no')} AS step_no, s.step, s.result, s.detail, array_to_string(charge_types, ',') AS charge_types FROM (
-  SELECT {PAIR}, resource_id, coalesce(charge_types, []) AS charge_types, unnest(steps) AS s, generate_subscripts(steps, 1) - 1 AS step_no FROM (
+    "evidence_chain": f"""SELECT {PAIR}, resource_id, {big('step_no')} AS step_no, s.step, s.result, s.detail, {dbl('prior_raw')} AS prior_cost,
+  {dbl('current_cost')} AS current_cost, {rnd('pct_raw', 4)} AS delta_pct, managed AS in_iac, iac_source, terraform_module AS iac_module,
+  array_to_string(charge_types, ',') AS charge_types FROM (
+  SELECT * REPLACE (coalesce(charge_types, []) AS charge_types), unnest(steps) AS s, generate_subscripts(steps, 1) - 1 AS step_no FROM (
     SELECT *, CASE WHEN excluded THEN [{{'step': 'edge_case_detection', 'result': reason_code,
           'detail': 'Charge types [' || array_to_string(list_transform(charge_types, lambda x: '''' || x || ''''), ', ') || '] matched edge case pattern'}}]
       WHEN NOT in_prior THEN [{{'step': 'period_presence', 'result': reason_code, 'detail': 'Resource not found in prior period'}}]
@@ -547,11 +633,7 @@ FROM vr JOIN ptot ON cps = current_period_start""",
   SELECT resource_id, sum(billed_cost) AS a, coalesce(sum(CASE WHEN charge_type <> 'Credit' THEN billed_cost END), 0) AS b
   FROM bl WHERE resource_id <> '' GROUP BY ALL) WHERE abs(a - b) > 0.01""",
     "tf_status_flips": """SELECT a.resource_id, b.p AS period_2, a.p AS period_1, a.m AS tf_period_1, b.m AS tf_period_2
-FROM (SELECT r.resource_id, r.billing_period_start AS p, r.in_terraform_state OR ev.rid IS NOT NULL AS m FROM res r
-    LEFT JOIN ev ON ev.rid = r.resource_id AND ev.current_period_start = r.billing_period_start) a
-JOIN (SELECT r.resource_id, r.billing_period_start AS p, r.in_terraform_state OR ev.rid IS NOT NULL AS m FROM res r
-    LEFT JOIN ev ON ev.rid = r.resource_id AND ev.current_period_start = r.billing_period_start) b
-  ON a.resource_id = b.resource_id AND b.p > a.p AND a.m <> b.m
+FROM flagged a JOIN flagged b ON a.resource_id = b.resource_id AND b.p > a.p AND a.m <> b.m
 WHERE NOT EXISTS (SELECT 1 FROM vr WHERE vr.resource_id = a.resource_id AND vr.current_period_start = b.p AND reason_code IN ('new_resource', 'removed_resource'))""",
     "variance_missing_resources": """SELECT resource_id, billing_period_start FROM res
 WHERE billing_period_start <> (SELECT min(billing_period_start) FROM res)
@@ -572,14 +654,19 @@ UNION ALL SELECT 'periods', CAST(billing_period_start AS VARCHAR), year(billing_
     "trend_by_period_dim": f"SELECT strftime(billing_period_start, '%Y-%m') AS period, {dbl('sum(billed_cost)')} AS cost, min(billing_period_start) AS first_period FROM sbl GROUP BY 1",
     "export_period_tables": """SELECT billing_period_start AS period, count(*) AS rows, count(*) FILTER (NOT in_terraform_state) AS unmanaged, 'resources' AS "table" FROM res GROUP BY 1
 UNION ALL SELECT current_period_start, count(*), count(*) FILTER (NOT in_terraform_state), 'variance' FROM vr GROUP BY 1""",
-    "replace_period_pair": f"SELECT {PAIR}, count(*) AS rows, {dbl('sum(delta_dollars)')} AS delta FROM vr GROUP BY {PAIR}",
+    "replace_period_pair": f"SELECT {PAIR}, count(*) AS rows, {dbl('sum(delta_dollars)')} AS delta FROM vr WHERE current_period_start >= DATE '1993-01-01' GROUP BY {PAIR}",
     "upsert_invoices": f"""SELECT invoice_id, billing_period_start, {dbl('total_billed_cost')} AS total_billed_cost, total_line_items,
-  CASE WHEN billing_period_start < DATE '1998-01-01' THEN 'stale' ELSE status END AS status FROM inv""",
-    "upsert_resources": f"""SELECT {KEY}, CASE WHEN billing_period_start < DATE '1998-01-01' THEN 'stale' ELSE team END AS team, {STAGED_SPEND} FROM res""",
+  CASE WHEN billing_period_start < DATE '1998-01-01' THEN 'stale' ELSE status END AS status FROM inv WHERE billing_period_start >= DATE '1993-01-01'""",
+    "upsert_resources": f"""SELECT {KEY}, CASE WHEN billing_period_start < DATE '1998-01-01' THEN 'stale' ELSE team END AS team, {STAGED_SPEND} FROM res
+WHERE billing_period_start >= DATE '1993-01-01'""",
     "tenant_replace": f"""SELECT {big('user_id')} AS user_id, count(*) AS rows, {dbl('sum(billed_cost)')} AS cost FROM bl
-WHERE user_id <> 2 OR billing_period_start >= DATE '1998-01-01' GROUP BY bl.user_id""",
-    "incremental_ingest": """SELECT billing_period_start, count(*) AS rows FROM (
-  SELECT DISTINCT billing_period_start, invoice_id, nullif(resource_id, ''), charge_period_start FROM bl) GROUP BY ALL""",
+WHERE user_id = 1 OR user_id = 2 AND billing_period_start >= DATE '1998-01-01' GROUP BY bl.user_id""",
+    "incremental_ingest": "SELECT billing_period_start, count(*) AS rows FROM streamed GROUP BY ALL",
+    "ingest_ledger": """SELECT ingest_batch, rows_read, rows_inserted, rows_read - errors - rows_inserted AS rows_skipped, errors, ingest_batch = 1 AS quarantined, periods FROM (
+  SELECT 0::BIGINT AS ingest_batch, count(*) AS rows_read, 0::BIGINT AS errors FROM bl WHERE billing_period_start < DATE '1998-01-01'
+  UNION ALL SELECT 1, count(*), count(*) FILTER (charge_type = 'Tax') FROM redelivered_lines)
+JOIN (SELECT delivery AS ingest_batch, count(*) AS rows_inserted, count(DISTINCT billing_period_start) + max((billing_period_start IS NULL)::BIGINT) AS periods
+  FROM streamed GROUP BY delivery) USING (ingest_batch)""",
     "gl_export": f"""SELECT strftime(current_period_start, '%Y-%m-%d') AS "Date", '6' || upper(substr(coalesce(nullif(service_name, ''), 'CLD'), 1, 3)) || '00' AS "Account",
   resource_name || ' — ' || replace(reason_code, '_', ' ') AS "Description",
   CAST(CASE WHEN delta_dollars > 0 THEN abs(delta_dollars) ELSE 0 END AS VARCHAR) AS "Debit",
@@ -596,6 +683,8 @@ UNION ALL SELECT {PAIR}, count(*), {dbl('sum(delta_dollars)')}, 'decreases' FROM
 UNION ALL SELECT {PAIR}, count(*), {dbl('sum(delta_dollars)')}, 'both' FROM vr GROUP BY {PAIR}""",
     "drift_rows": f"SELECT {PAIR}, resource_id, reason_code, {dbl('delta_dollars')} AS delta_dollars FROM drift",
     "tenant_scope": f"SELECT billing_period_start, count(*) AS rows, {dbl('sum(billed_cost)')} AS cost FROM bl WHERE user_id = 2 GROUP BY ALL",
+    "tenant_variance": f"""SELECT {big('2')} AS user_id, {PAIR}, resource_id, service_name, team, {dbl('prior_cost')} AS prior_cost, {dbl('current_cost')} AS current_cost,
+  {dbl('delta_dollars')} AS delta_dollars, reason_code, evidence, pr_number, in_terraform_state FROM vr""",
     "redact_secrets": "SELECT doc_id, regexp_replace(regexp_replace(text, 'AKIA[A-Z0-9]{12,}', '[REDACTED]', 'g'), '[A-Za-z0-9/+=]{40,}', '[REDACTED]', 'g') AS text FROM documents",
     # -- reports on variance
     "variance_summary": f"""SELECT {PAIR}, reason_code, count(*) AS rows, {dbl('sum(delta_dollars)')} AS dollars, {dbl('any_value(t)')} AS total_delta, any_value(a) AS attribution_coverage_pct
@@ -818,13 +907,25 @@ UNION ALL SELECT 'fct_variance_report', 'not_null', 'team', count(*) FILTER (tea
 UNION ALL SELECT 'fct_variance_report', 'accepted_values', 'reason_code', count(*) FILTER (NOT {in_list('reason_code', codes.EMITTED_CODES)}) FROM vr
 UNION ALL SELECT 'fct_variance_report', 'accepted_values', 'delta_bucket', 0
 UNION ALL SELECT 'fct_variance_report', 'unique', 'id', count(*) FROM (SELECT {PAIR}, resource_id FROM vr GROUP BY ALL HAVING count(*) > 1)""",
-    "chunk_ids": "SELECT doc_id, substr(sha256(source || ':' || lang || ':' || text), 1, 16) AS chunk_id FROM documents",
+    "chunk_docs": "SELECT CAST(doc_id AS VARCHAR) AS source, CAST(chunk_no AS BIGINT) AS chunk_no, section, text FROM chunks",
+    "chunk_ids": """SELECT CAST(doc_id AS VARCHAR) AS source, CAST(chunk_no AS BIGINT) AS chunk_no,
+  substr(sha256(CAST(doc_id AS VARCHAR) || ':' || section || ':' || text), 1, 16) AS chunk_id FROM chunks""",
     "vector_topk": f"""SELECT 'mean' AS query_id, vec_id, {big('label')} AS label, rank, {rnd('distance', 5)} AS distance FROM (
-  SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (
-    SELECT vec_id, label, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT list(m ORDER BY i) FROM (
-      SELECT i, avg(x) AS m FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i))) AS distance
-    FROM embeddings)) WHERE rank <= 8 AND distance <= 1.2""",
+  SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM near_mean) WHERE rank <= 8 AND distance <= 1.2""",
+    "dedupe_overlap": """SELECT 'mean' AS query_id, rank, vec_id FROM near_words
+WHERE list_contains((SELECT kept FROM kept_ranks ORDER BY upto DESC LIMIT 1), rank)""",
 }
-SELECTS["dq_gate"] = " UNION ALL ".join(SELECTS[k] for k in ("dq_duplicates", "dq_missing_ids", "dq_negative"))
+_FIVE = " UNION ALL ".join(SELECTS[k] for k in ("dq_reconciliation", "dq_duplicates", "dq_missing_ids", "dq_negative", "dq_coverage"))
+SELECTS["dq_gate"] = f"""SELECT *, max(failed) OVER () > 0 AS stopped FROM (
+  SELECT "check", CASE WHEN count(*) FILTER (status = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (status = 'warn') > 0 THEN 'warn' ELSE 'pass' END AS verdict,
+    count(*) AS periods, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'warn') AS warned FROM ({_FIVE}) GROUP BY "check")"""
+_SEEN = f"(billing_period_start < DATE '1998-01-01' OR (SELECT count(*) FROM ({_FIVE}) WHERE status = 'fail') = 0)"
+SELECTS["publish"] = f"""SELECT count(*) AS rows, 'int_line_totals' AS "table" FROM (SELECT DISTINCT invoice_id, billing_period_start FROM sbl WHERE {_SEEN})
+UNION ALL SELECT count(DISTINCT resource_id), 'dim_resources' FROM res WHERE {_SEEN}"""
 
 ORACLES: dict[str, str] = {name: with_views(sql) for name, sql in SELECTS.items()}
+
+# A tenant's report is that of its lines and events alone.
+ORACLES["tenant_variance"] = with_views(SELECTS["tenant_variance"], {
+    "bl": f"SELECT * FROM ({CTES['bl']}) WHERE user_id = 2", "change_events": f"SELECT * FROM ({CTES['change_events']}) WHERE user_id = 2",
+})

@@ -18,15 +18,15 @@ from spendweave.functions.numbers import period_label, places, rounded
 from spendweave.operators import events as ev
 from spendweave.operators import pairs as pr
 from spendweave.operators import silver
-from spendweave.operators.dedup import dedup_new_lines, tag_new_lines
+from spendweave.operators.dedup import dedup_new_lines
 from spendweave.operators.iac import iac_match_exact, iac_match_fuzzy, iac_union
 from spendweave.operators.logical import logical_resources
-from spendweave.plans import allocation, forecast, marts, quality, reports, star
+from spendweave.plans import allocation, forecast, marts, publish, quality, reports, star, tenants
 from spendweave.plans import variance as var
 from spendweave.schemas import PAIR, RESOURCE_KEY
 from spendweave.session import new_dir
 from spendweave.sources import billing, cost_pages, documents, iac_files, pull_requests, sinks
-from spendweave.streaming.ingest import incremental_ingest
+from spendweave.streaming.ingest import incremental_ingest, ledger
 from spendweave.testbed import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,12 +98,6 @@ def _line_view(lines: DataFrame) -> DataFrame:
     )
 
 
-@query
-def scan_focus_csv(spark, sf):
-    path = _land_csv(_export(t.billing_lines(spark, sf), codes.FOCUS_HEADERS), "focus")
-    return _line_view(billing.scan_focus_csv(spark, path))
-
-
 def _azure_lines(spark, sf):
     """Lines re-keyed to ARM ids without a service name, dated as Azure writes dates."""
     ids = t._mapped(spark, sf, t.mapping.AZURE_RESOURCES).select("p_partkey", F.col("resource_id").alias("_arm"))
@@ -125,16 +119,36 @@ def scan_azure_csv(spark, sf):
     return _line_view(billing.scan_azure_csv(spark, path))
 
 
+def _mixed_folder(spark, sf):
+    """One folder with the exports of three tenants: FOCUS, FOCUS with its columns in reverse, Azure. Spot lines have a break in a cell."""
+    path = new_dir(spark, "mixed")
+    spot = F.startswith("description", F.lit("Spot"))
+    broken = F.when(spot, F.concat("description", F.lit('\nbilled "as is", per hour'))).otherwise(F.col("description"))
+    lines = t.billing_lines(spark, sf).withColumn("description", broken)
+    focus = _export(lines, codes.FOCUS_HEADERS, keep=("user_id",))
+    columns = focus.drop("user_id").columns
+    azure = _azure_lines(spark, sf).where("user_id = 3").withColumn("description", broken)
+    for rows in (focus.where("user_id = 1").select(columns), focus.where("user_id = 2").select(columns[::-1]), _export(azure, codes.AZURE_HEADERS)):
+        rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@query
+def scan_focus_csv(spark, sf):
+    return _line_view(billing.scan_focus_csv(spark, _mixed_folder(spark, sf)))
+
+
 @query
 def detect_format(spark, sf):
-    focus = _land_csv(_export(t.billing_lines(spark, sf), codes.FOCUS_HEADERS), "focus")
-    azure = _land_csv(_export(_azure_lines(spark, sf), codes.AZURE_HEADERS), "azure")
+    """Files of one folder by the format that each one's header shows, with the rows behind them."""
+    files: dict[tuple[str, ...], list[str]] = {}
+    for file, header in billing.first_records(spark, _mixed_folder(spark, sf)):
+        files.setdefault(header, []).append(file)
     found = None
-    for name, path in (("focus", focus), ("azure", azure)):
-        raw = billing.read_csv(spark, path)
-        provider = billing.detect_format(raw.columns)[1]
-        rows = raw.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("export"), F.lit(provider).alias("provider"), "rows"
+    for header, names in files.items():
+        provider = billing.detect_format(list(header))[1]
+        rows = billing.read_csv(spark, [billing.as_path(n) for n in names], header).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(header[0]).alias("first_column"), F.lit(provider).alias("provider"), "rows"
         )
         found = rows if found is None else found.unionByName(rows)
     return found
@@ -193,11 +207,37 @@ def dedup_new_lines_(spark, sf):
 QUERIES["dedup_new_lines"] = QUERIES.pop("dedup_new_lines_")
 
 
+def _landed_redelivery(spark, sf):
+    """The re-delivered export landed as a file, its tax lines with an unreadable cost, and the stored lines."""
+    incoming, stored = _redelivered(spark, sf)
+    path = _land_csv(_with_bad_cells(incoming).drop("line_id", "line_seq"), "redelivered")
+    kept = stored.withColumn("resource_id", F.nullif("resource_id", F.lit("")))  # as loads read empty cells
+    return billing.load_export(spark, path), kept.withColumn("charge_period_start", F.col("charge_period_start").cast("timestamp_ntz"))
+
+
 @query
 def load_stats(spark, sf):
-    incoming, stored = _redelivered(spark, sf)
-    tagged = tag_new_lines(incoming, stored).select("load_status")
-    return billing.count_status(tagged)
+    loaded, stored = _landed_redelivery(spark, sf)
+    return billing.load_stats(loaded, stored)
+
+
+@query
+def load_into(spark, sf):
+    """Counters that the write of the new lines observed, beside the rows it wrote."""
+    loaded, stored = _landed_redelivery(spark, sf)
+    path = new_dir(spark, "loaded")
+    counts = billing.load_into(loaded, path, stored)
+    named = [F.lit(n).cast("bigint").alias(name) for name, n in sorted(counts.items())]
+    return sinks.read_table(spark, path).agg(F.count(F.lit(1)).alias("rows_stored")).select("rows_stored", *named)
+
+
+@query
+def ingest_rejects(spark, sf):
+    """Unreadable cells of an export in which tax lines have a bad cost and every hundredth supplier's lines a bad quantity too."""
+    lines = _with_bad_cells(t.billing_lines(spark, sf))
+    lines = lines.withColumn("Quantity", F.when(F.col("InvoiceId").endswith("-3"), F.concat("Quantity", F.lit(" of 2,5"))).otherwise(F.col("Quantity")))
+    rejects = billing.ingest_rejects(billing.load_export(spark, _land_csv(lines.drop("line_id", "line_seq"), "rejected")))
+    return rejects.select("invoice_id", "resource_id", PERIOD, "cell", "text", "reason")
 
 
 @query
@@ -393,16 +433,10 @@ def scan_pr_events(spark, sf):
 
 @query
 def scan_docs(spark, sf):
-    """Documents landed as one file each and read back whole."""
-    path = new_dir(spark, "docs")
-    t.given(spark, sf, "documents").select("doc_id", F.col("text").alias("value")).repartition("doc_id").write.partitionBy(
-        "doc_id"
-    ).text(path)
-    found = documents.scan_docs(spark, path, "*.txt")
-    return found.select(
-        F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"),
-        F.length("text").alias("chars"), "blank",
-    )
+    """Documents landed as records of a few files and read back whole."""
+    path = _land_json(t.given(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("source"), "text"), "docs")
+    found = documents.scan_doc_records(spark, path)
+    return found.select(F.substring_index("source", "-", -1).cast("bigint").alias("doc_id"), F.length("text").alias("chars"), "blank")
 
 
 # -- silver -----------------------------------------------------------------------------------------------
@@ -575,11 +609,13 @@ def confidence(spark, sf):
 
 @query
 def evidence_chain(spark, sf):
-    """Steps of every chain, one row each."""
+    """Steps of every chain, one row each, with the inputs of the chain."""
     chain = var.evidence_chain(_classified(spark, sf))
     steps = F.posexplode("evidence_chain.classification_steps").alias("step_no", "s")
-    return chain.select(*PAIR, "resource_id", "evidence_chain.inputs.charge_types", steps).select(
-        *PAIR, "resource_id", "step_no", "s.*", "charge_types"
+    given = F.col("evidence_chain.inputs")
+    inputs = [given[c].alias(c) for c in ("prior_cost", "current_cost", "in_iac", "iac_source", "iac_module", "charge_types")]
+    return chain.select(*PAIR, given["resource_id"].alias("resource_id"), *inputs, rounded(given["delta_pct"], 4).alias("delta_pct"), steps).select(
+        *PAIR, "resource_id", "step_no", "s.*", "prior_cost", "current_cost", "delta_pct", "in_iac", "iac_source", "iac_module", "charge_types"
     )
 
 
@@ -833,66 +869,92 @@ def export_period_tables(spark, sf):
     return out
 
 
+# Months before this one are replaced by nothing.
+EMPTY_UNTIL = date(1993, 1, 1)
+
+
+def _emptied(rows, *keys):
+    """The periods (or pairs, by the last key) before ``EMPTY_UNTIL``."""
+    return [tuple(r) for r in rows.select(*keys).where(F.col(keys[-1]) < F.lit(EMPTY_UNTIL)).distinct().collect()]
+
+
 @query
 def replace_period_pair(spark, sf):
+    """All pairs stored; then those from 1998 on replaced by themselves and those of 1992 by nothing."""
     path = new_dir(spark, "pairs")
     rows = t.gold_variance(spark, sf)
     sinks.replace_period_pair(rows, path)
-    sinks.replace_period_pair(rows.where(F.col(PAIR[1]) >= F.lit(STORE_END)), path)
+    sinks.replace_period_pair(rows.where(F.col(PAIR[1]) >= F.lit(STORE_END)), path, _emptied(rows, *PAIR))
     return sinks.read_table(spark, path).groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("delta_dollars").alias("delta")
     )
 
 
+def _replaced_periods(rows, path, stale):
+    """All periods stored in a stale form; then those from 1998 on replaced and those of 1992 by nothing."""
+    sinks.replace_periods(stale, path)
+    sinks.replace_periods(rows.where(F.col(PERIOD) >= F.lit(STORE_END)), path, [p for p, in _emptied(rows, PERIOD)])
+    return sinks.read_table(rows.sparkSession, path)
+
+
 @query
 def upsert_invoices(spark, sf):
-    path = new_dir(spark, "invoices")
     rows = silver.invoices(t.billing_lines(spark, sf))
-    sinks.replace_periods(rows.withColumn("status", F.lit("stale")), path)
-    sinks.replace_periods(rows.where(F.col(PERIOD) >= F.lit(STORE_END)), path)
-    return sinks.read_table(spark, path).select(
-        "invoice_id", PERIOD, "total_billed_cost", "total_line_items", "status"
-    )
+    stored = _replaced_periods(rows, new_dir(spark, "invoices"), rows.withColumn("status", F.lit("stale")))
+    return stored.select("invoice_id", PERIOD, "total_billed_cost", "total_line_items", "status")
 
 
 @query
 def upsert_resources(spark, sf):
-    path = new_dir(spark, "resources")
     rows = t.gold_resources(spark, sf)
-    sinks.replace_periods(rows.withColumn("team", F.lit("stale")), path)
-    sinks.replace_periods(rows.where(F.col(PERIOD) >= F.lit(STORE_END)), path)
-    return sinks.read_table(spark, path).select(*RESOURCE_KEY, "team", "total_cost")
+    stored = _replaced_periods(rows, new_dir(spark, "resources"), rows.withColumn("team", F.lit("stale")))
+    return stored.select(*RESOURCE_KEY, "team", "total_cost")
 
 
 @query
 def tenant_replace(spark, sf):
-    """Every tenant's lines stored, then tenant 2 replaced by what it billed from 1998 on."""
+    """Every tenant's lines stored in one job, then tenant 2 replaced by what it billed from 1998 on and tenant 3 by nothing."""
     path = new_dir(spark, "tenants")
     lines = t.billing_lines(spark, sf).select("user_id", "line_id", PERIOD, "billed_cost")
-    for tenant in (1, 2, 3):
-        sinks.replace_tenant(reports.tenant_scope(lines, tenant), path, tenant)
-    sinks.replace_tenant(reports.tenant_scope(lines, 2).where(F.col(PERIOD) >= F.lit(STORE_END)), path, 2)
+    sinks.replace_tenants(lines, path, [1, 2, 3])
+    sinks.replace_tenants(reports.tenant_scope(lines, 2).where(F.col(PERIOD) >= F.lit(STORE_END)), path, [2, 3])
     return sinks.read_table(spark, path).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("billed_cost").alias("cost")
     )
 
 
-@query
-def incremental_ingest_(spark, sf):
-    """Two deliveries that overlap by half a year, streamed one after the other."""
+def _streamed(spark, sf):
+    """Two deliveries that overlap by half a year, streamed one after the other. The second has its columns in reverse,
+    unreadable costs, and a file of another kind beside it."""
     landing, table, state = new_dir(spark, "landing"), new_dir(spark, "ingested"), new_dir(spark, "stream-state")
-    export = lambda rows: _export(rows, codes.FOCUS_HEADERS)
     lines = t.billing_lines(spark, sf)
-    for rows in (lines.where(F.col(PERIOD) < F.lit(STORE_END)), lines.where(F.col(PERIOD) >= F.lit(EXPORT_START))):
-        export(rows).write.mode("append").option("header", True).option("escape", '"').csv(landing)
-        headers = {h: c for h, c in codes.FOCUS_HEADERS.items() if h in export(rows).columns}
-        incremental_ingest(spark, landing, table, state, headers)
-    return sinks.read_table(spark, table).groupBy(PERIOD).agg(F.count(F.lit(1)).alias("rows"))
+    first = _export(lines.where(F.col(PERIOD) < F.lit(STORE_END)), codes.FOCUS_HEADERS)
+    second = _with_bad_cells(lines.where(F.col(PERIOD) >= F.lit(EXPORT_START))).drop("line_id", "line_seq")
+    other = t.given(spark, sf, "region")
+    for batch in ([first], [second.select(second.columns[::-1]), other]):
+        for rows in batch:
+            rows.write.mode("append").option("header", True).option("escape", '"').csv(landing)
+        incremental_ingest(spark, landing, table, state)
+    return table
+
+
+@query
+def incremental_ingest_(spark, sf):
+    return sinks.read_table(spark, _streamed(spark, sf)).groupBy(PERIOD).agg(F.count(F.lit(1)).alias("rows"))
 
 
 QUERIES["incremental_ingest"] = QUERIES.pop("incremental_ingest_")
 
 
+@query
+def ingest_ledger(spark, sf):
+    """What the stream's batches read, stored, skipped, rejected and set aside."""
+    return ledger(spark, _streamed(spark, sf)).select(
+        "ingest_batch", "rows_read", "rows_inserted", "rows_skipped", "errors", (F.size("quarantined") > 0).alias("quarantined"),
+        F.size("periods").alias("periods"),
+    )
+
+
 @query
 def gl_export(spark, sf):
     """Journal written as CSV and read back."""
@@ -954,6 +1016,17 @@ def tenant_scope(spark, sf):
     )
 
 
+@query
+def tenant_variance(spark, sf):
+    """The report of all tenants stored by tenant and period; tenant 2 reads its own."""
+    path = new_dir(spark, "tenant-variance")
+    tenants.store_by_tenant(tenants.tenant_variance(t.billing_lines(spark, sf), t.iac_index(spark, sf), t.change_events(spark, sf)), path)
+    return reports.tenant_scope(sinks.read_table(spark, path), 2).select(
+        "user_id", *PAIR, "resource_id", "service_name", "team", "prior_cost", "current_cost", "delta_dollars", "reason_code", "evidence",
+        "pr_number", "in_terraform_state",
+    )
+
+
 @query
 def redact_secrets(spark, sf):
     return reports.redact_secrets(t.given(spark, sf, "documents"), "text").select("doc_id", "text")
@@ -1162,12 +1235,47 @@ def dq_generic(spark, sf):
     return quality.dq_generic(want)
 
 
+def _all_checks(spark, sf):
+    return quality.run_quality_checks(t.billing_lines(spark, sf), _invoices(spark, sf))
+
+
 @query
 def dq_gate(spark, sf):
-    """The checks that can only warn pass the gate and are logged."""
-    lines = t.billing_lines(spark, sf)
-    checks = quality.dq_duplicates(lines).unionByName(quality.dq_missing_ids(lines)).unionByName(quality.dq_negative(lines))
-    return quality.dq_gate(checks, new_dir(spark, "quality-log"))
+    """A verdict for each of the five checks, and whether they stop the pipeline. The log holds every period's."""
+    path = new_dir(spark, "quality-log")
+    try:
+        quality.dq_gate(_all_checks(spark, sf), path)
+        stopped = False
+    except quality.QualityError:
+        stopped = True
+    return quality.verdicts(sinks.read_table(spark, path)).withColumn("stopped", F.lit(stopped))
+
+
+@query
+def publish_(spark, sf):
+    """What readers see after two releases: months before 1998 behind checks that only warn, then all months behind all checks."""
+    root = new_dir(spark, "published")
+    lines, resources = t.billing_lines(spark, sf), t.gold_resources(spark, sf)
+    old = F.col(PERIOD) < F.lit(STORE_END)
+    mild = quality.dq_missing_ids(lines.where(old)).unionByName(quality.dq_negative(lines.where(old)))
+    releases = [(lines.where(old), resources.where(old), mild), (lines, resources, _all_checks(spark, sf))]
+    for some_lines, some_resources, checks in releases:
+        tables = {
+            "int_line_totals": (marts.line_totals_by_invoice(marts.stg_billing_lines(some_lines)), PERIOD),
+            "dim_resources": (marts.dim_resources(marts.stg_resources(some_resources)), None),
+        }
+        try:
+            publish.publish(spark, tables, checks, root)
+        except quality.QualityError:
+            pass
+    out = None
+    for name in tables:
+        rows = publish.read_published(spark, root, name).agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+QUERIES["publish"] = QUERIES.pop("publish_")
 
 
 # -- text retrieval ----------------------------------------------------------------------------------------------------------
@@ -1185,9 +1293,7 @@ def chunk_docs(spark, sf):
 
 @query
 def chunk_ids(spark, sf):
-    """Ids of whole documents as chunks of their source and language."""
-    docs = t.given(spark, sf, "documents")
-    return docs.select("doc_id", text.chunk_id(F.col("source"), F.col("lang"), F.col("text")).alias("chunk_id"))
+    return text.chunk_ids(_chunks(spark, sf)).select("source", "chunk_no", "chunk_id")
 
 
 def _query_vectors(spark, sf):

@@ -33,8 +33,8 @@ def test_containment_within_groups(spark):
     pins = [(g, text(rng.randint(1, 9))) for g in "abc" for _ in range(25)]
     h, p = spark.createDataFrame(hay, "g string, h string"), spark.createDataFrame(pins, "g string, p string")
     want = {(g, a, b) for g, a in hay for k, b in pins if g == k and b in a}
-    for bounded in (True, False):
-        assert {tuple(r) for r in containment_pairs(h, p, "h", "p", ["g"], bounded).collect()} == want
+    rows = [tuple(r) for r in containment_pairs(h, p, "h", "p", ["g"]).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
 
 
 def test_containment_plan_has_no_nested_loop(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spendweave.operators.pairs import consecutive_pairs, one_pair
 from spendweave.operators.silver import invoices
-from spendweave.plans import allocation, forecast, marts, quality, reports, star
+from spendweave.plans import allocation, forecast, marts, publish, quality, reports, star
 from spendweave.plans.variance import compute_variance
 
 
@@ -290,3 +290,21 @@ def test_publish(spark, tmp_path):
     counts = {name: spark.read.parquet(path).count() for name, path in paths.items()}
     assert counts == {"int_invoice_totals": 2, "int_monthly_resource_spend": 3, "dim_resources": 2, "fct_variance_report": 2}
     assert spark.table("stg_billing_lines").count() == 2 and spark.table("stg_resources").count() == 3
+
+
+def test_publishing_behind_the_gate(spark, tmp_path):
+    root = str(tmp_path / "published")
+    bill = lines(spark, [line(1, "a", 10), line(2, None, 20)])
+    res = resources(spark, [managed("a", 10, team="x")])
+    assert publish.visible(spark, root) is None
+    good = quality.dq_missing_ids(bill)
+    verdict = publish.publish(spark, {"res": (res, "billing_period_start"), "lines": (bill, None)}, good, root).first()
+    assert (verdict.check, verdict.verdict, verdict.warned) == ("Resource ID coverage", "warn", 1)
+    first = publish.visible(spark, root)
+    bad = good.unionByName(good.withColumn("status", F.lit("fail")).withColumn("check", F.lit("other")))
+    with pytest.raises(quality.QualityError, match="other: 1"):
+        publish.publish(spark, {"res": (res.limit(0), None), "lines": (bill, None)}, bad, root)
+    assert publish.visible(spark, root) == first and publish.read_published(spark, root, "res").count() == 1
+    publish.publish(spark, {"res": (res.unionByName(res), None)}, good, root)
+    assert publish.visible(spark, root) != first and publish.read_published(spark, root, "res").count() == 2
+    assert {r.check: r.verdict for r in quality.verdicts(bad).collect()} == {"Resource ID coverage": "warn", "other": "fail"}

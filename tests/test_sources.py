@@ -102,6 +102,46 @@ def test_file_order_decides(spark, tmp_path):
     assert sorted(int(r.billed_cost) for r in kept) == list(range(1, 51))
 
 
+def test_files_of_one_load_are_bound_by_their_own_headers(spark, tmp_path):
+    put_lines = lambda name, *rows: write(tmp_path, name, *rows)
+    put_lines("1 a[x].csv", "InvoiceId,ResourceId,BilledCost,Description", 'I1,r1,1,"two\nlines, ""quoted"""', "I1,r2,x,")
+    put_lines("2.csv", "\ufeffResourceId,InvoiceId,BilledCost,InvoiceId", "r2,I2,2,other")
+    put_lines("3.csv", "InvoiceId,MeterCategory,ResourceId,CostInBillingCurrency", "I3,Storage,r3,3")
+    put_lines("4.csv", "ResourceId,BilledCost")
+    (tmp_path / "5.csv").write_text("")
+    loaded = billing.load_export(spark, str(tmp_path))
+    got = {(r.invoice_id, r.resource_id, int(r.billed_cost), r.provider, r.description) for r in loaded.lines.collect()}
+    assert got == {("I1", "r1", 1, "AWS", 'two\nlines, "quoted"'), ("I2", "r2", 2, "AWS", None), ("I3", "r3", 3, "Azure", None)}
+    assert [r.resource_id for r in loaded.lines.orderBy("line_seq").collect()] == ["r1", "r2", "r3"]
+    (cell,) = billing.ingest_rejects(loaded).collect()
+    assert (cell.invoice_id, cell.resource_id, cell["cell"], cell.text, cell.reason) == ("I1", "r2", "billed_cost", "x", "not a decimal(18,6)")
+    assert "1 a[x].csv" in cell.line_id.replace("%20", " ").replace("%5B", "[").replace("%5D", "]")
+    assert len(billing.first_records(spark, str(tmp_path))) == 4
+    counts = billing.load_into(loaded, str(tmp_path / "table"))
+    assert counts == {"rows_read": 4, "rows_inserted": 3, "rows_skipped": 0, "errors": 1} == billing.load_stats(loaded).first().asDict()
+    (tmp_path / "none").mkdir()
+    write(tmp_path / "none", "a.csv", "")
+    assert billing.load_export(spark, str(tmp_path / "none")).rows.count() == 0
+
+
+def test_kept_lines_do_not_depend_on_packing(spark, tmp_path):
+    for n in range(6):
+        rows = [ROW.format(rid=f"i-{i % 30}", cost=str(1000 * n + i), tags="") for i in range(1, 400 + 200 * (n % 3))]
+        write(tmp_path, f"f{n}.csv", FOCUS, *rows)
+    kept = []
+    for size, open_cost in (("134217728", "0"), ("20000", "0"), ("134217728", "134217728")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+        try:
+            for multi_line in (True, False):
+                loaded = billing.load_export(spark, str(tmp_path), multi_line=multi_line)
+                kept.append(sorted((r.resource_name, int(r.billed_cost)) for r in billing.ingest(loaded).collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert kept[0] == sorted((f"i-{i % 30}", i) for i in range(1, 31)) and all(k == kept[0] for k in kept)
+
+
 def found(df):
     return {(r.identifier, r.module, r.resource_type, r.resource_name) for r in df.collect()}
 
@@ -193,3 +233,11 @@ def test_docs(spark, tmp_path):
     (tmp_path / "c.txt").write_text("no")
     got = {r.source: (r.text, r.blank) for r in documents.scan_docs(spark, str(tmp_path)).collect()}
     assert got == {"a.md": ("# A\nline", False), "sub/b.md": (" \n \n", True)}
+
+
+def test_document_records(spark, tmp_path):
+    rows = [{"source": "a.md", "text": "# A\nline"}, {"text": " \n"}, {"source": "c.md"}, {"text": "x"}]
+    (tmp_path / "docs.json").write_text("\n".join(json.dumps(r) for r in rows) + "\n")
+    got = documents.scan_doc_records(spark, str(tmp_path)).collect()
+    assert [(r.text, r.blank) for r in got] == [("# A\nline", False), (" \n", True), ("", True), ("x", False)]
+    assert got[0].source == "a.md" and got[2].source == "c.md" and len({r.source for r in got}) == 4
