@@ -9,12 +9,16 @@ texts or read only the metadata columns.
 Words without white space are encoded apart from each other, as neither the normaliser nor the split
 pattern of the vocabulary looks across white space. Distinct words of some megabytes are encoded together.
 
+The names of special tokens in a text have ids of their own, as the library gives them by default. They are found in the
+text as it stands and become words of one capital letter, which no other word is once the text is in lower case.
+
 Defined results: a null or empty text has the end id alone. Null ids come first; rows with equal ids stand
 side by side in any order. An empty table gives files without rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +42,7 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 #: The split pattern always cuts between a letter and an ASCII mark after it; then fewer words differ.
 LETTER_THEN_MARK = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([!-/:-@\[-`{-~])"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Words whose ids a worker keeps from one group of texts to the next.
 KEPT_WORDS = 300_000
 
@@ -47,14 +52,28 @@ class _Words:
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # in a word, where only another spelling of a name can be left
+        named = sorted((t.content, n) for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized)
+        self.marks = {name: chr(ord("A") + k) for k, (name, _) in enumerate(named)}
+        self.special = {self.marks[name]: np.array([n], "<i4").tobytes() for name, n in named}
+        self.names = re.compile("(" + "|".join(re.escape(name) for name, _ in named) + ")") if named else None
         self.kept: dict[str, bytes] = {}
 
+    def lowered(self, texts: pa.Array) -> pa.Array:
+        """The texts with A-Z in lower case, and special names as the words that stand for them."""
+        low = pc.ascii_lower(texts)
+        named = pc.match_substring_regex(texts, self.names.pattern) if self.names else None
+        if named is None or not pc.any(named).as_py():
+            return low
+        found = [[f" {self.marks[part]} " if part in self.marks else part.translate(LOWER) for part in self.names.split(text)]
+                 for text in texts.filter(named).to_pylist()]
+        return pc.replace_with_mask(low, named, pa.array(["".join(parts) for parts in found], low.type))
+
     def ids(self, words: list[str]) -> list[bytes]:
-        found: dict[str, bytes] = {}
+        found: dict[str, bytes] = dict(self.special)
         new = []
         for w in words:
-            if w not in self.kept:
+            if w not in self.kept and w not in self.special:
                 if w.isascii() and w.isalpha():  # neither normalised nor split
                     found[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w)], "<i4").tobytes()
                 else:
@@ -86,7 +105,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         words_by_id = _Words(vocabulary.value)
         part, offset = TaskContext.get().partitionId(), 0
         for group in merged_groups(batches, 1):
-            texts = pc.replace_substring_regex(pc.ascii_lower(group.column(1)), LETTER_THEN_MARK, r"\1 \2")
+            texts = pc.replace_substring_regex(words_by_id.lowered(group.column(1)), LETTER_THEN_MARK, r"\1 \2")
             words, counts, _ = ascii_words(texts)
             coded = words.dictionary_encode()
             found = words_by_id.ids(coded.dictionary.to_pylist()) + [np.array([end_id], "<i4").tobytes()]
