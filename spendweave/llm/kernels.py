@@ -12,14 +12,14 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 4 << 20
 #: Bytes of text that one call works on; its arrays take about 60 bytes a byte of text.
 CHUNK_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Byte classes: 0 separates words (0x20, 0x09-0x0D).
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Weights of a byte by its place in a word: a table for 64 places, and a factor for each further 64.
+PLACES = 64
+_weights: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,14 +29,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _byte_weights(places: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _weights:
+        _weights.append(mix(np.arange(1, 256 * PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        _weights.append(np.ones(1, np.uint64))
+    if len(_weights[1]) * PLACES < places:
+        _weights[1] = mix(np.arange(2 * places // PLACES + 2, dtype=np.uint64) + np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+        _weights[1][0] = 1
+    return _weights[0], _weights[1]
+
+
+def _byte_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings between ``starts`` and ``ends``, in order and apart: sums of a random weight for every byte at its place.
+
+    Unlike powers of a base, the weights of different places have no relation that texts could follow. Different strings get the same
+    hash with a chance of about 2^-64.
+    """
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(first, sizes)
+    weights, factors = _byte_weights(int(sizes.max()))
+    at = place + np.repeat(starts, sizes)
+    value = weights[((place & (PLACES - 1)) << 8) + data[at]]
+    if int(sizes.max()) > PLACES:
+        value *= factors[place // PLACES]
+    sums = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value, out=sums[1:])
+    return mix(sums[first + sizes] - sums[first] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,21 +120,14 @@ def token_hashes(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray | None
     last[-1] = True
     word = kind != 0
     starts, ends = np.flatnonzero(first & word), np.flatnonzero(last & word) + 1
-    power, inverse = _power(n)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    hashes = _byte_sums(data, starts, ends)
     return hashes, np.searchsorted(starts, bounds)
 
 
 def string_hashes(strings: pa.Array) -> np.ndarray:
     """64-bit hashes of whole strings."""
     data, bounds = text_bytes(strings)
-    power, inverse = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
-    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) * inverse[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return _byte_sums(data, bounds[:-1], bounds[1:])
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def documents():
     vocabulary = ["".join(rng.choice("abcdeéßñ") for _ in range(rng.randint(1, 9))) for _ in range(300)]
     base = [rng.choice(vocabulary) for _ in range(60)]
     rows = [(0, None), (1, ""), (2, "One"), (3, "one"), (4, "a b c d"), (5, "A b  C\td"), (6, "  spaced \n\n out\u00a0 text \x00 \x1c x\r\n"),
-            (7, "It's 12 o'clock, isn't it?!! <|endoftext|>"), (8, "日本語 のテキスト 𝒳 e\u0301 \u0130"), (9, " ".join(rng.choice(vocabulary) for _ in range(20000))), (10, "x" * 50000)]
+            (7, "It's 12 o'clock, isn't it?!! <|endoftext|>"), (7, "see the <|endoftext|> mark"), (7, "A<|startoftext|><|endoftext|>b<|ENDOFTEXT|> B <|endoftext|"), (8, "日本語 のテキスト 𝒳 e\u0301 \u0130"), (9, " ".join(rng.choice(vocabulary) for _ in range(20000))), (10, "x" * 50000)]
     for k in range(11, 30):  # near copies of one text, some too far from each other
         own = list(base)
         for _ in range(k % 4):
@@ -74,7 +75,6 @@ def test_byte_bpe_is_what_the_library_gives(docs, rows, none):
 
 def test_token_files_round_trip(spark, docs, rows, none, tmp_path):
     tokenizer = Tokenizer.from_file(token_files.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     token_files.write_tokens(docs, str(tmp_path / "a"))
     got = token_files.checksums(token_files.read_tokens(spark, str(tmp_path / "a"))).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
@@ -90,6 +90,32 @@ def test_token_files_round_trip(spark, docs, rows, none, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_word_hashes_of_related_words_differ():
+    from spendweave.llm.kernels import string_hashes, token_hashes
+
+    bits = "a"
+    while len(bits) < 4096:  # the Thue-Morse sequence, which polynomials modulo a power of two cannot tell from its complement
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    words = [w for n in (1, 63, 64, 65, 128, 1024, 2048, 4096) for w in (bits[:n], bits[:n].translate(str.maketrans("ab", "ba")))]
+    words += ["a" * n for n in range(2, 200)] + ["b" + "a" * n for n in range(200)] + ["a" * n + "b" for n in range(1, 200)]
+    words = sorted(set(words))
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    hashes, _ = token_hashes(data, np.array([0, len(data)]))
+    assert len(np.unique(hashes)) == len(words) == len(np.unique(string_hashes(pa.array(words))))
+    again, _ = token_hashes(np.frombuffer(("x\n" + "  ".join(words)).encode(), np.uint8), np.array([0, 1, 2 + sum(map(len, words)) + 2 * (len(words) - 1)]))
+    assert (again[1:] == hashes).all()  # wherever a word stands
+
+
+def test_complementary_texts_are_not_linked(spark):
+    bits = "ab"
+    while len(bits) < 2048:
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, bits), (2, other), (3, " ".join(bits)), (4, " ".join(other)), (5, bits)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+    assert (got[1], got[2], got[5]) == (1, 2, 1)
+
+
 def jaccard_brute(rows):
     low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     sets = []
