@@ -18,6 +18,7 @@ side by side in any order. An empty table gives files without rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from spendweave.llm.blocks import ascii_words, ragged
-from spendweave.llm.kernels import merged_groups
+from spendweave.llm.kernels import merged_groups, text_bytes
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -62,9 +63,10 @@ class _Words:
     def lowered(self, texts: pa.Array) -> pa.Array:
         """The texts with A-Z in lower case, and special names as the words that stand for them."""
         low = pc.ascii_lower(texts)
-        named = pc.match_substring_regex(texts, self.names.pattern) if self.names else None
-        if named is None or not pc.any(named).as_py():
+        data = text_bytes(texts)[0].tobytes()
+        if not any(name.encode() in data for name in self.marks):
             return low
+        named = pc.match_substring_regex(texts, self.names.pattern)
         found = [[f" {self.marks[part]} " if part in self.marks else part.translate(LOWER) for part in self.names.split(text)]
                  for text in texts.filter(named).to_pylist()]
         return pc.replace_with_mask(low, named, pa.array(["".join(parts) for parts in found], low.type))
@@ -92,6 +94,12 @@ class _Words:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _words(vocabulary: str) -> _Words:
+    """One for all tasks of a Python worker."""
+    return _Words(vocabulary)
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER,
                  end_id: int = END_ID, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Writes (id, part, offset, n_tokens, ids) of every text in ascending id order."""
@@ -102,7 +110,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_by_id = _Words(vocabulary.value)
+        words_by_id = _words(vocabulary.value)
         part, offset = TaskContext.get().partitionId(), 0
         for group in merged_groups(batches, 1):
             texts = pc.replace_substring_regex(words_by_id.lowered(group.column(1)), LETTER_THEN_MARK, r"\1 \2")
