@@ -37,7 +37,8 @@ BLOCK_TAGS = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul label".split()) | CLOSED_TAGS.keys()
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
-TRAIN_PAGES = 200
+LEGAL = re.compile(r"\(c\) ?\d|\bcopyright\b|\ball rights reserved\b", re.I)
+TRAIN_PAGES = 400
 TRAIN_STEPS = 120
 
 
@@ -104,7 +105,7 @@ def _text_features(text: str, linked: float) -> tuple[str, ...]:
     words = text.count(" ") + 1
     size = 0 if words < 3 else 1 if words < 8 else 2 if words < 20 else 3 if words < 60 else 4
     return (f"size:{size}", f"linked:{int(linked * 4)}", "stop" if text[-1] in ".!?:;\"'”»。" else "open",
-            "legal" if "©" in text or "·" in text else "plain")
+            "legal" if "©" in text or "·" in text or LEGAL.search(text) else "plain")
 
 
 #: How labelled pages are laid out. Each part is (opening tags, kind of blocks, closing tags), with
@@ -116,24 +117,35 @@ LAYOUTS = {
         ("<form class=\"search\">", "short", "</form>"), ("<div class=\"breadcrumbs\">", "short", "</div>"), ("<header><nav><ul>", "menu", "</ul></nav></header>"),
         ("<div class=\"advert sponsored\">", "line", "</div>"), ("<div role=\"navigation\"><ul>", "menu", "</ul></div>"), ("<aside class=\"sidebar\">", "line", "</aside>"),
         ("<div class=\"alert notice\"><p>", "line", "</p></div>"), ("<button>", "short", "</button>"), ("<noscript>", "line", "</noscript>"),
-        ("<svg>", "short", "</svg>"), ("<select>", "short", "</select>"), ("<iframe>", "line", "</iframe>")],
+        ("<svg>", "short", "</svg>"), ("<select>", "short", "</select>"), ("<iframe>", "line", "</iframe>"),
+        ("<div class=\"cookie-banner\"><p>", "line", "</p></div>"), ("<div class=\"nav\">", "links", "</div>"), ("<div class=\"sidebar\"><h3>", "short", "</h3></div>"),
+        ("<table class=\"nav\"><tr><td class=\"menu\">", "links", "</td></tr></table>"), ("<div class=\"topbar\">", "links", "</div>")],
     "inside": [
         ("<aside class=\"related\"><ul>", "menu", "</ul></aside>"), ("<div class=\"ad\">", "line", "</div>"), ("<form class=\"newsletter signup\">", "short", "</form>"),
         ("<div class=\"share social\">", "short", "</div>"), ("<section class=\"comments\">", "long", "</section>"), ("<div class=\"notice\">", "line", "</div>"),
         ("<nav class=\"toc\"><ul>", "menu", "</ul></nav>"), ("<div class=\"promo advertisement\"><p>", "line", "</p></div>"), ("<header class=\"meta\">", "short", "</header>"),
         ("<footer class=\"tags\">", "short", "</footer>"), ("<button>", "short", "</button>"), ("<noscript>", "line", "</noscript>"),
         ("<svg>", "short", "</svg>"), ("<select>", "short", "</select>"), ("<iframe>", "line", "</iframe>"),
-        ("<textarea>", "line", "</textarea>")],
+        ("<textarea>", "line", "</textarea>"), ("<div class=\"advertisement\"><p>", "line", "</p></div>"), ("<div class=\"ad banner\"><p>", "line", "</p></div>")],
     "after": [
         ("<footer>", "legal", "</footer>"), ("<div class=\"footer\" id=\"footer\">", "legal", "</div>"), ("<section class=\"comments\" id=\"comments\">", "long", "</section>"),
         ("<div class=\"comment-list\"><ol><li class=\"comment\">", "long", "</li></ol></div>"), ("<aside class=\"sidebar widget\"><ul>", "menu", "</ul></aside>"),
-        ("<div class=\"related posts\"><ul>", "menu", "</ul></div>"), ("<form id=\"subscribe\">", "short", "</form>"), ("<div class=\"copyright legal\">", "legal", "</div>")],
+        ("<div class=\"related posts\"><ul>", "menu", "</ul></div>"), ("<form id=\"subscribe\">", "short", "</form>"), ("<div class=\"copyright legal\">", "legal", "</div>"),
+        ("<div>", "plain legal", "</div>"), ("<p>", "plain legal", "</p>"), ("<div class=\"cookie-banner\"><p>", "line", "</p></div>"),
+        ("<div class=\"sidebar\"><h3>", "short", "</h3></div>"), ("<div class=\"widget sidebar\"><h4>", "short", "</h4></div>"), ("<div class=\"links\">", "links", "</div>")],
     "main": [
         ("<article>", "</article>"), ("<main><article class=\"post\">", "</article></main>"), ("<main>", "</main>"), ("<div class=\"content\">", "</div>"),
-        ("<div id=\"content\" class=\"article-body\">", "</div>"), ("<section class=\"entry post\">", "</section>"), ("<div class=\"story text\" role=\"main\">", "</div>")],
+        ("<div id=\"content\" class=\"article-body\">", "</div>"), ("<section class=\"entry post\">", "</section>"), ("<div class=\"story text\" role=\"main\">", "</div>"),
+        ("<div><div>", "</div></div>"), ("<div>", "</div>"), ("", ""), ("<div id=\"wrapper\"><div class=\"row\">", "</div></div>"), ("<section>", "</section>"),
+        ("<table><tr><td>", "</td></tr></table>")],
     "main blocks": ["<p>%</p>", "<p>%</p>", "<p>%</p>", "<p>%", "<p><b>%<br>", "<h2>%</h2>", "<ul><li>%</li></ul>", "<blockquote><p>%</p></blockquote>", "<pre>%</pre>", "<div>%</div>",
-                    "<table><tr><td>%</td></tr></table>"],
-    "other blocks": {"menu": "<li><a href=\"/x\">%</a></li>", "short": "<span>%</span>", "line": "%", "long": "<p>%</p>", "legal": "<p>&copy; % &middot;</p>"},
+                    "<table><tr><td>%</td></tr></table>", "<ol><li>%</li></ol>", "<ol><li>%</li></ol>", "<ul><li><p>%</p></li></ul>", "<dl><dt>%</dt></dl>", "<dl><dd>%</dd></dl>",
+                    "<figure><img src=\"x\"><figcaption>%</figcaption></figure>", "<div><div><p>%</p></div></div>", "<section><h3>%</h3></section>",
+                    "<section id=\"share-prices\"><p>%</p></section>", "<div class=\"related-work\"><p>%</p></div>", "<section class=\"notice-period\"><p>%</p></section>",
+                    "<div id=\"comment-on-results\"><p>%</p></div>", "<section id=\"social-history\"><p>%</p></section>", "<div class=\"header-text\"><p>%</p></div>",
+                    "<section id=\"footer-of-the-page-explained\"><p>%</p></section>", "<div class=\"menu-of-the-week\"><p>%</p></div>", "<details><summary>%</summary></details>"],
+    "main phrases": ["All rights reserved.", "Copyright 2020 of the text and its pictures.", "All rights reserved by the owner.", "(c) 2019 stands below each of them."],
+    "other blocks": {"menu": "<li><a href=\"/x\">%</a></li>", "short": "<span>%</span>", "line": "%", "long": "<p>%</p>", "legal": "<p>&copy; % &middot;</p>", "plain legal": "(c) 2020 %", "links": "<a href=\"/x\">%</a><br>"},
 }
 _MARKS = {0: "", 1: ""}
 
@@ -146,11 +158,11 @@ def _words(rng: random.Random, low: int, high: int, stop: float) -> str:
 def labelled_page(seed: int) -> str:
     """A page of the grammar; each block's text begins with a private-use character that tells its label."""
     rng = random.Random(seed)
-    sizes = {"menu": (1, 3, 0.1), "short": (1, 6, 0.2), "line": (4, 25, 0.8), "long": (5, 60, 0.9), "legal": (3, 15, 0.7)}
+    sizes = {"menu": (1, 3, 0.1), "short": (1, 6, 0.2), "line": (4, 25, 0.8), "long": (5, 60, 0.9), "legal": (3, 15, 0.7), "plain legal": (1, 8, 0.5), "links": (1, 3, 0.1)}
 
     def other(part: tuple[str, str, str]) -> str:
         opening, kind, closing = part
-        several = rng.randint(2, 7) if kind in ("menu", "long") else 1
+        several = rng.randint(2, 7) if kind in ("menu", "long", "links") else 1
         block = LAYOUTS["other blocks"][kind]
         texts = [_MARKS[0] + _words(rng, *sizes[kind]) for _ in range(several)]
         return opening + "".join(block.replace("%", t) for t in texts) + closing
@@ -159,7 +171,8 @@ def labelled_page(seed: int) -> str:
     body = [f"<h1>{_MARKS[1]}{_words(rng, 2, 12, 0.1)}</h1>"] if rng.random() < 0.9 else []
     for _ in range(rng.randint(0, 14)):
         size = rng.choice(((1, 4), (3, 15), (10, 60), (30, 150)))
-        body.append(rng.choice(LAYOUTS["main blocks"]).replace("%", _MARKS[1] + _words(rng, *size, 0.9)))
+        text = rng.choice(LAYOUTS["main phrases"]) if rng.random() < 0.08 else _words(rng, *size, 0.9)
+        body.append(rng.choice(LAYOUTS["main blocks"]).replace("%", _MARKS[1] + text))
     for _ in range(rng.choice((0, 0, 1, 2))):
         body.insert(rng.randint(0, len(body)), other(rng.choice(LAYOUTS["inside"])))
     before = [other(p) for p in rng.sample(LAYOUTS["before"], rng.choice((0, 0, 1, 2, 3, 4)))]
@@ -239,9 +252,9 @@ def best_labels(scores: list[float], trans: list[list[float]], start: float) ->
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """``pages`` with the main text in place of the html column, as ``out_col``, and ``n_chars``."""
+    """``pages`` with the main text in place of the html column, as ``out_col``, and ``n_chars``; these replace columns of their names."""
     shared = pages.sparkSession.sparkContext.broadcast(train())
-    rest = [c for c in pages.columns if c != html_col]
+    rest = [c for c in pages.columns if c not in (html_col, out_col, "n_chars")]
     schema = T.StructType([*[pages.schema[c] for c in rest], T.StructField(out_col, T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def main_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
