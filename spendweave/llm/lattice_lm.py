@@ -2,11 +2,11 @@
 
 The vocabulary is that of a public subword tokenizer; its scores are minus a piece's rank, read as Zipf
 weights ``1 / (rank + 1)``. They weight all segmentations of the training texts' words, and the expected
-counts of pieces over the different words, summed by Spark, give the pieces' probabilities (``EM_STEPS``
-times). Every byte is a piece too, so each text has a segmentation. The lattice has one more arc, over the
-whole word: ``(c - DISCOUNT) / N`` for a word seen c times, and what the discounts leave weights the subword
-segmentations. A word's probability is the sum over all segmentations, by the forward recursion in log
-space; a text's is the product of its words and one end.
+counts of pieces over the words, each as often as it occurs, summed by Spark, give the pieces' probabilities
+(``EM_STEPS`` times). Every byte is a piece too, so each text has a segmentation. A word's probability is the sum over
+all segmentations, by the forward recursion in log space; a text's is the product of its words and one end, each token
+being an end or not as often as in training: that is ``score``. ``mixed_score`` adds one more arc to each lattice, over the whole
+word: ``(c - DISCOUNT) / N`` for a word seen c times, and what the discounts leave weights the subword segmentations.
 Words meet by a shuffle of the distinct words of blocks (``blocks.py``), so each word of the corpus is
 counted and scored once, and one shuffle brings both to the texts.
 
@@ -237,7 +237,7 @@ def _fit(vocabulary: DataFrame, pieces: list[bytes], weights: np.ndarray) -> np.
             lattice, total = _Lattice(*state.value), np.zeros(len(state.value[0]))
             for batch in batches:
                 for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    total += lattice.expected_counts(words.split(b"\xff"), np.ones(len(counts) // 8))
+                    total += lattice.expected_counts(words.split(b"\xff"), np.frombuffer(counts, np.int64).astype(float))
             if total.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["piece", "uses"])
 
@@ -251,7 +251,7 @@ def _fit(vocabulary: DataFrame, pieces: list[bytes], weights: np.ndarray) -> np.
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = PIECES) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score) of every row."""
     pieces, weights = read_pieces(path)
     blocks = stored(to_blocks(docs, id_col, text_col, lower_words, _train_rows), "lm-blocks")
     vocabulary = _vocabulary(blocks)
@@ -264,6 +264,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     seen = sums[1] or 0
     log_rest = float(np.log(DISCOUNT * seen / n_train)) if seen else 0.0
     log_end = float(np.log10(ends / n_train)) if ends else 0.0
+    log_word = float(np.log10((n_train - ends) / n_train)) if n_train > ends else 0.0
     floor = float(np.log10(n_train + 0.1 * (distinct + 1)))
 
     def score_words(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,16 +274,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         subwords = _Lattice(pieces, log_p).log_probabilities(words)
         with np.errstate(divide="ignore"):
             whole = np.log(np.maximum(counts - DISCOUNT, 0) / max(1, n_train))
-        scores = np.logaddexp(whole, subwords + log_rest) / np.log(10)
+        mixed = np.logaddexp(whole, subwords + log_rest) / np.log(10)
+        scores = subwords / np.log(10) + log_word
         for r, c in zip(rows, codes, strict=True):
             yield pa.RecordBatch.from_arrays([
-                pa.array([r["bucket"]], pa.int32()), pa.array([r["block"]], pa.int64()), pa.array([counts[c].tobytes()], pa.binary()), pa.array([scores[c].tobytes()], pa.binary())],
-                names=["bucket", "block", "known", "scores"])
+                pa.array([r["bucket"]], pa.int32()), pa.array([r["block"]], pa.int64()), *[pa.array([x[c].tobytes()], pa.binary()) for x in (counts, scores, mixed)]],
+                names=["bucket", "block", "known", "scores", "mixed"])
 
-    scored = bucket_words(blocks).groupBy("bucket").applyInArrow(score_words, "bucket int, block long, known binary, scores binary")
+    scored = bucket_words(blocks).groupBy("bucket").applyInArrow(score_words, "bucket int, block long, known binary, scores binary, mixed binary")
     schema = T.StructType([docs.schema[id_col], *[T.StructField(c, t) for c, t in (
         ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()),
-        ("base_score", T.DoubleType()), ("score", T.DoubleType()))]])
+        ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("mixed_score", T.DoubleType()))]])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,19 +292,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                 ids, counts = batch.column("ids")[k].values, batch.column("counts")[k].values.to_numpy(zero_copy_only=False)
                 n = batch.column("n_codes")[k].as_py()
                 ends_at = np.concatenate(([0], np.cumsum(counts)))
-                known, base, score = np.zeros(len(counts)), np.zeros(len(counts)), np.zeros(len(counts))
+                known, base, score, mixed = np.zeros((4, len(counts)))
                 if n:
                     found = batch.column("found")[k].as_py()
                     c = np.concatenate([np.frombuffer(f["known"], np.int64) for f in found])
-                    s = np.concatenate([np.frombuffer(f["scores"]) for f in found])
+                    s, m = (np.concatenate([np.frombuffer(f[name]) for f in found]) for name in ("scores", "mixed"))
                     codes = codes_of(batch.column("codes")[k].as_py(), n)
-                    for out, values in ((known, (c > 0).astype(float)), (base, np.log10(c + 0.1)), (score, s)):
+                    for out, values in ((known, (c > 0).astype(float)), (base, np.log10(c + 0.1)), (score, s), (mixed, m)):
                         some = counts > 0
                         out[some] = np.add.reduceat(values[codes], ends_at[:-1][some])
                 tokens = counts.astype(np.int64) + 1
                 train = _train_rows(ids)
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array(train == 0), pa.array(tokens), pa.array(known.astype(np.int64) + (ends > 0)), pa.array(np.full(len(tokens), n_train)),
-                    pa.array(base + np.log10(ends + 0.1) - tokens * floor), pa.array(score + log_end)], names=schema.names)
+                    pa.array(base + np.log10(ends + 0.1) - tokens * floor), pa.array(score + log_end), pa.array(mixed + log_end)], names=schema.names)
 
     return with_values(blocks, scored).mapInArrow(add_up, schema)
