@@ -27,7 +27,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+    docs, path = table(spark, sf_dir, "documents"), new_dir(spark, "shards")
+    column = sharding.write_shards(docs, path)
+    return sharding.shard_report(sharding.read_shards(spark, path, docs.schema, column), column)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

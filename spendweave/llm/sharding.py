@@ -6,6 +6,8 @@ all shorter prefixes. Buckets that are still too large there are counted again w
 until every shard fits or cannot split: rows of one key always share a shard, so a key that is larger than
 the limit gets a shard of its own, marked by ``shard_bytes`` above the limit.
 
+Shards are written as folders of Parquet files, and their rows and bytes are taken from what is read back.
+
 Defined results: a null or empty text has 0 bytes; null keys hash like the text '\\0'. An empty table has no
 shards. Rows that fit together are one shard with the empty prefix.
 """
@@ -14,10 +16,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spendweave.llm.common import stored
+from spendweave.llm.common import fresh, stored
 from spendweave.session import cut_lineage
 
 HASH_BITS = 60
@@ -25,6 +28,8 @@ HASH_BITS = 60
 SHARD_BYTES = 16 << 20
 #: Bits that the histogram has beyond an even split, and bits that each further count adds.
 SPARE_BITS = 4
+#: Shards whose prefixes and names, some 100 bytes each, may be broadcast.
+MOST_BROADCAST_SHARDS = 200_000
 
 
 def key_hash(key: Column) -> Column:
@@ -36,6 +41,11 @@ def _prefix(hashed: Column, depth: Column) -> Column:
     return F.call_function("shiftright", hashed, (F.lit(HASH_BITS) - depth).cast("int"))
 
 
+def _name(prefix: Column, depth: Column) -> Column:
+    """The prefix in bits."""
+    return F.when(depth == 0, F.lit("")).otherwise(F.lpad(F.conv(prefix.cast("string"), 10, 2), depth, F.lit("0")))
+
+
 def shard_directory(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """Shards (depth, prefix, shard_bytes, shard_rows) of rows (h, bytes)."""
     total = rows.agg(F.sum("bytes")).first()[0] or 0
@@ -72,17 +82,44 @@ def assign_shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     if not depths:
         depths = [0]
     probe = sized.select("*", F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth")).withColumn("prefix", _prefix(F.col("h"), F.col("depth")))
-    name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
+    name = _name(F.col("prefix"), F.col("depth"))
     return probe.join(shards, ["depth", "prefix"]).select(
         F.col("_key").alias(key_col), F.col("bytes").alias("n_bytes"), name.alias("shard"), F.col("depth").cast("int").alias("shard_depth"),
         "shard_bytes", "shard_rows")
 
 
-def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
-    """Writes ``docs`` with one folder per shard under ``path`` and returns the assignment."""
-    found = stored(assign_shards(docs.select(key_col, text_col), key_col, text_col, limit), "shard-assignment")
-    names = found.groupBy(F.col(key_col).alias("_key")).agg(F.first("shard").alias("shard"))
-    placed = docs.join(names, F.col(key_col).eqNullSafe(F.col("_key"))).drop("_key")
-    placed = placed.withColumn("shard", F.concat(F.lit("s"), F.col("shard")))
-    placed.repartition(F.col("shard")).write.partitionBy("shard").parquet(path)
-    return found
+def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> str:
+    """Writes the rows of ``docs`` with one folder per shard under ``path``; returns the name of the folders' column.
+
+    The name is ``shard``, with underscores before it if ``docs`` has such a column; its values are ``s`` and the prefix. Rows meet the
+    directory by a join for each depth that occurs, of a broadcast up to ``MOST_BROADCAST_SHARDS`` shards, so texts are shuffled once,
+    to their shards; adaptive execution splits a shard that one key makes too large over several files.
+    """
+    column, hashed = fresh(docs, "shard"), fresh(docs, "_hash")
+    rows = docs.withColumn(hashed, key_hash(F.col(key_col)))
+    sizes = stored(rows.select(F.col(hashed).alias("h"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes")), "shard-sizes")
+    shards = stored(shard_directory(sizes, limit).select("depth", "prefix"), "shard-directory")
+    few = shards.count() <= MOST_BROADCAST_SHARDS
+    names = []
+    for (depth,) in shards.select("depth").distinct().orderBy("depth").collect():  # at most HASH_BITS + 1
+        prefix, name = fresh(docs, f"_prefix{depth}"), fresh(docs, f"_name{depth}")
+        own = shards.where(F.col("depth") == depth).select(F.col("prefix").alias(prefix), _name(F.col("prefix"), F.lit(depth)).alias(name))
+        rows = rows.join(F.broadcast(own) if few else own, _prefix(F.col(hashed), F.lit(depth)) == F.col(prefix), "left")
+        names.append(F.col(name))
+    placed = rows.select(*docs.columns, F.concat(F.lit("s"), F.coalesce(*names, F.lit(""))).alias(column))
+    placed.hint("rebalance", column).write.partitionBy(column).option("compression", "zstd").parquet(path)
+    return column
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType, column: str = "shard") -> DataFrame:
+    """The rows that ``write_shards`` wrote, with their shard's folder; also if there are none."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(column, T.StringType())])).parquet(path)
+
+
+def shard_report(rows: DataFrame, column: str = "shard", key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``assign_shards`` tells of every row, from the rows of the shards that were read back."""
+    own = rows.select(
+        F.col(key_col).alias("_key"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), F.substring(F.col(column), 2, HASH_BITS).alias("shard"))
+    sums = own.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    return own.join(sums, "shard").select(
+        F.col("_key").alias(key_col), "n_bytes", "shard", F.length("shard").alias("shard_depth"), "shard_bytes", "shard_rows")
