@@ -2,14 +2,15 @@
 
 Vectors are scaled to length one and turned to the axes of their second moments, largest first. Rows go in
 order of the first axis into tiles of a few thousand. Pairs of tiles whose boxes are farther apart than the
-threshold allows are not compared. In a pair the products of the leading dimensions are accumulated some at
+threshold allows are not compared. Tiles travel in groups: a task compares the pairs of two groups of tiles, so a tile is sent once for each group
+that it has partners in, not for each partner. In a pair the products of the leading dimensions are accumulated some at
 a time; what the rest can add is at most the product of the suffix norms, and pairs of rows that can no
 longer reach the threshold stop. What is left is decided by the cosine of the original vectors in double
 precision. Equal vectors are one row of a tile. A tile pair returns each row's links as a number and the
 edges of a spanning forest, not all its links, so dense groups cost as many rows as they have vectors.
 
 Defined results: a vector that is null, zero or has a null or non-finite component has no links and is its
-own component. Vectors of different lengths are not compared. Rows that repeat an id and vector are separate
+own component. Ids are whole numbers. Vectors of different lengths are not compared. Rows that repeat an id and vector are separate
 rows that link. A null id with links gets the component of its vector, else null. An empty table gives no
 rows.
 """
@@ -31,6 +32,8 @@ TILE_ROWS = 2048
 BINS = 4096
 #: Dimensions accumulated between two tests of the bound.
 STEP = 16
+#: Bytes of vectors in a group of tiles; a task holds two groups.
+GROUP_BYTES = 16 << 20
 #: Room for rounding in bounds; pairs within it are decided by the exact cosine.
 SLACK = 1e-9
 
@@ -90,8 +93,8 @@ def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
     return {dim: np.linalg.eigh(np.stack([rows[k] for k in range(dim)]))[1][:, ::-1] for dim, rows in found.items()}
 
 
-def _tiles(classes: DataFrame, axes: dict[int, np.ndarray], tile_rows: int) -> DataFrame:
-    """Stored (tile, dim, nodes, sizes, data, low, high): rows in order of the first axis, and their box on all axes."""
+def _tiles(classes: DataFrame, axes: dict[int, np.ndarray], tile_rows: int, group_bytes: int) -> DataFrame:
+    """Stored (tile, group, dim, nodes, sizes, data, low, high): rows in order of the first axis, and their box on all axes."""
     shared = classes.sparkSession.sparkContext.broadcast(axes)
 
     def first_axis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +123,14 @@ def _tiles(classes: DataFrame, axes: dict[int, np.ndarray], tile_rows: int) -> D
         return pa.table({
             "dim": order.column("dim")[:1], "nodes": pa.array([order.column("node").to_numpy().tobytes()], pa.binary()),
             "sizes": pa.array([order.column("size").to_numpy().tobytes()], pa.binary()), "data": pa.array([raw.tobytes()], pa.binary()),
-            "low": pa.array([turned.min(axis=0)], pa.list_(pa.float64())), "high": pa.array([turned.max(axis=0)], pa.list_(pa.float64()))})
-
-    tiles = tiled.groupBy("dim", "first", "part").applyInArrow(
-        to_tile, "dim int, nodes binary, sizes binary, data binary, low array<double>, high array<double>")
+            "low": pa.array([turned.min(axis=0)], pa.list_(pa.float64())), "high": pa.array([turned.max(axis=0)], pa.list_(pa.float64())), "group": order.column("group")[:1]})
+
+    # tiles that follow each other, or parts of one bin, are a group
+    each = {dim: max(1, group_bytes // (8 * dim * tile_rows)) for dim in axes}
+    size = F.create_map(*[F.lit(x) for item in each.items() for x in item])[F.col("dim")]
+    tiled = tiled.withColumn("group", F.xxhash64("dim", F.floor(F.col("first") / size), F.floor(F.col("part") / size)))
+    tiles = tiled.groupBy("dim", "first", "part", "group").applyInArrow(
+        to_tile, "dim int, nodes binary, sizes binary, data binary, low array<double>, high array<double>, group long")
     tiles = tiles.withColumn("tile", F.xxhash64("nodes"))
     return stored(tiles, "vector-tiles")
 
@@ -184,36 +191,48 @@ def _tile_links(tiles: DataFrame, axes: dict[int, np.ndarray], threshold: float)
     """Stored (node, links, a, b): numbers of linked vectors in other classes, and edges of forests."""
     shared = tiles.sparkSession.sparkContext.broadcast(axes)
     reach = (2 - 2 * threshold) ** 0.5 + 1e-6
-    boxes = tiles.select("tile", "dim", "low", "high", F.explode(F.sequence(  # cells of the first axis that the box or its reach touches
+    boxes = tiles.select("tile", "group", "dim", "low", "high", F.explode(F.sequence(  # cells of the first axis that the box or its reach touches
         F.floor((F.col("low")[0] - reach) / reach).cast("int"), F.floor((F.col("high")[0] + reach) / reach).cast("int"))).alias("cell"))
-    other = boxes.select(F.col("tile").alias("tile_b"), "dim", F.col("low").alias("low_b"), F.col("high").alias("high_b"), "cell")
+    other = boxes.select(F.col("tile").alias("tile_b"), F.col("group").alias("group_b"), "dim", F.col("low").alias("low_b"), F.col("high").alias("high_b"), "cell")
     gap = F.aggregate(F.arrays_zip("low", "high", "low_b", "high_b"), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(
         F.lit(0.0), z["low"] - z["high_b"], z["low_b"] - z["high"]), 2))
-    pairs = boxes.join(other, ["dim", "cell"]).where("tile <= tile_b").where(gap <= reach * reach).select("tile", "tile_b").distinct()
+    pairs = boxes.join(other, ["dim", "cell"]).where("tile <= tile_b").where(gap <= reach * reach).select(
+        F.least("group", "group_b").alias("g"), F.greatest("group", "group_b").alias("h"), "tile", "tile_b").distinct()
+    pairs = stored(pairs, "tile-pairs")
+    needed = pairs.select("g", "h", F.explode(F.array("tile", "tile_b")).alias("tile")).distinct()
     names = ["dim", "nodes", "sizes", "data"]
-    both = pairs.join(tiles.select("tile", F.struct(*names).alias("x")), "tile").join(
-        tiles.select(F.col("tile").alias("tile_b"), F.struct(*names).alias("y")), "tile_b").select((F.col("tile") == F.col("tile_b")).alias("same"), "x", "y")
+    sent = needed.join(tiles.select("tile", *names), "tile")
+    kinds = dict(tiles.dtypes)
+    todo = pairs.select("g", "h", "tile", "tile_b", *[F.lit(None).cast(kinds[c]).alias(c) for c in names])
+    both = todo.unionByName(sent.select("g", "h", "tile", F.lit(None).cast("long").alias("tile_b"), *names))
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, asked = {}, []
         for batch in batches:
-            for k in range(batch.num_rows):
-                same, a, b = (batch.column(c)[k].as_py() for c in range(3))
-                i, j = _compare(a, b, same, shared.value[a["dim"]], threshold)
-                if not len(i):
-                    continue
-                node_a, node_b, size_a, size_b = (np.frombuffer(t[c], np.int64) for c in ("nodes", "sizes") for t in (a, b))
-                ends, counts = np.concatenate([node_a[i], node_b[j]]), np.concatenate([size_b[j], size_a[i]])
-                nodes, at = np.unique(ends, return_inverse=True)
-                edges = _forest(node_a[i], node_b[j])
-                n, m = len(nodes), len(edges)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([*nodes.tolist(), *[None] * m], pa.int64()), pa.array([*np.bincount(at, weights=counts).astype(np.int64).tolist(), *[None] * m], pa.int64()),
-                    pa.array([*[None] * n, *[e[0] for e in edges]], pa.int64()), pa.array([*[None] * n, *[e[1] for e in edges]], pa.int64())], names=["node", "links", "a", "b"])
-
-    return stored(both.mapInArrow(links, "node long, links long, a long, b long"), "vector-links")
-
-
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
+            for row in batch.to_pylist():
+                if row["tile_b"] is None:
+                    held[row["tile"]] = row
+                else:
+                    asked.append((row["tile"], row["tile_b"]))
+        for p, q in sorted(asked):
+            a, b = held[p], held[q]
+            i, j = _compare(a, b, p == q, shared.value[a["dim"]], threshold)
+            if not len(i):
+                continue
+            node_a, node_b, size_a, size_b = (np.frombuffer(t[c], np.int64) for c in ("nodes", "sizes") for t in (a, b))
+            ends, counts = np.concatenate([node_a[i], node_b[j]]), np.concatenate([size_b[j], size_a[i]])
+            nodes, at = np.unique(ends, return_inverse=True)
+            edges = _forest(node_a[i], node_b[j])
+            n, m = len(nodes), len(edges)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([*nodes.tolist(), *[None] * m], pa.int64()), pa.array([*np.bincount(at, weights=counts).astype(np.int64).tolist(), *[None] * m], pa.int64()),
+                pa.array([*[None] * n, *[e[0] for e in edges]], pa.int64()), pa.array([*[None] * n, *[e[1] for e in edges]], pa.int64())], names=["node", "links", "a", "b"])
+
+    return stored(both.groupBy("g", "h").applyInArrow(links, "node long, links long, a long, b long"), "vector-links")
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS,
+                 group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     rows = _classes(vectors, id_col, vector_col)
     total = rows.count()
@@ -224,7 +243,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     axes = _axes(classes)
     groups = classes.select("key", "size", "least", "node")
     if axes:
-        found = _tile_links(_tiles(classes.select("node", "size", "dim", "data"), axes, tile_rows), axes, threshold)
+        found = _tile_links(_tiles(classes.select("node", "size", "dim", "data"), axes, tile_rows, group_bytes), axes, threshold)
         counts = found.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
         components = connected_components(found.where("a IS NOT NULL").select("a", "b"))
         groups = groups.join(counts, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
