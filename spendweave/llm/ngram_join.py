@@ -5,7 +5,9 @@ row. Two classes reach the similarity only if they share a column among the firs
 their shingles in any common order, so the product reads those alone; the order puts shingles first that a
 count sketch of the whole corpus holds for rare. Columns are dealt in blocks by their hash. In a block the
 product of each column gives pairs, which the bounds discard when the sizes, or what either text has from the
-column on, leave too little overlap for it to be the first that they share. What is left is counted exactly on all shingles of both texts.
+column on, leave too little overlap for it to be the first that they share. For the pairs that are left the product goes over all columns, in
+``PARTS`` blocks one after the other: a block adds what the two rows share in it to the pair's overlap, and a pair is discarded once its
+overlap and the fewer columns that either row has left are less than the similarity asks for.
 
 Only components are asked for, so no column multiplies all its rows at once. In each of ``PIVOT_ROUNDS``
 rounds a column pairs its rows with one of them (first that which shares most), and columns whose rows have become one component are done.
@@ -14,7 +16,8 @@ possible link is left out, while a group of copies costs as many pairs as it has
 
 Defined results: A-Z count as a-z; words are runs of bytes other than 0x20 and 0x09-0x0D. A text with one to
 four words has one shingle, a null or empty text none and its own id as component. Rows with equal texts
-are linked. Rows that repeat an id are one document. A row without an id has no component and no links.
+are linked. Words and shingles are compared by 64-bit hashes: two that differ are taken for equal with a chance of about 2^-64.
+Ids are whole numbers. Rows that repeat an id are one document. A row without an id has no component and no links.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +43,11 @@ _SKETCH_PARTS = 16
 #: Shingles in a block of columns, about.
 BLOCK_SHINGLES = 1 << 19
 PIVOT_ROUNDS = 2
-#: Pairs of one document that meet in one task; more are dealt over several copies of its text.
+#: Pairs of one document that meet in one task; more are dealt over several copies of its columns.
 PAIRS_PER_COPY = 2000
+#: Blocks of columns, by the first bits of their hash, that overlaps are summed over one by one.
+PART_BITS = 2
+PARTS = 1 << PART_BITS
 
 
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
@@ -233,31 +240,66 @@ def _pairs(columns: DataFrame, round_: int, last: bool) -> DataFrame:
     return columns.groupBy("block").applyInArrow(multiply, "a long, b long").where("a <> b").distinct()
 
 
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts link: exact overlap of all shingles."""
+def _parts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Stored (id, h, part, n, columns): the shingles of each text (its hash is h) that is in a pair, in blocks of columns; n counts all of them."""
     hashed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.xxhash64("id").alias("h"))
     blocks = block_count(2 * pairs.count())
     wanted = bloom_filter(hashed, "h", blocks)
-    texts = maybe_in(docs.withColumn("_h", F.xxhash64("id")), "_h", wanted, blocks, "_wanted").where("_wanted").select("id", "text")
-    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"))
-    left = texts.join(copies, texts["id"] == copies["a"]).select("a", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("text_a"))
-    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
-    both = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(dealt, "b").join(left.drop("copies"), ["a", "copy"]).select("a", "b", "text_a", "text_b")
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 2):
-            linked = []
-            for part in chunks([batch], 3):
-                earlier, own = None, None
-                for text, other in zip(part.column(2).to_pylist(), _sets(part, 3), strict=True):
-                    if text != earlier:
-                        earlier, own = text, next(_sets(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["t"]), 0))
-                    shared = len(np.intersect1d(own, other, assume_unique=True))
-                    linked.append(shared > 0 and 100 * shared >= PERCENT * (len(own) + len(other) - shared))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return stored(both.mapInArrow(overlap, "a long, b long"), "links")
+    texts = maybe_in(docs.withColumn("_h", F.xxhash64("id")), "_h", wanted, blocks, "_wanted").where("_wanted AND id IS NOT NULL").select("id", "text", F.xxhash64("text").alias("h"))
+    edges = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(64 - PART_BITS)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 1):
+            sizes, columns = [], []
+            for found in _sets(batch, 1):
+                sizes += [len(found)] * PARTS
+                columns += [part.tobytes() for part in np.split(found, np.searchsorted(found, edges))]
+            yield pa.RecordBatch.from_arrays([
+                *[pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), PARTS), pa.int64()) for c in (0, 2)],
+                pa.array(np.tile(np.arange(PARTS, dtype=np.int32), batch.num_rows)), pa.array(sizes, pa.int32()), pa.array(columns, pa.binary())],
+                names=["id", "h", "part", "n", "columns"])
+
+    return stored(texts.mapInArrow(cut, "id long, h long, part int, n int, columns binary"), "set-parts")
+
+
+_STATE = ["a", "b", "h_a", "h_b", "n_a", "n_b", "overlap", "left_a", "left_b"]
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, overlap) of the pairs (a, b) that reach the similarity, as sums over the blocks of columns.
+
+    Ids that repeat with other texts are compared text by text; rows that repeat both must have been reduced to one.
+    """
+    parts = _parts(pairs, docs)
+    schema = ", ".join(f"{c} {'long' if c in ('a', 'b', 'h_a', 'h_b') else 'int'}" for c in _STATE)
+    state = pairs.select("a", "b", *[F.lit(None).cast("int").alias(c) for c in _STATE[4:]])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = {name: batch.column(name) for name in batch.schema.names}
+            x, y = ([np.frombuffer(c.as_buffer(), np.uint64) if len(c.as_buffer()) else np.zeros(0, np.uint64) for c in given[name]] for name in ("x", "y"))
+            n_a, n_b = given["size_a"].to_numpy().astype(np.int64), given["size_b"].to_numpy().astype(np.int64)
+            shared = np.fromiter((len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)), np.int64, len(x))
+            overlap = given["overlap"].fill_null(0).to_numpy().astype(np.int64) + shared
+            left_a = pc.coalesce(given["left_a"], given["size_a"]).to_numpy().astype(np.int64) - np.fromiter(map(len, x), np.int64, len(x))
+            left_b = pc.coalesce(given["left_b"], given["size_b"]).to_numpy().astype(np.int64) - np.fromiter(map(len, y), np.int64, len(y))
+            most = overlap + np.minimum(left_a, left_b)
+            keep = (most > 0) & ((100 + PERCENT) * most >= PERCENT * (n_a + n_b))
+            out = [*(given[c] for c in _STATE[:4]), *(pa.array(v.astype(np.int32)) for v in (n_a, n_b, overlap, left_a, left_b))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in out], names=_STATE)
+
+    for part in range(PARTS):
+        own = parts.where(F.col("part") == part)
+        copies = state.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"))
+        left = own.join(copies, own["id"] == copies["a"]).select(
+            "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("h").alias("h_a"), F.col("n").alias("size_a"), F.col("columns").alias("x"))
+        right = own.select(F.col("id").alias("b"), F.col("h").alias("h_b"), F.col("n").alias("size_b"), F.col("columns").alias("y"))
+        dealt = state.join(copies, "a").select(*state.columns, F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+        known = [] if part == 0 else ["h"]
+        both = right.join(dealt, ["b", *[f"{c}_b" for c in known]]).join(left, ["a", "copy", *[f"{c}_a" for c in known]])
+        both = both.select(*_STATE[:4], "overlap", "left_a", "left_b", "size_a", "size_b", "x", "y")
+        state = stored(both.mapInArrow(add, schema), "overlaps")
+    return state.select("a", "b", "n_a", "n_b", "overlap")
 
 
 def _class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -273,7 +315,7 @@ def _class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         pairs = stored(_pairs(state, k, k == PIVOT_ROUNDS), "pairs")
         if pairs.isEmpty():
             continue  # no row fits its column's pivot, which says nothing of rows other than pivots
-        new = _links(pairs, docs)
+        new = overlaps(pairs, docs).select("a", "b")
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
             components = stored(connected_components(links), "components")
@@ -283,13 +325,14 @@ def _class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    once = docs if docs.groupBy("id").count().where("count > 1 AND id IS NOT NULL").isEmpty() else docs.dropDuplicates(["id", "text"])
     sets = _signatures(docs, _sketch(docs))
     total = sets.count()
     classes = stored(
         sets.where("n > 0 AND id IS NOT NULL").groupBy("signature").agg(
             F.min(F.struct("id", "n", "columns")).alias("c"), F.count(F.lit(1)).alias("size"))
         .select("signature", "size", F.col("c.id").alias("node"), F.col("c.n").cast("int").alias("n"), "c.columns"), "classes")
-    components = _class_components(classes.select("node", "n", "columns"), docs)
+    components = _class_components(classes.select("node", "n", "columns"), once)
     groups = classes.select("signature", "size", "node")
     if components is None:
         groups = groups.withColumn("component", F.col("node"))
