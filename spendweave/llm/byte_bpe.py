@@ -121,7 +121,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
 
 def decode(encoded: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded", ranks: str = RANKS) -> DataFrame:
-    """``encoded`` with the bytes of its tokens, from the broadcast token-byte table."""
+    """``encoded`` with the bytes of its tokens, from the broadcast token-byte table, in place of a column of that name."""
+    encoded = encoded.drop(out_col) if out_col != tokens_col else encoded
     vocabulary = _shared_file(encoded.sparkSession, ranks)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())])
     at = encoded.columns.index(tokens_col)

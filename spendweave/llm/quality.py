@@ -58,9 +58,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     pairs = (mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) >> shift).astype(np.int32) if len(words) else ones
     inner = np.ones(len(words), bool)  # the last word of a text begins no pair
     inner[first[1:][counts > 0] - 1] = False
-    text_of = np.repeat(np.arange(len(counts)), counts)
     order = np.arange(len(words)) + np.concatenate(([0], np.cumsum(inner)))[:-1]
-    del text_of
     out[order] = ones
     out[order[inner] + 1] = pairs[inner[:-1]] if len(words) else pairs
     per_text = np.maximum(2 * counts - 1, 0)
@@ -153,7 +151,8 @@ def _large(data: bytes) -> np.ndarray:
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1."""
+    """``docs`` with the probability of label 1, in place of a column of that name."""
+    docs = docs.drop(out_col) if out_col != text_col else docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
     at = docs.columns.index(text_col)
