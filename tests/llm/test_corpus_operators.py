@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on a small table with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -86,6 +88,15 @@ def test_token_files_round_trip(spark, docs, rows, none, tmp_path):
         assert r.start == start
         assert any(r.n_tokens == len(x) and r.ids_crc32 == zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids[r.doc_id])
         start += r.n_tokens
+    token_files.write_tokens(docs, str(tmp_path / "small"), row_group_bytes=1 << 16)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "small").glob("*.parquet")]
+    assert max(f.num_row_groups for f in files) > 1
+    columns = {c.path_in_schema.split(".")[0]: c for f in files if f.num_rows for c in (f.row_group(0).column(k) for k in range(f.num_columns))}
+    assert set(columns) == {"doc_id", "part", "offset", "n_tokens", "ids"} and all(c.has_offset_index and c.has_column_index for c in columns.values())
+    assert "RLE_DICTIONARY" in columns["ids"].encodings and {c.compression for c in columns.values()} == {"ZSTD"}
+    assert any("DELTA" in e for c in columns.values() for e in c.encodings) or all("RLE_DICTIONARY" in c.encodings for c in columns.values())
+    plan = token_files.read_tokens(spark, str(tmp_path / "small")).select("doc_id", "n_tokens")._jdf.queryExecution().toString()
+    assert "ids:array" not in plan.split("ReadSchema")[1].split("\n")[0]  # metadata are read without the ids
     token_files.write_tokens(none, str(tmp_path / "b"))
     assert token_files.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
@@ -146,6 +157,19 @@ def test_ngram_join_finds_all_components(docs, rows, none):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in components.items() if i == c}
 
 
+def test_overlaps_are_summed_over_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_COPY", 5)
+    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    texts = {r[0]: r[1] or "" for r in rows if r[0] is not None and r[0] < 60}
+    words = {i: re.findall(WORD, t.encode().translate(low)) for i, t in texts.items()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for i, w in words.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    docs = spark.createDataFrame([*sorted(texts.items()), (13, "another text under the same id")], "id long, text string")
+    got = ngram_join.overlaps(spark.createDataFrame(pairs, "a long, b long"), docs)
+    want = [(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a, b in pairs]
+    assert found(got, "a", "b", "n_a", "n_b", "overlap") == sorted((x for x in want if x[4] and 100 * x[4] >= 80 * (x[2] + x[3] - x[4])), key=repr)
+
+
 def test_ngram_join_without_candidates_in_a_pivot_round(spark):
     passages = [[f"c{k}w{i}" for i in range(904)] for k in range(5)]
     texts = [p + [f"{side}{k}w{i}" for i in range(100)] for k, p in enumerate(passages) for side in "ab"]
@@ -187,13 +211,21 @@ def test_sharding_splits_oversized_buckets_only(docs, rows, none, spark, tmp_pat
         assert (r.shard_depth, r.shard_bytes, r.shard_rows) == (depth, sum(n for _, n in same), len(same))
         assert r.shard == (format(h >> (60 - depth), f"0{depth}b") if depth else "")
     assert sharding.assign_shards(none).count() == 0
-    sharding.write_shards(docs.dropDuplicates(["doc_id"]), str(tmp_path / "shards"), limit=limit)
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == len({r[0] for r in rows})
+    many = docs.withColumn("shard", F.lit("mine")).withColumn("_key", F.lit(1)).withColumn("depth", F.lit(2)).withColumn("prefix", F.lit(3))
+    column = sharding.write_shards(many, str(tmp_path / "shards"), limit=limit)
+    back = sharding.read_shards(spark, str(tmp_path / "shards"), many.schema, column)
+    assert column == "_shard" and back.drop(column).exceptAll(many).isEmpty() and many.exceptAll(back.drop(column)).isEmpty()
+    names = ("doc_id", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_rows")
+    assert found(sharding.shard_report(back, column), *names) == sorted((tuple(r[c] for c in names) for r in got), key=repr)
+    sharding.write_shards(none, str(tmp_path / "none"))
+    assert sharding.shard_report(sharding.read_shards(spark, str(tmp_path / "none"), none.schema)).count() == 0
 
 
 def test_quality_learns_from_rows_not_held_out(docs, none, spark):
     labels = spark.createDataFrame([(i, int(i < 140), 0) for i in range(11, 180)] + [(None, 1, 0), (12, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, labels).collect()
+    by_text = {r.text: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    same = lambda g, r: g.score == by_text[r.text]  # noqa: E731 (rows may share an id)
     assert len(got) == docs.count()
     test = [r for r in got if r.held_out and r.doc_id is not None and 11 <= r.doc_id < 180]
     assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
@@ -202,7 +234,16 @@ def test_quality_learns_from_rows_not_held_out(docs, none, spark):
     assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(none, labels).count() == 0
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert found(kept, "doc_id", "text") == sorted(((r.doc_id, r.text) for r in docs.collect() if any(g.doc_id == r.doc_id and g.predicted and same(g, r) for g in got)), key=repr)
+
+
+def test_outputs_replace_columns_of_their_names(docs):
+    clashing = docs.withColumn("decoded", F.lit("mine")).withColumn("score", F.lit("mine"))
+    assert byte_bpe.decode(byte_bpe.encode(clashing)).columns.count("decoded") == 1
+    scored = quality.score(clashing, np.zeros(quality.SIZE))
+    assert scored.columns.count("score") == 1 and scored.schema["score"].dataType.simpleString() == "double"
 
 
 def test_mix_meets_targets(docs, rows, none):
@@ -232,7 +273,11 @@ def test_mix_meets_targets(docs, rows, none):
     largest = 20000
     assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] or size[s] > largest / 2 and abs(taken[s] - target[s]) <= largest for s in order)
     assert found(mixing.mix(docs), "doc_id", "taken") == sorted(((r.doc_id, r.taken) for r in got), key=repr)
-    assert mixing.repeat(docs).columns == docs.columns
+    mixed = mixing.repeat(docs)
+    assert mixed.columns == docs.columns
+    copies = Counter({i: max(n for j, n in ((r.doc_id, r.copies) for r in got) if j == i) for i in {r.doc_id for r in got}})
+    times = Counter(r[0] for r in rows)
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: n * times[i] for i, n in copies.items() if n})
     assert mixing.mix(none).count() == 0
 
 
@@ -255,6 +300,8 @@ def test_vector_join_is_exact(spark):
         least = [min((least[b] for b in {a, *links[a]} if least[b] is not None), default=None) for a in range(len(rows))]
     want = sorted(((r[0], len(links[a]), least[a]) for a, r in enumerate(rows)), key=repr)
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == want
+    small_groups = vector_join.near_vectors(df, tile_rows=8, group_bytes=2 * 8 * 8 * 24).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in small_groups), key=repr) == want
     assert vector_join.near_vectors(df.limit(0)).count() == 0
 
 
@@ -281,6 +328,58 @@ def test_html_extract(spark):
     assert wrong <= 0.01 * total
 
 
+def test_html_extract_on_pages_labelled_by_hand(spark):
+    from hand_pages import PAGES as pages
+
+    rows = [(k, page, "old", 1) for k, (page, _) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int")
+    got = {r.page_id: r.text.split("\n\n") if r.text else [] for r in html_extract.extract(df).collect()}
+    hit = sum(len(set(got[k]) & set(want)) for k, (_, want) in enumerate(pages))
+    precision, recall = hit / sum(map(len, got.values())), hit / sum(len(want) for _, want in pages)
+    print(f"blocks of hand-labelled pages: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.95 and recall >= 0.97
+    assert html_extract.extract(df).columns == ["page_id", "text", "n_chars"] and html_extract.extract(df.limit(0)).count() == 0
+    assert html_extract.extract(df.unionAll(df)).count() == 2 * len(pages)
+
+
+def test_viterbi_and_gradients_against_all_labelings():
+    rng = np.random.default_rng(1)
+    for n in range(1, 9):
+        scores, trans, start = rng.normal(size=n).tolist(), rng.normal(size=(2, 2)).tolist(), float(rng.normal())
+
+        def value(labels):
+            return start * labels[0] + sum(s * y for s, y in zip(scores, labels, strict=True)) + sum(trans[a][b] for a, b in zip(labels, labels[1:], strict=False))
+
+        best = max(itertools.product((0, 1), repeat=n), key=value)
+        assert html_extract.best_labels(scores, trans, start) == list(best)
+    # the trained field is a maximum: the penalised likelihood, summed over all labelings, falls in random directions
+    weights, trans, start = html_extract.train(12, 2000)
+    names = sorted(weights)
+    pages = []
+    for seed in range(12):
+        blocks = html_extract.blocks_of(html_extract.labelled_page(seed))
+        marks = [int(next((c for c in b[1] if c in html_extract._MARKS.values()), html_extract._MARKS[0]) == html_extract._MARKS[1]) for b in blocks]
+        clean = [b[1].translate({ord(c): None for c in html_extract._MARKS.values()}).strip() or "." for b in blocks]
+        pages.append(([[names.index(f) for f in (*dict.fromkeys(b[0]), *html_extract._text_features(t, b[2]))] for b, t in zip(blocks, clean, strict=True)], marks))
+
+    def likelihood(w, t, s):
+        total = -0.05 * (w @ w + (t ** 2).sum() + s * s)
+        for features, marks in pages:
+            if marks:
+                emit = [w[f].sum() for f in features]
+                ahead = np.array([0.0, emit[0] + s])
+                for e in emit[1:]:
+                    ahead = np.array([np.logaddexp(ahead[0] + t[0, 0], ahead[1] + t[1, 0]), np.logaddexp(ahead[0] + t[0, 1], ahead[1] + t[1, 1]) + e])
+                own = s * marks[0] + sum(e * y for e, y in zip(emit, marks, strict=True)) + sum(t[a, b] for a, b in zip(marks, marks[1:], strict=False))
+                total += own - np.logaddexp(*ahead)
+        return total
+
+    w = np.array([weights[f] for f in names])
+    here = likelihood(w, trans, start)
+    for _ in range(20):
+        assert likelihood(w + 0.3 * rng.normal(size=len(w)), trans + 0.3 * rng.normal(size=(2, 2)), start + 0.3 * rng.normal()) < here
+
+
 def test_html_extract_keeps_text_after_unclosed_elements(spark):
     article = "<article><h1>A title of some words</h1>%s<p>The main text of the page, which goes on for a while and ends here.</p></article>"
     text = "A title of some words\n\nThe main text of the page, which goes on for a while and ends here."
@@ -322,7 +421,42 @@ def test_lattice_sums_all_segmentations(docs, rows, none):
                    for r, ws, h in zip(rows, words, out, strict=True)), key=repr)
     got = lattice_lm.lm_scores(docs).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got), key=repr) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert all(r.score < 0 and math.isfinite(r.score) and r.mixed_score < 0 for r in got)
+    # the score by plain recursions over strings: expected piece counts of every training word, then all segmentations of every text's words
+    names, weights = lattice_lm.read_pieces()
+    longest, log_p = max(map(len, names)), dict(zip(names, np.log(weights / weights.sum()).tolist(), strict=True))
+
+    def sums(word):
+        ahead = [0.0] + [-math.inf] * len(word)
+        for end in range(1, len(word) + 1):
+            paths = [ahead[a] + log_p[word[a:end]] for a in range(max(0, end - longest), end) if word[a:end] in log_p]
+            most = max(paths)
+            ahead[end] = most + math.log(sum(math.exp(x - most) for x in paths))
+        return ahead
+
+    for _ in range(lattice_lm.EM_STEPS):
+        uses = dict.fromkeys(names, 0.1)
+        for word, times in seen.items():
+            if word is not None:
+                word = "▁".encode() + word
+                ahead = sums(word)
+                back = [-math.inf] * len(word) + [0.0]
+                for a in range(len(word) - 1, -1, -1):
+                    paths = [log_p[word[a:b]] + back[b] for b in range(a + 1, min(len(word), a + longest) + 1) if word[a:b] in log_p]
+                    most = max(paths)
+                    back[a] = most + math.log(sum(math.exp(x - most) for x in paths))
+                for a in range(len(word)):
+                    for b in range(a + 1, min(len(word), a + longest) + 1):
+                        if word[a:b] in log_p:
+                            uses[word[a:b]] += times * math.exp(ahead[a] + log_p[word[a:b]] + back[b] - ahead[-1])
+        whole = sum(uses.values())
+        log_p = {x: math.log(u / whole) for x, u in uses.items()}
+    marginal = {w: sums("▁".encode() + w)[-1] for ws in words for w in ws if w is not None}
+    ends = seen[None]
+    want = sorted(((r[0], sum(marginal[w] for w in ws[:-1]) / math.log(10) + (len(ws) - 1) * math.log10((n - ends) / n) + math.log10(ends / n))
+                   for r, ws in zip(rows, words, strict=True)), key=repr)
+    mine = sorted(((r.doc_id, r.score) for r in got), key=repr)
+    assert [i for i, _ in mine] == [i for i, _ in want] and np.allclose([x for _, x in mine], [x for _, x in want], rtol=1e-7)
     assert lattice_lm.lm_scores(none).count() == 0
 
 
