@@ -137,7 +137,8 @@ LAYOUTS = {
         ("<article>", "</article>"), ("<main><article class=\"post\">", "</article></main>"), ("<main>", "</main>"), ("<div class=\"content\">", "</div>"),
         ("<div id=\"content\" class=\"article-body\">", "</div>"), ("<section class=\"entry post\">", "</section>"), ("<div class=\"story text\" role=\"main\">", "</div>"),
         ("<div><div>", "</div></div>"), ("<div>", "</div>"), ("", ""), ("<div id=\"wrapper\"><div class=\"row\">", "</div></div>"), ("<section>", "</section>"),
-        ("<table><tr><td>", "</td></tr></table>")],
+        ("<table><tr><td>", "</td></tr></table>"), ("<article class=\"entry\">", "</article>"), ("<div><article>", "</article></div>"),
+        ("<main id=\"main\">", "</main>"), ("<article>", "</article>"), ("<article itemscope>", "</article>")],
     "main blocks": ["<p>%</p>", "<p>%</p>", "<p>%</p>", "<p>%", "<p><b>%<br>", "<h2>%</h2>", "<ul><li>%</li></ul>", "<blockquote><p>%</p></blockquote>", "<pre>%</pre>", "<div>%</div>",
                     "<table><tr><td>%</td></tr></table>", "<ol><li>%</li></ol>", "<ol><li>%</li></ol>", "<ul><li><p>%</p></li></ul>", "<dl><dt>%</dt></dl>", "<dl><dd>%</dd></dl>",
                     "<figure><img src=\"x\"><figcaption>%</figcaption></figure>", "<div><div><p>%</p></div></div>", "<section><h3>%</h3></section>",
