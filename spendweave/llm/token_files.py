@@ -44,8 +44,8 @@ PAGE_ROWS = 2000
 #: The split pattern always cuts between a letter and an ASCII mark after it; then fewer words differ.
 LETTER_THEN_MARK = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([!-/:-@\[-`{-~])"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Words whose ids a worker keeps from one group of texts to the next.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps for its later texts, about 250 bytes each.
+KEPT_WORDS = 80_000
 
 
 class _Words:
