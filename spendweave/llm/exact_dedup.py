@@ -2,8 +2,10 @@
 
 The first pass counts the two filter bits of every text's 64-bit hash and keeps the bits that were set
 twice. The second pass tests every row: a row with an unset bit is unique and passes straight through. The
-others meet by SHA-256. The filter has 16 bits a row and at most 32 MB (``MAX_BLOCKS``); beyond that many
-rows it lets more unique rows into the shuffle and the result stays exact.
+others meet by SHA-256. The filter has 16 bits a row and is broadcast, so it has at most 32 MB (``MAX_BLOCKS``). For more rows
+than that (16 million) the first pass counts the hashes themselves, 8 bytes a row and reduced map-side, and the filter holds only those that
+were found twice. So unique rows pass straight through at any size while at most 16 million texts are repeated; beyond, some of
+them join the shuffle and the result stays exact.
 
 Defined results: a null text counts as the empty text; texts are equal when their UTF-8 bytes are. The row
 with the largest id stays; a null id is smaller than any other. Rows that share both text and the largest id
@@ -22,10 +24,15 @@ from spendweave.llm.common import MAX_BLOCKS, attach, block_count, bloom_filter,
 def _flagged(docs: DataFrame, text_col: str, max_blocks: int) -> tuple[DataFrame, str, int]:
     """``docs`` with a flag column (may occur twice), its name, and the number of rows."""
     total = docs.count()
-    blocks = block_count(total, most=max_blocks)
     hashed, flag = fresh(docs, "_hash"), fresh(docs, "_repeated")
     rows = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    repeated = bloom_filter(rows.select(hashed), hashed, blocks, least=2)
+    blocks = block_count(total, most=1 << 60)
+    if blocks <= max_blocks:
+        repeated = bloom_filter(rows.select(hashed), hashed, blocks, least=2)
+    else:
+        again = stored(rows.groupBy(hashed).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(hashed), "repeated-hashes")
+        blocks = block_count(again.count(), most=max_blocks)
+        repeated = bloom_filter(again, hashed, blocks)
     return maybe_in(rows, hashed, repeated, blocks, flag).drop(hashed), flag, total
 
 
