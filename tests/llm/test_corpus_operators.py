@@ -190,6 +190,11 @@ def test_exact_dedup(docs, rows, none):
     want = sorted(((r[0], keep[r[1] or ""], len(groups[r[1] or ""]), r[0] == keep[r[1] or ""], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows), key=repr)
     assert found(exact_dedup.mark_duplicates(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
     assert found(exact_dedup.mark_duplicates(docs, max_blocks=1), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+    wide = docs.unionByName(docs.sparkSession.range(1000, 6000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("unique "), "id").alias("text"), *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c not in ("doc_id", "text")]))
+    flagged, flag, total = exact_dedup._flagged(wide, "text", 1)  # more rows than one block's filter has room for
+    shuffled = flagged.where(F.col(flag)).count()
+    assert total > 5000 and sum(len(ids) for ids in groups.values() if len(ids) > 1) <= shuffled < 100
     dropped = exact_dedup.drop_duplicates(docs)
     assert dropped.columns == docs.columns
     assert found(dropped, "doc_id") == sorted(((i,) for i in keep.values()), key=repr)

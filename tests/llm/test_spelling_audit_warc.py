@@ -220,6 +220,20 @@ def test_warc_records_stand_where_the_index_says(spark, pages, tmp_path):
         assert r.record_type == "revisit" or hashlib.sha1(block.split(b"\r\n\r\n", 1)[1]).hexdigest() == r.payload_digest
 
 
+def test_warc_dates_are_utc_in_any_session(spark, pages, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        warc.write_warc(pages, str(tmp_path / "archives"), compression="none")
+        captures = warc.read_warc(spark, str(tmp_path / "archives"))
+        wrong = captures.where(F.unix_timestamp("captured") != warc.EPOCH + F.coalesce(F.pmod("page_id", F.lit(10**9)), F.lit(0)))
+        assert wrong.count() == 0 and captures.count() == len(pages_rows())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    text = b"".join(f.read_bytes() for f in (tmp_path / "archives").glob("part-*"))
+    assert b"WARC-Record-ID: <urn:page:1>" in text and b"WARC-Date: 2020-01-01T00:00:01Z" in text
+
+
 def test_warc_without_rows(spark, pages, tmp_path):
     warc.write_warc(pages.limit(0), str(tmp_path / "none"))
     assert warc.merged_index(warc.read_warc(spark, str(tmp_path / "none"))).count() == 0
