@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +42,12 @@ _SKETCH_PARTS = 16
 #: Shingles in a block of columns, about.
 BLOCK_SHINGLES = 1 << 19
 PIVOT_ROUNDS = 2
-#: Pairs of one document that meet in one task; more are dealt over several copies of its columns.
+#: Pairs of one document that meet in one task; more are dealt over several copies of its text.
 PAIRS_PER_COPY = 2000
 #: Blocks of columns, by the first bits of their hash, that overlaps are summed over one by one.
 PART_BITS = 2
 PARTS = 1 << PART_BITS
+_EDGES = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(64 - PART_BITS)
 
 
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
@@ -240,66 +240,47 @@ def _pairs(columns: DataFrame, round_: int, last: bool) -> DataFrame:
     return columns.groupBy("block").applyInArrow(multiply, "a long, b long").where("a <> b").distinct()
 
 
-def _parts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Stored (id, h, part, n, columns): the shingles of each text (its hash is h) that is in a pair, in blocks of columns; n counts all of them."""
-    hashed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.xxhash64("id").alias("h"))
-    blocks = block_count(2 * pairs.count())
-    wanted = bloom_filter(hashed, "h", blocks)
-    texts = maybe_in(docs.withColumn("_h", F.xxhash64("id")), "_h", wanted, blocks, "_wanted").where("_wanted AND id IS NOT NULL").select("id", "text", F.xxhash64("text").alias("h"))
-    edges = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(64 - PART_BITS)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 1):
-            sizes, columns = [], []
-            for found in _sets(batch, 1):
-                sizes += [len(found)] * PARTS
-                columns += [part.tobytes() for part in np.split(found, np.searchsorted(found, edges))]
-            yield pa.RecordBatch.from_arrays([
-                *[pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), PARTS), pa.int64()) for c in (0, 2)],
-                pa.array(np.tile(np.arange(PARTS, dtype=np.int32), batch.num_rows)), pa.array(sizes, pa.int32()), pa.array(columns, pa.binary())],
-                names=["id", "h", "part", "n", "columns"])
-
-    return stored(texts.mapInArrow(cut, "id long, h long, part int, n int, columns binary"), "set-parts")
-
-
-_STATE = ["a", "b", "h_a", "h_b", "n_a", "n_b", "overlap", "left_a", "left_b"]
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """What two rows (sorted columns) share, summed over the blocks of columns; 0 once it cannot reach the similarity any more."""
+    need = PERCENT * (len(x) + len(y))
+    at_x, at_y = np.searchsorted(x, _EDGES).tolist(), np.searchsorted(y, _EDGES).tolist()
+    total = i = j = 0
+    for p, q in zip([*at_x, len(x)], [*at_y, len(y)], strict=True):
+        total += len(np.intersect1d(x[i:p], y[j:q], assume_unique=True))
+        i, j = p, q
+        if (100 + PERCENT) * (total + min(len(x) - i, len(y) - j)) < need:
+            return 0
+    return total
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, overlap) of the pairs (a, b) that reach the similarity, as sums over the blocks of columns.
+    """(a, b, n_a, n_b, overlap) of the pairs (a, b) that reach the similarity. Rows that repeat id and text must be one.
 
-    Ids that repeat with other texts are compared text by text; rows that repeat both must have been reduced to one.
+    The rows of the matrix travel as the texts that they come from, which compress; a text is cut into columns once for all its pairs.
     """
-    parts = _parts(pairs, docs)
-    schema = ", ".join(f"{c} {'long' if c in ('a', 'b', 'h_a', 'h_b') else 'int'}" for c in _STATE)
-    state = pairs.select("a", "b", *[F.lit(None).cast("int").alias(c) for c in _STATE[4:]])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = {name: batch.column(name) for name in batch.schema.names}
-            x, y = ([np.frombuffer(c.as_buffer(), np.uint64) if len(c.as_buffer()) else np.zeros(0, np.uint64) for c in given[name]] for name in ("x", "y"))
-            n_a, n_b = given["size_a"].to_numpy().astype(np.int64), given["size_b"].to_numpy().astype(np.int64)
-            shared = np.fromiter((len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)), np.int64, len(x))
-            overlap = given["overlap"].fill_null(0).to_numpy().astype(np.int64) + shared
-            left_a = pc.coalesce(given["left_a"], given["size_a"]).to_numpy().astype(np.int64) - np.fromiter(map(len, x), np.int64, len(x))
-            left_b = pc.coalesce(given["left_b"], given["size_b"]).to_numpy().astype(np.int64) - np.fromiter(map(len, y), np.int64, len(y))
-            most = overlap + np.minimum(left_a, left_b)
-            keep = (most > 0) & ((100 + PERCENT) * most >= PERCENT * (n_a + n_b))
-            out = [*(given[c] for c in _STATE[:4]), *(pa.array(v.astype(np.int32)) for v in (n_a, n_b, overlap, left_a, left_b))]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in out], names=_STATE)
-
-    for part in range(PARTS):
-        own = parts.where(F.col("part") == part)
-        copies = state.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"))
-        left = own.join(copies, own["id"] == copies["a"]).select(
-            "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("h").alias("h_a"), F.col("n").alias("size_a"), F.col("columns").alias("x"))
-        right = own.select(F.col("id").alias("b"), F.col("h").alias("h_b"), F.col("n").alias("size_b"), F.col("columns").alias("y"))
-        dealt = state.join(copies, "a").select(*state.columns, F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
-        known = [] if part == 0 else ["h"]
-        both = right.join(dealt, ["b", *[f"{c}_b" for c in known]]).join(left, ["a", "copy", *[f"{c}_a" for c in known]])
-        both = both.select(*_STATE[:4], "overlap", "left_a", "left_b", "size_a", "size_b", "x", "y")
-        state = stored(both.mapInArrow(add, schema), "overlaps")
-    return state.select("a", "b", "n_a", "n_b", "overlap")
+    hashed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.xxhash64("id").alias("h"))
+    blocks = block_count(2 * pairs.count())
+    wanted = bloom_filter(hashed, "h", blocks)
+    texts = maybe_in(docs.withColumn("_h", F.xxhash64("id")), "_h", wanted, blocks, "_wanted").where("_wanted").select("id", "text")
+    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"))
+    left = texts.join(copies, texts["id"] == copies["a"]).select("a", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("text_a"))
+    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+    both = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(dealt, "b").join(left.drop("copies"), ["a", "copy"]).select("a", "b", "text_a", "text_b")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 2):
+            found = []
+            for part in chunks([batch], 3):
+                earlier, own = None, None
+                for text, other in zip(part.column(2).to_pylist(), _sets(part, 3), strict=True):
+                    if text != earlier:
+                        earlier, own = text, next(_sets(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["t"]), 0))
+                    found.append((len(own), len(other), _overlap(own, other)))
+            sizes = [pa.array(x, pa.int32()) for x in zip(*found, strict=True)]
+            keep = pa.array([overlap > 0 for *_, overlap in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(1), *sizes)], names=["a", "b", "n_a", "n_b", "overlap"])
+
+    return stored(both.mapInArrow(multiply, "a long, b long, n_a int, n_b int, overlap int"), "overlaps")
 
 
 def _class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
