@@ -235,6 +235,26 @@ def test_docs(spark, tmp_path):
     assert got == {"a.md": ("# A\nline", False), "sub/b.md": (" \n \n", True)}
 
 
+def test_iac_order_does_not_depend_on_packing(spark, tmp_path):
+    for n in range(5):
+        put(tmp_path, f"t{n}.json", {"resources": [{"id": f"id-{n}-{k}", "type": "T", "name": f"n{n}"} for k in range(4)]})
+    (tmp_path / "lines").mkdir()
+    docs = [json.dumps({"resources": [{"id": f"l-{n}", "type": "T", "name": f"l-{n}"}]}) for n in range(400)]
+    (tmp_path / "lines" / "a.json").write_text("\n".join(docs))
+    (tmp_path / "lines" / "b.json").write_text("\n".join(docs[:100]).replace("l-", "m-"))
+    for size, cost in (("134217728", "4194304"), ("3000", "0"), ("134217728", "134217728")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        try:
+            order = [r.identifier for r in iac_files.scan_arm(spark, str(tmp_path / "t*.json")).orderBy("ordinal").collect()]
+            lined = [r.identifier for r in iac_files.scan_arm(spark, str(tmp_path / "lines"), multi_line=False).orderBy("ordinal").collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [i for i in order if i.startswith("id")] == [f"id-{n}-{k}" for n in range(5) for k in range(4)]
+        assert lined == [f"l-{n}" for n in range(400)] + [f"m-{n}" for n in range(100)]
+
+
 def test_document_records(spark, tmp_path):
     rows = [{"source": "a.md", "text": "# A\nline"}, {"text": " \n"}, {"source": "c.md"}, {"text": "x"}]
     (tmp_path / "docs.json").write_text("\n".join(json.dumps(r) for r in rows) + "\n")
