@@ -206,3 +206,18 @@ MISSING_CELLS = [
 
 # Headers only an Azure export has.
 AZURE_MARKERS = ["BillingPeriodStartDate", "CostInBillingCurrency", "MeterCategory", "ResourceLocation"]
+
+# Patterns of the blocks a Terraform diff declares.
+RESOURCE_BLOCK = r'resource\s+"([^"]+)"\s+"([^"]+)"'
+MODULE_BLOCK = r'module\s+"([^"]+)"'
+
+# Patterns of secrets, and what stands in their place.
+SECRET_PATTERNS = ["AKIA[A-Z0-9]{12,}", "[A-Za-z0-9/+=]{40,}"]
+REDACTED = "[REDACTED]"
+
+# Names of the quality checks.
+CHECK_RECONCILIATION = "Invoice reconciliation"
+CHECK_DUPLICATES = "No duplicate billing lines"
+CHECK_MISSING_IDS = "Resource ID coverage"
+CHECK_NEGATIVE = "No negative costs (non-credit)"
+CHECK_COVERAGE = "Attribution coverage >= 80%"

@@ -50,6 +50,12 @@ def _distinct(df: DataFrame, text: str, name: str, extra: list[str]) -> DataFram
     return rows if extra else rows.distinct()
 
 
+def haystack_grams(hay: DataFrame, sizes: Column, wanted: DataFrame) -> DataFrame:
+    """The n-grams of the haystacks (column ``_hay``) that a needle has; the others are dropped where they are cut, if ``wanted`` is a broadcast."""
+    grams = _explode_grams(hay.withColumn("_size", F.explode(sizes)), "_hay")
+    return grams.join(wanted, "_gram", "left_semi")
+
+
 def _salted(grams: DataFrame, anchors: DataFrame, seen: DataFrame, rows: int) -> DataFrame:
     """Haystacks and needles that share an anchor; a hot anchor's haystacks lie in several tasks, with its needles in each."""
     chunk = max(SALT_ROWS, math.ceil(rows / SALT_SHARE))
@@ -87,8 +93,7 @@ def containment_pairs(
     # Haystacks emit only sizes that occur.
     hay = _distinct(haystacks, haystack, "_hay", haystack_extra or [])
     sizes = pins.select("_size").distinct().agg(F.collect_set("_size")).scalar()
-    grams = _explode_grams(hay.withColumn("_size", F.explode(sizes)), "_hay")
-    grams = stored(grams.join(wanted, "_gram", "left_semi"), "haystack-grams")
+    grams = stored(haystack_grams(hay, sizes, wanted), "haystack-grams")
 
     seen = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_seen"))
     extra = [F.first(c).alias(c) for c in needle_extra or []]

@@ -53,12 +53,12 @@ def tf_diff_changes(files: DataFrame) -> DataFrame:
     without any, its module blocks; without those, itself.
     """
     patch = F.coalesce("patch", F.lit(""))
-    block = r'resource\s+"([^"]+)"\s+"([^"]+)"'
+    block = codes.RESOURCE_BLOCK
     resources = F.arrays_zip(
         F.regexp_extract_all(patch, F.lit(block), F.lit(1)).alias("t"),
         F.regexp_extract_all(patch, F.lit(block), F.lit(2)).alias("n"),
     )
-    modules = F.regexp_extract_all(patch, F.lit(r'module\s+"([^"]+)"'), F.lit(1))
+    modules = F.regexp_extract_all(patch, F.lit(codes.MODULE_BLOCK), F.lit(1))
     as_change = lambda kind, name: F.struct(kind.alias("t"), name.alias("n"))
     found = (
         F.when(F.size(resources) > 0, F.transform(resources, lambda r: as_change(r["t"], r["n"])))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendweave.functions import codes
 from spendweave.functions.numbers import fixed_text
 from spendweave.functions.rules import blank_to_null
 from spendweave.schemas import LINE_KEY
@@ -55,7 +56,7 @@ def dq_reconciliation(lines: DataFrame, invoices: DataFrame, tolerance: float =
             F.lit(", Diff: $"), fixed_text(diff, 2),
         )
     )
-    return month.select(_row("Invoice reconciliation", status, detail))
+    return month.select(_row(codes.CHECK_RECONCILIATION, status, detail))
 
 
 def dq_duplicates(lines: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def dq_duplicates(lines: DataFrame) -> DataFrame:
     detail = F.when(n == 0, "No duplicates").otherwise(
         F.concat(n.cast("string"), F.lit(" duplicate groups found"))
     )
-    return counts.select(_row("No duplicate billing lines", status, detail))
+    return counts.select(_row(codes.CHECK_DUPLICATES, status, detail))
 
 
 def dq_missing_ids(lines: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def dq_missing_ids(lines: DataFrame) -> DataFrame:
     detail = F.concat(
         F.col("bad").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" lines missing resource_id")
     )
-    return counts.select(_row("Resource ID coverage", status, detail))
+    return counts.select(_row(codes.CHECK_MISSING_IDS, status, detail))
 
 
 def dq_negative(lines: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def dq_negative(lines: DataFrame) -> DataFrame:
     counts = lines.groupBy(PERIOD).agg(F.count_if(bad).alias("bad"))
     status = F.when(F.col("bad") == 0, "pass").otherwise("warn")
     detail = F.concat(F.col("bad").cast("string"), F.lit(" non-credit negative cost lines"))
-    return counts.select(_row("No negative costs (non-credit)", status, detail))
+    return counts.select(_row(codes.CHECK_NEGATIVE, status, detail))
 
 
 def dq_coverage(lines: DataFrame, invoices: DataFrame, minimum: float = 80) -> DataFrame:
@@ -98,7 +99,7 @@ def dq_coverage(lines: DataFrame, invoices: DataFrame, minimum: float = 80) -> D
     detail = F.when(total.isNull(), "No invoice data to check attribution").otherwise(
         F.concat(F.lit("Attribution coverage: "), fixed_text(pct, 1), F.lit("%"))
     )
-    return joined.select(_row("Attribution coverage >= 80%", status, detail))
+    return joined.select(_row(codes.CHECK_COVERAGE, status, detail))
 
 
 def run_quality_checks(lines: DataFrame, invoices: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from spendweave.functions import codes, rules
 from spendweave.functions.numbers import percent, percent_or_zero, period_label, places, rounded
 from spendweave.operators.ranking import ranked, top_per_group
 from spendweave.schemas import PAIR
+from spendweave.session import stored
 
 PERIOD = "billing_period_start"
 CURRENT = PAIR[1]
@@ -114,8 +115,10 @@ def drift_rows(variance: DataFrame) -> DataFrame:
 
 def redact_secrets(df: DataFrame, column: str) -> DataFrame:
     """Access keys and long base64-like runs replaced in a text column."""
-    keyless = F.regexp_replace(column, "AKIA[A-Z0-9]{12,}", "[REDACTED]")
-    return df.withColumn(column, F.regexp_replace(keyless, "[A-Za-z0-9/+=]{40,}", "[REDACTED]"))
+    text = F.col(column)
+    for pattern in codes.SECRET_PATTERNS:
+        text = F.regexp_replace(text, pattern, codes.REDACTED)
+    return df.withColumn(column, text)
 
 
 # -- variance rollups -------------------------------------------------------------------------------
@@ -536,7 +539,8 @@ def cost_describe(lines: DataFrame) -> DataFrame:
     percentile works on (value, count) pairs.
     """
     cost = F.col("billed_cost").cast("double")
-    values = lines.where("billed_cost is not null").groupBy(PERIOD, cost.alias("v")).agg(_count("n"))
+    # Four aggregates read the counted values, so they are written once.
+    values = stored(lines.where("billed_cost is not null").groupBy(PERIOD, cost.alias("v")).agg(_count("n")), "cost-values")
     n, v = F.col("n"), F.col("v")
     stats = values.groupBy(PERIOD).agg(
         F.sum("n").alias("lines"),

@@ -37,6 +37,21 @@ def test_containment_within_groups(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_an_ngram_of_all_haystacks_is_dealt_out(spark, monkeypatch):
+    from spendweave.operators import containment
+
+    monkeypatch.setattr(containment, "SALT_ROWS", 20)
+    monkeypatch.setattr(containment, "SALT_SHARE", 1000)
+    monkeypatch.setattr(containment, "MOST_BROADCAST_GRAMS", 0)
+    h = spark.createDataFrame([(f"shared-text-{k}",) for k in range(300)], "h string")
+    p = spark.createDataFrame([("shared-text",), ("text-7",), ("none",), ("t",)], "p string")
+    rows = [tuple(r) for r in containment_pairs(h, p, "h", "p").collect()]
+    want = {(f"shared-text-{k}", x) for k in range(300) for x in ("shared-text", "text-7", "t") if x in f"shared-text-{k}"}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    pairs = containment_pairs(h.withColumn("n", F.length("h")), p.withColumn("m", F.length("p")), "h", "p", haystack_extra=["n"], needle_extra=["m"])
+    assert {(r.h, r.p) for r in pairs.where("n = length(h) and m = length(p)").collect()} == want
+
+
 def test_containment_plan_has_no_nested_loop(spark):
     h = spark.range(10).select(F.col("id").cast("string").alias("h"))
     p = spark.range(5).select(F.col("id").cast("string").alias("p"))
@@ -44,6 +59,15 @@ def test_containment_plan_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_foreign_ngrams_are_dropped_before_any_exchange(spark):
+    from spendweave.operators.containment import haystack_grams
+
+    hay = spark.range(100).select(F.concat(F.lit("text-"), "id").alias("_hay"))
+    wanted = spark.range(5).select(F.xxhash64(F.col("id").cast("string")).alias("_gram"))
+    plan = haystack_grams(hay, F.array(F.lit(1), F.lit(2)), F.broadcast(wanted))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_ranked_equals_window(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["hot"] * 6 + ["a", None]), rng.randint(0, 40), i) for i in range(1500)]
