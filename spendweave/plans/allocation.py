@@ -58,3 +58,10 @@ def allocation_coverage(allocations: DataFrame) -> DataFrame:
         "attribution_coverage_pct",
         places(F.col("attributed_lines").cast("double") * 100 / F.col("total_lines"), 2).cast("decimal(18,2)"),
     )
+
+
+def with_coverage(invoices: DataFrame, allocations: DataFrame) -> DataFrame:
+    """Invoices with the share of their period's lines that have a team; invoices of periods without allocations keep theirs."""
+    share = allocation_coverage(allocations).select("billing_period_start", F.col("attribution_coverage_pct").alias("_share"))
+    joined = invoices.join(share, "billing_period_start", "left")
+    return joined.withColumn("attribution_coverage_pct", F.coalesce("_share", "attribution_coverage_pct")).select(*invoices.columns)

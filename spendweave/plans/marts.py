@@ -51,21 +51,27 @@ def line_totals_by_invoice(staged: DataFrame) -> DataFrame:
     )
 
 
-def int_invoice_totals(staged: DataFrame, allocations: DataFrame) -> DataFrame:
+def int_invoice_totals(staged: DataFrame, allocations: DataFrame, invoices: DataFrame | None = None) -> DataFrame:
     """Invoice totals with the cost attributed to a team.
 
-    Allocations carry the invoice of their line, so attribution is summed before the join.
+    Allocations carry the invoice of their line, so attribution is summed before the join. The line total is reconciled with that
+    of the invoice; without invoices there is nothing to differ from.
     """
     attributed = allocations.groupBy("invoice_id").agg(F.sum("allocated_cost").alias("attributed_cost"))
     joined = line_totals_by_invoice(staged).join(attributed, "invoice_id", "left")
+    if invoices is None:
+        joined = joined.withColumn("_billed", F.col("line_total"))
+    else:
+        joined = joined.join(invoices.select("invoice_id", F.col("total_billed_cost").alias("_billed")), "invoice_id", "left")
     total, share = F.col("line_total"), F.coalesce("attributed_cost", F.lit(0))
+    apart = F.abs(total - F.coalesce("_billed", F.lit(0)))
     return joined.select(
         "invoice_id", PERIOD, total.alias("total_billed_cost"), F.col("line_count").alias("total_line_items"),
         "total_credits", "total_usage", share.alias("attributed_cost"),
         (total - share).alias("unattributed_cost"),
         F.coalesce(places(percent_or_zero(share, total), 2), F.lit(0)).alias("attribution_coverage_pct"),
-        F.abs(total - F.coalesce(total, F.lit(0))).alias("reconciliation_variance"),
-        F.when(F.abs(total - F.coalesce(total, F.lit(0))) <= 0.01, "reconciled")
+        apart.alias("reconciliation_variance"),
+        F.when(apart <= 0.01, "reconciled")
         .otherwise("variance_detected").alias("reconciliation_status"),
     )
 

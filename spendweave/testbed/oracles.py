@@ -284,8 +284,10 @@ SELECT invoice_id, billing_period_start, sum(billed_cost) AS line_total, count(*
 SELECT l.invoice_id, billing_period_start, line_total AS total_billed_cost, line_count AS total_line_items, total_credits, total_usage,
   coalesce(a.c, 0) AS attributed_cost, line_total - coalesce(a.c, 0) AS unattributed_cost,
   {pct0('coalesce(a.c, 0)', 'line_total')} AS attribution_coverage_pct,
-  abs(line_total - line_total) AS reconciliation_variance, 'reconciled' AS reconciliation_status
-FROM ltot l LEFT JOIN (SELECT invoice_id, sum(allocated_cost) AS c FROM alloc GROUP BY ALL) a ON l.invoice_id = a.invoice_id""",
+  abs(line_total - inv.total_billed_cost) AS reconciliation_variance,
+  CASE WHEN abs(line_total - inv.total_billed_cost) <= 0.01 THEN 'reconciled' ELSE 'variance_detected' END AS reconciliation_status
+FROM ltot l JOIN (SELECT invoice_id, total_billed_cost FROM inv) inv ON l.invoice_id = inv.invoice_id
+LEFT JOIN (SELECT invoice_id, sum(allocated_cost) AS c FROM alloc GROUP BY ALL) a ON l.invoice_id = a.invoice_id""",
     "spend": """
 SELECT *, lag(total_cost) OVER w AS prior_month_cost, lead(total_cost) OVER w AS next_month_cost,
   row_number() OVER (PARTITION BY service_name, billing_period_start ORDER BY total_cost DESC, resource_id) AS cost_rank_in_service,
@@ -529,6 +531,8 @@ WHERE r.resource_id = c.resource_id OR c.kind = 'eks_cluster' OR contains(r.svc,
     "allocation_method": f"SELECT attribution_method, {dbl('confidence_score')} AS confidence_score, count(*) AS rows, {dbl('sum(allocated_cost)')} AS cost FROM alloc GROUP BY attribution_method, alloc.confidence_score",
     "allocation_summary": f"""SELECT {KEY}, {dbl('sum(allocated_cost)')} AS total_allocated_cost,
   {rnd('CAST(sum(confidence_score) AS DOUBLE) / count(*)', 4)} AS avg_allocation_confidence, count(*) AS allocation_count FROM alloc GROUP BY {KEY}""",
+    "invoice_coverage": f"""SELECT invoice_id, billing_period_start, {dbl('total_billed_cost')} AS total_billed_cost, {rnd(pct('count(team)', 'count(*)'))} AS attribution_coverage_pct
+FROM inv JOIN (SELECT billing_period_start, team FROM alloc) USING (billing_period_start) GROUP BY invoice_id, billing_period_start, total_billed_cost""",
     "allocation_coverage": f"""SELECT billing_period_start, count(*) AS total_lines, count(team) AS attributed_lines,
   {rnd('CAST(count(team) AS DOUBLE) * 100 / count(*)')} AS attribution_coverage_pct FROM alloc GROUP BY ALL""",
     # -- events
@@ -685,6 +689,10 @@ UNION ALL SELECT {PAIR}, count(*), {dbl('sum(delta_dollars)')}, 'both' FROM vr G
     "tenant_scope": f"SELECT billing_period_start, count(*) AS rows, {dbl('sum(billed_cost)')} AS cost FROM bl WHERE user_id = 2 GROUP BY ALL",
     "tenant_variance": f"""SELECT {big('2')} AS user_id, {PAIR}, resource_id, service_name, team, {dbl('prior_cost')} AS prior_cost, {dbl('current_cost')} AS current_cost,
   {dbl('delta_dollars')} AS delta_dollars, reason_code, evidence, pr_number, in_terraform_state FROM vr""",
+    "tenant_invoices": f"""SELECT {big('2')} AS user_id, invoice_id, billing_period_start, {dbl('total_billed_cost')} AS total_billed_cost, total_line_items,
+  {dbl('attributed_cost')} AS attributed_cost FROM inv""",
+    "tenant_allocations": f"""SELECT {big('2')} AS user_id, billing_line_id, resource_id, billing_period_start, team, {dbl('allocated_cost')} AS allocated_cost, attribution_method,
+  {dbl('confidence_score')} AS confidence_score FROM alloc WHERE resource_id <> ''""",
     "redact_secrets": "SELECT doc_id, regexp_replace(regexp_replace(text, 'AKIA[A-Z0-9]{12,}', '[REDACTED]', 'g'), '[A-Za-z0-9/+=]{40,}', '[REDACTED]', 'g') AS text FROM documents",
     # -- reports on variance
     "variance_summary": f"""SELECT {PAIR}, reason_code, count(*) AS rows, {dbl('sum(delta_dollars)')} AS dollars, {dbl('any_value(t)')} AS total_delta, any_value(a) AS attribution_coverage_pct
@@ -925,7 +933,6 @@ UNION ALL SELECT count(DISTINCT resource_id), 'dim_resources' FROM res WHERE {_S
 
 ORACLES: dict[str, str] = {name: with_views(sql) for name, sql in SELECTS.items()}
 
-# A tenant's report is that of its lines and events alone.
-ORACLES["tenant_variance"] = with_views(SELECTS["tenant_variance"], {
-    "bl": f"SELECT * FROM ({CTES['bl']}) WHERE user_id = 2", "change_events": f"SELECT * FROM ({CTES['change_events']}) WHERE user_id = 2",
-})
+# A tenant's tables are those of its lines and events alone.
+_TENANT = {name: f"SELECT * FROM ({CTES[name]}) WHERE user_id = 2" for name in ("bl", "change_events")}
+ORACLES |= {name: with_views(SELECTS[name], _TENANT) for name in ("tenant_variance", "tenant_invoices", "tenant_allocations")}

@@ -506,6 +506,13 @@ def allocation_summary(spark, sf):
     return rows.withColumn("avg_allocation_confidence", rounded(F.col("avg_allocation_confidence"), 4))
 
 
+@query
+def invoice_coverage(spark, sf):
+    """Invoices after allocation has written its coverage back."""
+    rows = allocation.with_coverage(silver.invoices(t.billing_lines(spark, sf)), _allocations(spark, sf))
+    return rows.select("invoice_id", PERIOD, "total_billed_cost", "attribution_coverage_pct")
+
+
 @query
 def allocation_coverage(spark, sf):
     return allocation.allocation_coverage(_allocations(spark, sf))
@@ -537,8 +544,14 @@ def pr_resource_match(spark, sf):
 
 @query
 def pr_change_events(spark, sf):
+    """Events stored by period, with those of a month that no pull request is near to any more emptied."""
     changes = ev.tf_diff_changes(t.pr_files(spark, sf))
-    return ev.pr_change_events(_prs_near(spark, sf), changes, t.gold_resources(spark, sf)).drop("commit_sha")
+    found = ev.pr_change_events(_prs_near(spark, sf), changes, t.gold_resources(spark, sf))
+    path, gone = new_dir(spark, "pr-events"), date(1980, 1, 1)
+    stale = t.change_events(spark, sf).select(F.lit(gone).alias(PERIOD), *[c for c in found.columns if c != PERIOD])
+    sinks.replace_pr_events(stale, path, [gone])
+    sinks.replace_pr_events(found, path, [gone])
+    return sinks.read_table(spark, path).drop("commit_sha")
 
 
 # -- variance -----------------------------------------------------------------------------------------------------
@@ -660,7 +673,7 @@ def line_totals_by_invoice(spark, sf):
 
 
 def _invoice_totals(spark, sf):
-    return marts.int_invoice_totals(_staged_lines(spark, sf), _allocations(spark, sf))
+    return marts.int_invoice_totals(_staged_lines(spark, sf), _allocations(spark, sf), silver.invoices(t.billing_lines(spark, sf)))
 
 
 @query
@@ -1027,6 +1040,20 @@ def tenant_variance(spark, sf):
     )
 
 
+@query
+def tenant_invoices(spark, sf):
+    """Invoices of all tenants stored by tenant and period; tenant 2 reads its own."""
+    path = new_dir(spark, "tenant-invoices")
+    tenants.store_by_tenant(tenants.tenant_invoices(t.billing_lines(spark, sf)), path, period=PERIOD)
+    return reports.tenant_scope(sinks.read_table(spark, path), 2).select("user_id", "invoice_id", PERIOD, "total_billed_cost", "total_line_items", "attributed_cost")
+
+
+@query
+def tenant_allocations(spark, sf):
+    rows = reports.tenant_scope(tenants.tenant_allocations(t.billing_lines(spark, sf), t.iac_index(spark, sf)), 2)
+    return rows.select("user_id", "billing_line_id", "resource_id", PERIOD, "team", "allocated_cost", "attribution_method", "confidence_score")
+
+
 @query
 def redact_secrets(spark, sf):
     return reports.redact_secrets(t.given(spark, sf, "documents"), "text").select("doc_id", "text")

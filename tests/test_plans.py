@@ -8,9 +8,10 @@ import pytest
 from helpers import FEB, JAN, MAR, as_dict, events, line, lines, managed, resource, resources
 from pyspark.sql import functions as F
 
+from spendweave.operators import iac, silver
 from spendweave.operators.pairs import consecutive_pairs, one_pair
 from spendweave.operators.silver import invoices
-from spendweave.plans import allocation, forecast, marts, publish, quality, reports, star
+from spendweave.plans import allocation, forecast, marts, publish, quality, reports, star, tenants
 from spendweave.plans.variance import compute_variance
 
 
@@ -308,3 +309,52 @@ def test_publishing_behind_the_gate(spark, tmp_path):
     publish.publish(spark, {"res": (res.unionByName(res), None)}, good, root)
     assert publish.visible(spark, root) != first and publish.read_published(spark, root, "res").count() == 2
     assert {r.check: r.verdict for r in quality.verdicts(bad).collect()} == {"Resource ID coverage": "warn", "other": "fail"}
+
+
+def test_coverage_is_written_back_and_invoices_reconciled(spark):
+    bill = lines(spark, [line(1, "a", 10), line(2, "b", 20), line(3, "a", -4, charge_type="Credit"), line(4, "a", 1, JAN)])
+    res = resources(spark, [managed("a", 10, team="x"), resource("b", 5)])
+    allocated = allocation.allocate_lines(bill, res)
+    got = as_dict(allocation.with_coverage(invoices(bill), allocated.where(F.col("billing_period_start") == F.lit(FEB))), "invoice_id", "attribution_coverage_pct")
+    assert got == {"INV-2025-02": Decimal("66.67"), "INV-2025-01": Decimal("0.00")}
+    totals = {r.invoice_id: r for r in marts.int_invoice_totals(marts.stg_billing_lines(bill), allocated, invoices(bill)).collect()}
+    assert {i: (r.reconciliation_variance, r.reconciliation_status) for i, r in totals.items()} == {
+        "INV-2025-02": (Decimal("4"), "variance_detected"), "INV-2025-01": (Decimal("0"), "reconciled")}
+
+
+def test_a_late_batch_recomputes_its_periods_only(spark, tmp_path):
+    path = str(tmp_path / "partials")
+    early = [line(1, "a", 1, JAN, tags={"team": "t"}), line(2, "a", 2, FEB), line(3, "b", 3, FEB, charge_type="Tax"), line(4, None, 9, MAR)]
+    late = [line(5, "a", 4, FEB, tags={"team": "u"}, description="spot"), line(6, "c", 5, FEB, provider="Azure")]
+    index = iac.iac_union({"terraform": spark.createDataFrame([(1, "a", "m", "T", "n")], "ordinal long, identifier string, module string, resource_type string, resource_name string")})
+    silver.update_partials(lines(spark, early), path, [JAN, FEB, MAR])
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "partials").rglob("billing_period_start=2025-01-01/*.parquet")}
+    silver.update_partials(lines(spark, early + late), path, [FEB])
+    assert before == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "partials").rglob("billing_period_start=2025-01-01/*.parquet")}
+    partials, every = spark.read.parquet(path), lines(spark, early + late)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(silver.resources(partials, index)) == rows(silver.resources(every, index))
+    assert rows(silver.resource_signals(partials)) == rows(silver.resource_signals(every))
+    assert silver.billing_periods(partials).count() == 3
+    assert {r.resource_id: r.provider for r in silver.resources(every).collect()}["c"] == "Azure"
+
+
+def test_tenants_with_the_same_resource_stay_apart(spark, tmp_path):
+    mine = [line(1, "a", 10, JAN, user_id=1), line(2, "a", 30, FEB, user_id=1)]
+    theirs = [line(3, "a", 100, JAN, user_id=2), line(4, "a", 20, FEB, user_id=2), line(5, "", 1, FEB, user_id=2), line(6, "b", 7, FEB, user_id=None)]
+    index = iac.iac_union({"terraform": spark.createDataFrame([(1, "a", "m", "T", "n")], "ordinal long, identifier string, module string, resource_type string, resource_name string")})
+    change = events(spark, [{"resource_id": "a", "event_date": date(2025, 2, 2), "pr_number": "7", "pr_title": "t"}]).withColumn("user_id", F.lit(2))
+    out = tenants.tenant_variance(lines(spark, mine + theirs), index, change)
+    got = {(r.user_id, r.resource_id): (int(r.prior_cost), int(r.current_cost), r.pr_number, r.in_terraform_state) for r in out.collect()}
+    assert got == {(1, "a"): (10, 30, None, True), (2, "a"): (100, 20, "7", True), (None, "b"): (0, 7, None, False)}
+    bills = {(r.user_id, r.invoice_id): int(r.total_billed_cost) for r in tenants.tenant_invoices(lines(spark, mine + theirs)).collect()}
+    assert bills == {(1, "INV-2025-01"): 10, (1, "INV-2025-02"): 30, (2, "INV-2025-01"): 100, (2, "INV-2025-02"): 21, (None, "INV-2025-02"): 7}
+    assert {(r.user_id, r.billing_line_id) for r in tenants.tenant_allocations(lines(spark, mine + theirs), index).collect()} == {
+        (1, "l1"), (1, "l2"), (2, "l3"), (2, "l4"), (None, "l6")}
+    path = str(tmp_path / "variance")
+    tenants.store_by_tenant(out, path)
+    scoped = reports.tenant_scope(spark.read.parquet(path), 2)
+    plan = scoped._jdf.queryExecution().toString()
+    assert scoped.count() == 1 and "PartitionFilters: [isnotnull(user_id" in plan
+    tenants.store_by_tenant(out.limit(0), path, [(2, FEB)])
+    assert {r.user_id for r in spark.read.parquet(path).collect()} == {1, None}
