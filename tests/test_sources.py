@@ -119,6 +119,9 @@ def test_files_of_one_load_are_bound_by_their_own_headers(spark, tmp_path):
     assert len(billing.first_records(spark, str(tmp_path))) == 4
     counts = billing.load_into(loaded, str(tmp_path / "table"))
     assert counts == {"rows_read": 4, "rows_inserted": 3, "rows_skipped": 0, "errors": 1} == billing.load_stats(loaded).first().asDict()
+    again = billing.load_into(loaded, str(tmp_path / "table"), spark.read.parquet(str(tmp_path / "table")))
+    assert again == {"rows_read": 4, "rows_inserted": 0, "rows_skipped": 3, "errors": 1}
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 3
     (tmp_path / "none").mkdir()
     write(tmp_path / "none", "a.csv", "")
     assert billing.load_export(spark, str(tmp_path / "none")).rows.count() == 0

@@ -7,8 +7,9 @@ from helpers import FEB, JAN, MAR, as_dict, events, line, lines, managed, resour
 from pyspark.sql import functions as F
 
 from spendweave.functions import codes
+from spendweave.operators import iac
 from spendweave.operators.pairs import one_pair
-from spendweave.operators.silver import resource_signals
+from spendweave.operators.silver import line_partials, resource_signals
 from spendweave.operators.events import change_event_match
 from spendweave.plans import marts, reports
 from spendweave.plans.variance import (
@@ -16,6 +17,7 @@ from spendweave.plans.variance import (
     compute_variance,
     evidence_chain,
     paired_sides,
+    run_pipeline,
 )
 from spendweave.testbed import tables
 
@@ -172,3 +174,15 @@ def test_every_order_is_a_pull_request_and_every_line_a_change_event(spark):
     assert events.count() == known
     for df in (prs, events):
         assert df.select("priority").distinct().count() == orders.select("o_orderpriority").distinct().count()
+
+
+def test_pipeline_reads_the_lines_once(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    bill, _, change = seeded(spark)
+    bill.write.partitionBy("billing_period_start").parquet(path)
+    stored_lines = spark.read.parquet(path)
+    assert line_partials(stored_lines)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    index = iac.iac_union({"terraform": spark.createDataFrame([(1, "a", "m", "T", "n")], "ordinal long, identifier string, module string, resource_type string, resource_name string")})
+    out = run_pipeline(stored_lines, index, change)
+    assert out.count() > 0
+    assert not [f for f in out.inputFiles() if path in f]  # all that follows comes from what the one scan wrote
