@@ -19,23 +19,25 @@ SHARED_WORDS = 0.5
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-def chunk_spans(lines: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
-    """Array of (first line, end line, section) of the chunks of a document, given as an array of its lines.
+def heading(line: Column) -> Column:
+    """The title of a level 2 or 3 heading; NULL for other lines."""
+    bare = F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", "")
+    title = F.regexp_replace(F.regexp_replace(bare, "^#+", ""), f"^{BLANK}+", "")
+    return F.when(F.contains(line, F.lit("## ")), F.when(bare.rlike("^###? "), title))
+
+
+def chunk_spans(sizes: Column, headings: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
+    """Array of (first line, end line, section) of the chunks of a document, given the lengths and headings of its lines.
 
     A chunk is a run of whole lines of at most ``size`` characters, unless one line is longer. It
     starts with those trailing lines of the chunk before it that together fit in ``overlap``. Its
     section is the newest level 2 or 3 heading up to and including the line that closed it.
 
-    A fold over the lines; its state is the open chunk's first line, length and section, and the closed chunks.
+    A fold over the lines; its state is the open chunk's first line, length and section, and the closed chunks. The arguments
+    should be columns, not expressions, as the fold looks into them at every line.
     """
-    sizes = F.transform(lines, F.length)
     span = "struct<first:int,end:int,section:string>"
 
-    def section(line: Column, old: Column) -> Column:
-        bare = F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", "")
-        title = F.regexp_replace(F.regexp_replace(bare, "^#+", ""), f"^{BLANK}+", "")
-        return F.when(F.contains(line, F.lit("## ")) & bare.rlike("^###? "), title).otherwise(old)
-
     def tail(state: Column, here: Column) -> Column:
         """How many of the lines before ``here`` begin the next chunk, and their length."""
         back = F.reverse(F.slice(sizes, state["first"] + 1, here - state["first"]))
@@ -54,7 +56,7 @@ def chunk_spans(lines: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_C
 
     def step(state: Column, here: Column) -> Column:
         n = F.get(sizes, here)
-        newest = section(F.get(lines, here), state["section"])
+        newest = F.coalesce(F.get(headings, here), state["section"])
         full = (here > state["first"]) & (state["held"] + n > size)
         opened = F.transform(F.array(tail(state, here)), lambda kept: F.struct(
             (here - kept["lines"]).alias("first"), (kept["held"] + n).alias("held"), newest.alias("section"), closed(state, here, newest).alias("done")))
@@ -64,7 +66,7 @@ def chunk_spans(lines: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_C
     empty = F.array().cast(f"array<{span}>")
     start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("held"), F.lit("").alias("section"), empty.alias("done"))
     return F.aggregate(
-        F.sequence(F.lit(0), F.size(lines) - 1), start, step, lambda state: closed(state, F.size(lines), state["section"]))
+        F.sequence(F.lit(0), F.size(sizes) - 1), start, step, lambda state: closed(state, F.size(sizes), state["section"]))
 
 
 def chunk_docs(docs: DataFrame) -> DataFrame:
@@ -74,7 +76,8 @@ def chunk_docs(docs: DataFrame) -> DataFrame:
     """
     # Blank as Python's strip() sees it: any Unicode white space.
     written = docs.where(F.col("text").rlike(r"(?U)\S")).select("source", F.split("text", "\n").alias("_lines"))
-    spans = written.select("source", "_lines", F.posexplode(chunk_spans(F.col("_lines"))).alias("chunk_no", "_span"))
+    lines = written.select("source", "_lines", F.transform("_lines", F.length).alias("_sizes"), F.transform("_lines", heading).alias("_headings"))
+    spans = lines.select("source", "_lines", F.posexplode(chunk_spans(F.col("_sizes"), F.col("_headings"))).alias("chunk_no", "_span"))
     body = F.array_join(F.slice("_lines", F.col("_span.first") + 1, F.col("_span.end") - F.col("_span.first")), "\n")
     return spans.select("source", "chunk_no", F.col("_span.section").alias("section"), body.alias("text"))
 
