@@ -21,6 +21,8 @@ from spendweave.session import stored
 GRAM_SIZES = (8, 4, 2, 1)
 # Hashes of 8 bytes each.
 MOST_BROADCAST_GRAMS = 1_000_000
+# Haystacks that one task cuts.
+TASK_TEXTS = 100_000
 # Haystacks of one n-gram in a task, at least; larger shares of all rows are dealt out, so at most 1,000 n-grams are.
 SALT_ROWS, SALT_SHARE = 100_000, 1000
 
@@ -45,6 +47,13 @@ def _explode_grams(df: DataFrame, text: str) -> DataFrame:
     return placed.where(F.instr(F.col(text), gram) == F.col("_at")).withColumn("_gram", F.xxhash64(gram)).drop("_at", "_size")
 
 
+def _anchor_grams(pins: DataFrame) -> DataFrame:
+    """N-grams a needle may be looked up by: those that lie side by side, and the last one. Any of a needle's n-grams would do."""
+    size, last = F.col("_size"), F.length("_pin") - F.col("_size") + 1
+    placed = pins.withColumn("_at", F.explode(F.array_union(F.sequence(F.lit(1), last, size), F.array(last))))
+    return placed.withColumn("_gram", F.xxhash64(F.substring("_pin", F.col("_at"), size))).drop("_at", "_size")
+
+
 def _distinct(df: DataFrame, text: str, name: str, extra: list[str]) -> DataFrame:
     rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text).alias(name), *extra)
     return rows if extra else rows.distinct()
@@ -84,18 +93,20 @@ def containment_pairs(
     without them and the pairs then joined with the groups of either text. Extra columns of a side come along; its texts must
     then be distinct.
     """
-    pins = _distinct(needles, needle, "_pin", needle_extra or []).withColumn("_size", _gram_size(F.col("_pin")))
-    pin_grams = stored(_explode_grams(pins, "_pin"), "needle-grams")
+    pins = stored(_distinct(needles, needle, "_pin", needle_extra or []).withColumn("_size", _gram_size(F.col("_pin"))), "needles")
+    pin_grams = stored(_anchor_grams(pins), "needle-grams")
     wanted = pin_grams.select("_gram").distinct()
     if pin_grams.count() <= MOST_BROADCAST_GRAMS:
         wanted = F.broadcast(wanted)
 
     # Haystacks emit only sizes that occur.
-    hay = _distinct(haystacks, haystack, "_hay", haystack_extra or [])
+    hay = stored(_distinct(haystacks, haystack, "_hay", haystack_extra or []), "haystacks")
+    tasks = max(hay.sparkSession.sparkContext.defaultParallelism, math.ceil(hay.count() / TASK_TEXTS))
+    hay = hay.repartition(tasks)  # cutting multiplies rows, so the few bytes of the texts do not tell how many tasks it takes
     sizes = pins.select("_size").distinct().agg(F.collect_set("_size")).scalar()
     grams = stored(haystack_grams(hay, sizes, wanted), "haystack-grams")
 
-    seen = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_seen"))
+    seen = stored(grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_seen")), "gram-counts")
     extra = [F.first(c).alias(c) for c in needle_extra or []]
     anchors = (
         pin_grams.join(seen, "_gram", "left")

@@ -85,9 +85,10 @@ def pr_resource_match(prs: DataFrame, changes: DataFrame, resources: DataFrame)
     service suits its type while the module contains the last segment of its module.
     """
     period = "billing_period_start"
-    # Read by all three rules, so the parsed changes are written once.
-    mine = stored(prs.select("pr_number", period).join(changes, "pr_number").select(
-        "pr_number", period,
+    explained = prs.select("pr_number", period).distinct()
+    # Read by all three rules, so the parsed changes are written once; a change is one row, whatever the periods of its PR.
+    mine = stored(changes.join(explained.select("pr_number").distinct(), "pr_number", "left_semi").select(
+        "pr_number",
         F.col("terraform_module").alias("change_module"),
         F.lower("resource_name").alias("change_name"),
         F.substring_index("terraform_module", "/", -1).alias("segment"),
@@ -102,9 +103,9 @@ def pr_resource_match(prs: DataFrame, changes: DataFrame, resources: DataFrame)
     key = [period, "pr_number", "resource_id"]
 
     def matches(side: DataFrame, text: str, changes: DataFrame, part: str, also: list[str]) -> DataFrame:
-        """PRs and resources whose texts match. Texts meet once without period; a PR's texts are reduced to the matched ones first."""
+        """PRs and resources whose texts match. Texts meet once without PR and period; a PR's matched texts meet its periods last."""
         texts = containment_pairs(side, changes, text, part)
-        near = changes.select("pr_number", period, part, *also).join(texts, part).select("pr_number", period, text, *also).distinct()
+        near = changes.select("pr_number", part, *also).join(texts, part).select("pr_number", text, *also).distinct().join(explained, "pr_number")
         return near.join(side.select(period, "resource_id", text, *also), [period, text, *also]).select(key)
 
     by_module = matches(own, "terraform_module", mine, "change_module", [])

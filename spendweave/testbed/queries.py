@@ -24,7 +24,7 @@ from spendweave.operators.logical import logical_resources
 from spendweave.plans import allocation, forecast, marts, publish, quality, reports, star, tenants
 from spendweave.plans import variance as var
 from spendweave.schemas import PAIR, RESOURCE_KEY
-from spendweave.session import new_dir
+from spendweave.session import new_dir, stored
 from spendweave.sources import billing, cost_pages, documents, iac_files, pull_requests, sinks
 from spendweave.streaming.ingest import incremental_ingest, ledger
 from spendweave.testbed import tables as t
@@ -354,8 +354,8 @@ QUERIES["iac_match_exact"] = QUERIES.pop("iac_match_exact_")
 
 @query
 def iac_match_fuzzy_(spark, sf):
-    """Containment match of every id without an exact one."""
-    ids, index = _billed_ids(spark, sf), t.iac_index(spark, sf)
+    """Containment match of every id without an exact one. Ids and index are read several times, so they are written first."""
+    ids, index = stored(_billed_ids(spark, sf), "ids"), stored(t.iac_index(spark, sf), "index")
     rest = ids.join(iac_match_exact(ids, index).select("resource_id"), "resource_id", "left_anti")
     return iac_match_fuzzy(rest, index)
 
