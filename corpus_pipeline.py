@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the
 shared folder and gives it to the next. All stages but the last return the columns of ``documents``.
+
+Defined results: a null text is an empty one in every stage, but stays null. Rows without an id are judged as others are; they have no
+near copies. Rows that share an id are rows of their own, except as near copies, where they are one document. A null source is a source.
+Further columns of ``documents`` come along up to the source mix. Empty tables give no rows.
 """
 
 from __future__ import annotations
