@@ -14,7 +14,7 @@ partitions over the whole key, so that a URL with very many captures is cut too)
 merges the runs' slices; ``range_no`` and ``place`` give the global order, in which a URL's captures stand
 together, oldest first.
 
-Defined results: null html is the empty payload; a null URL has no target header and the empty key. A null id is
+Defined results: ids are whole numbers; null html is the empty payload; a null URL has no target header and the empty key. A null id is
 smaller than any other; rows that share the payload and the largest id are all responses. Without a column of
 times a capture's time is ``EPOCH`` plus its id in seconds (null: 0). Extra columns are ignored. Line breaks in a
 URL are written percent-encoded. A truncated or altered archive raises ``ValueError``. No rows in, no rows out.
