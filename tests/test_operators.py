@@ -8,7 +8,7 @@ from helpers import FEB, JAN, MAR, events, line, lines, managed, resource, resou
 from pyspark.sql import functions as F
 
 from spendweave.operators import events as ev
-from spendweave.operators import iac, logical, pairs, silver
+from spendweave.operators import dealing, iac, logical, pairs, silver
 from spendweave.operators.containment import containment_pairs
 from spendweave.operators.ranking import ranked, top_per_group
 from spendweave.plans import reports
@@ -149,6 +149,31 @@ def test_costliest_group_wins(spark):
     assert (row.region, float(row.total_cost)) == ("eu", 21)
 
 
+def test_lines_travel_to_their_resources_once(spark, monkeypatch):
+    df = lines(spark, [
+        line(n, "hot" if n % 3 else f"r{n % 4}", n % 5, (JAN, FEB)[n % 2], region=("eu", "us")[n % 2 - n % 4 // 2], charge_type=("Usage", "Tax", None)[n % 3 - n % 2],
+             description=("", "a", "b")[n % 3], tags={"team": f"t{n % 4}", "managed_by": ("cdk", "ops")[n % 2]}) for n in range(1, 40)])
+    plan = silver.resource_costs(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    index = iac.iac_union({"terraform": spark.createDataFrame([(1, "r1", "m", "T", "n")], "ordinal long, identifier string, module string, resource_type string, resource_name string")})
+    one = silver.resources(df, index, signals=True)
+    matched = one._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in matched.split("\n") if "Exchange hashpartitioning(resource_id" in p and "billing_period_start" in p]
+    apart = silver.resources(silver.line_partials(df), index).join(silver.resource_signals(silver.line_partials(df)), ["resource_id", "billing_period_start"]).select(one.columns)
+    want = sorted(map(str, apart.collect()))
+    assert len(want) > 4 and sorted(map(str, one.collect())) == want
+    monkeypatch.setattr(dealing, "HOT_ROWS", 3)
+    assert sorted(map(str, silver.resources(df, index, signals=True).collect())) == want
+
+
+def test_hot_event_ids_keep_their_last_event(spark, monkeypatch):
+    e = events(spark, [{"resource_id": "a", "event_date": date(2025, 2, 1 + n % 5), "pr_number": str(n)} for n in range(20)] + [
+        {"resource_id": "x:b", "event_date": FEB, "pr_number": "7"}])
+    want = sorted(map(str, ev.change_event_match(e).collect()))
+    monkeypatch.setattr(dealing, "HOT_ROWS", 3)
+    assert len(want) == 3 and sorted(map(str, ev.change_event_match(e).collect())) == want
+
+
 def test_signals_keep_first_seen_order(spark):
     df = lines(spark, [
         line(3, "a", 1, charge_type="Credit", description="third"), line(1, "a", 1, charge_type="Usage", description=""),
