@@ -1,11 +1,13 @@
 """Sinks that replace partitions, and the incremental ingest."""
 
+import gzip
 from datetime import date
 
 import pytest
 from helpers import FEB, JAN, MAR, line, lines, managed, resource, resources
 from pyspark.sql import functions as F
 
+from spendweave import session
 from spendweave.sources import sinks
 from spendweave.streaming.ingest import incremental_ingest, ledger, load_batch, quarantine_of, rejects_of, stored_keys, touched_periods
 
@@ -79,6 +81,27 @@ def test_incremental_ingest(spark, tmp_path):
     assert {r[0] for r in touched_periods(spark, table, newest).collect()} == {JAN, FEB}
 
 
+def test_a_batch_leaves_nothing_aside_and_reads_compressed_files(spark, tmp_path, monkeypatch):
+    landing, aside = tmp_path / "landing", tmp_path / "aside"
+    landing.mkdir()
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(aside))
+    text = "\n".join((HEADER, "I1,r1,2025-01-01,2025-01-03,5", "I1,r1,2025-01-01,2025-01-03,6", "I1,r2,,2025-01-03,7")) + "\n"
+    (landing / "a.csv.gz").write_bytes(gzip.compress(text.encode()))
+    table = str(tmp_path / "table")
+    incremental_ingest(spark, str(landing), table, str(tmp_path / "state"), HEADERS)
+    assert sorted(int(r.billed_cost) for r in sinks.read_table(spark, table).collect()) == [5, 7]
+    row = ledger(spark, table).first()
+    assert (row.rows_read, row.rows_inserted, row.rows_skipped, row.periods) == (3, 2, 1, [None, JAN])
+    assert not list(aside.rglob("*.parquet"))
+
+
+def test_journal_may_be_compressed(spark, tmp_path):
+    journal = spark.createDataFrame([("a,b", "1.50"), ('say "x"', "2")], "account string, debit string")
+    sinks.write_gl_csv(journal, str(tmp_path / "j"), "gzip")
+    assert list((tmp_path / "j").glob("*.csv.gz")) and not list((tmp_path / "j").glob("*.csv"))
+    assert sorted(spark.read.option("header", True).csv(str(tmp_path / "j")).collect()) == sorted(journal.collect())
+
+
 def test_repeated_batch_leaves_the_same_table(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
