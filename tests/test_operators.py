@@ -266,3 +266,48 @@ def test_logical_resources(spark):
         ("c1", "c1"): ("eks_cluster", "cluster"), ("d1", "d1"): ("rds_cluster", "primary"), ("c1", "n1"): ("eks_cluster", "node"),
         ("c1", "v1"): ("eks_cluster", "volume"), ("c1", "l1"): ("eks_cluster", "load_balancer"), ("c1", "g1"): ("eks_cluster", "nat_gateway"),
         ("c1", "o1"): ("eks_cluster", "associated"), ("d1", "q1"): ("rds_cluster", "replica"), ("d1", "q2"): ("rds_cluster", "storage")}
+
+
+def test_rows_are_dealt_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "TASK_ROWS", 10)
+    rows = spark.range(300).select((F.col("id") % 50).alias("k"), "id")
+    many = dealing.dealt(rows, "k", lambda r: r)
+    assert many.rdd.getNumPartitions() == 30 and many.count() == 300
+    df = lines(spark, [line(n, f"r{n % 40}", n) for n in range(200)])
+    assert silver.resource_costs(df).rdd.getNumPartitions() == 20
+
+
+def test_slots_of_ngrams_stand_in_for_very_many(spark, monkeypatch):
+    from spendweave.operators import containment
+
+    monkeypatch.setattr(containment, "MOST_BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(containment, "SLOTS", 128)
+    h = spark.createDataFrame([(f"arn:aws:thing/{k:012d}",) for k in range(200)], "h string")
+    p = spark.createDataFrame([(f"{k:012d}",) for k in range(0, 400, 3)], "p string")
+    found = containment_pairs(h, p, "h", "p")
+    assert "hashpartitioning(_gram" not in containment.haystack_grams(
+        h.withColumnRenamed("h", "_hay"), F.array(F.lit(8)), p.select(F.xxhash64("p").alias("_gram")))._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert {tuple(r) for r in found.collect()} == {(f"arn:aws:thing/{k:012d}", f"{k:012d}") for k in range(0, 200, 3)}
+
+
+def test_pairs_of_bucketed_resources_meet_where_they_lie(spark, tmp_path):
+    from spendweave.plans.variance import paired_sides
+    from spendweave.sources.sinks import write_bucketed
+
+    df = resources(spark, [resource(f"r{k}", k + m, (JAN, FEB, MAR)[m]) for k in range(30) for m in range(3) if (k + m) % 4])
+    e = events(spark, [{"resource_id": f"r{k}", "event_date": FEB, "pr_number": str(k)} for k in range(0, 30, 2)])
+    months = pairs.consecutive_pairs(silver.billing_periods(df))
+    want = pairs.variance_pairs(pairs.side(df, months, "prior_period_start"), pairs.side(df, months, "current_period_start"), months)
+    matched = ev.change_event_match(e, tasks=6)
+    want = want.join(matched, pairs.SIDE_KEY, "left").select("resource_id", "prior_period_start", "current_period_start", "p", "c", "event")
+    table = write_bucketed(df.repartition(6, "resource_id"), str(tmp_path / "t"), "resource_id", 6)
+    got = paired_sides(table, months, events=matched, by_resource=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(resource_id") == 1  # the events
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = got.select("resource_id", "prior_period_start", "current_period_start", F.col("p").dropFields("event").alias("p"),
+                     F.col("c").dropFields("event").alias("c"), F.coalesce("p.event", "c.event").alias("event"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 40
