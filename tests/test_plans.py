@@ -358,3 +358,35 @@ def test_tenants_with_the_same_resource_stay_apart(spark, tmp_path):
     assert scoped.count() == 1 and "PartitionFilters: [isnotnull(user_id" in plan
     tenants.store_by_tenant(out.limit(0), path, [(2, FEB)])
     assert {r.user_id for r in spark.read.parquet(path).collect()} == {1, None}
+
+
+def test_marts_leave_bucketed_tables_where_they_lie(spark, tmp_path):
+    from spendweave.sources.sinks import write_bucketed
+
+    rows = [resource(f"r{k}", 10 + k + m, (JAN, FEB, MAR)[m], region=f"x{k}{m}", in_terraform_state=(k * m) % 3 == 1) for k in range(12) for m in range(3) if (k + m) % 5]
+    bill = lines(spark, [line(n, f"r{n % 12}", 4, (JAN, FEB, MAR)[n % 3]) for n in range(40)] + [line(99, "r1", 1, billing_period_start=None)])
+    res = resources(spark, rows)
+    v = compute_variance(bill, res, events(spark, []))
+    share = allocation.allocate_lines(bill, res)
+    plain = [marts.tf_status_flips(marts.stg_resources(res), v), marts.fct_variance_report(v, res, share)]
+    kept = write_bucketed(res.repartition(6, "resource_id"), str(tmp_path / "r"), "resource_id", 6)
+    told = write_bucketed(v.repartition(6, "resource_id"), str(tmp_path / "v"), "resource_id", 6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flips = marts.tf_status_flips(marts.stg_resources(kept), told)
+        assert "Exchange hashpartitioning" not in flips._jdf.queryExecution().executedPlan().toString()
+        fct = marts.fct_variance_report(told, kept, share, tasks=6)
+        plan = fct._jdf.queryExecution().executedPlan().toString()
+        # The lines, their owners and twice the summary; neither the variance nor the attributes.
+        moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(resource_id" in x]
+        assert len([x for x in moved if "billing_period_start" in x]) == 3 and len(moved) == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [sorted(map(str, x.collect())) for x in (flips, fct)] == [sorted(map(str, x.collect())) for x in plain]
+    seen = {(r["resource_id"], r["billing_period_start"]): r["in_terraform_state"] for r in rows}
+    explained = {(r.resource_id, r.current_period_start) for r in v.collect() if r.reason_code in ("new_resource", "removed_resource")}
+    assert {(r.resource_id, r.period_1, r.period_2) for r in flips.collect()} == {
+        (a, p, q) for a, p in seen for b, q in seen if a == b and p < q and seen[a, p] != seen[b, q] and (a, q) not in explained} != set()
+    regions = {(r["resource_id"], r["billing_period_start"]): r["region"] for r in rows}
+    assert all(r.region == regions.get((r.resource_id, r.current_period_start)) for r in fct.collect())
+    assert sum(r.allocation_count or 0 for r in fct.collect()) == bill.join(v, [bill.resource_id == v.resource_id, bill.billing_period_start == v.current_period_start]).count()
