@@ -58,6 +58,35 @@ def test_replacing_by_nothing_empties(spark, tmp_path):
         sinks.replace_partitions(rows, path, ["resource_id"], [("a",)])
 
 
+def test_stored_rows_are_replaced_where_they_lie(spark, tmp_path):
+    """No row is moved, few tasks write, and the table is the same as when rows move."""
+    expr = F.expr
+    ids = spark.range(0, 4000, 1, 8).select(
+        expr("concat('r', id)").alias("resource_id"), expr("if(id % 50 = 0, null, add_months(date'2025-01-01', int(id % 30)))").alias("current_period_start"),
+        expr("date'2024-12-01'").alias("prior_period_start"), expr("id % 3 = 0").alias("in_terraform_state"))
+    ids.write.parquet(str(tmp_path / "given"))
+    rows = spark.read.parquet(str(tmp_path / "given"))
+    moved, lying = str(tmp_path / "moved"), str(tmp_path / "lying")
+    sinks.replace_period_pair(rows, moved)
+    files, count, scanned = [], rows.count(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in (count, count // 2):
+        sinks.WRITE_ROWS, before = most, sinks.WRITE_ROWS
+        try:
+            sinks.replace_partitions(rows, lying, sinks.PAIR, [], in_place=True)
+        finally:
+            sinks.WRITE_ROWS = before
+        files.append(len(list((tmp_path / "lying").rglob("*.parquet"))))
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == scanned
+        got, want = (sorted(map(str, sinks.read_table(spark, p).collect())) for p in (lying, moved))
+        assert got == want and len(got) == 4000
+    assert files == [31, 62]  # 30 months and the rows without one, by one task and by two
+    # Rows of a single period, or of none any more, replace that period alone.
+    sinks.export_period_tables({"pairs": (rows, "current_period_start")}, str(tmp_path), in_place=True)
+    sinks.export_period_tables({"pairs": (rows.limit(0), "current_period_start")}, str(tmp_path), date(2025, 2, 1), in_place=True)
+    left = sinks.read_table(spark, str(tmp_path / "pairs"))
+    assert left.count() == rows.where("current_period_start is null or current_period_start <> date'2025-02-01'").count()
+
+
 def put(folder, name, *rows):
     (folder / name).write_text("\n".join((HEADER,) + rows) + "\n")
 
