@@ -174,6 +174,23 @@ def test_hot_event_ids_keep_their_last_event(spark, monkeypatch):
     assert len(want) == 3 and sorted(map(str, ev.change_event_match(e).collect())) == want
 
 
+def test_events_of_ids_that_are_not_billed_are_dropped_before_they_are_dealt(spark, monkeypatch):
+    from spendweave.operators import containment
+
+    e = events(spark, [{"resource_id": f"apply/arn:x:{n}", "event_date": FEB, "pr_number": str(n)} for n in range(300)])
+    billed = spark.createDataFrame([("arn:x:7",), ("arn:x:7",), ("9",), ("none",), (None,)], "resource_id string")
+    dealt_rows = []
+    kept = lambda rows, *args: dealt_rows.append(rows.count()) or dealing.dealt(rows, *args)
+    monkeypatch.setattr(ev, "dealt", kept)
+    want = sorted(map(str, ev.change_event_match(e).join(billed.distinct(), "resource_id").collect()))
+    for most in (1_000_000, 0):  # compared by hash, and by slot
+        monkeypatch.setattr(containment, "MOST_BROADCAST_GRAMS", most)
+        found = ev.change_event_match(e, tasks=3, ids=billed)
+        assert found.columns == ev.change_event_match(e).columns
+        assert sorted(map(str, found.join(billed.distinct(), "resource_id").collect())) == want and len(want) == 1
+    assert [dealt_rows[i] for i in (1, 3)] == [1, 1] and dealt_rows[0] == 600
+
+
 def test_signals_keep_first_seen_order(spark):
     df = lines(spark, [
         line(3, "a", 1, charge_type="Credit", description="third"), line(1, "a", 1, charge_type="Usage", description=""),
