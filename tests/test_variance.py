@@ -186,3 +186,23 @@ def test_pipeline_reads_the_lines_once(spark, tmp_path):
     out = run_pipeline(stored_lines, index, change)
     assert out.count() > 0
     assert not [f for f in out.inputFiles() if path in f]  # all that follows comes from what the one scan wrote
+
+
+def test_stored_resources_share_one_order(spark, monkeypatch):
+    plans = []
+    write = tables.write_bucketed
+    key = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(key)
+
+    def kept(rows, *args):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, *args)
+
+    monkeypatch.setattr(tables, "write_bucketed", kept)
+    monkeypatch.setattr(tables, "_tables", {})
+    sf = "/root/testdata/sf0.001"
+    got = tables.gold_resources(spark, sf)
+    want = tables.silver(spark, sf).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "SortAggregate" in plans[0] and "ObjectHashAggregate" not in plans[0]
+    assert spark.conf.get(key) == before
