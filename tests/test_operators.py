@@ -270,6 +270,16 @@ def test_pr_events(spark):
     assert {r.terraform_module for r in out if r.pr_number == "1"} == {"modules/eks"}
 
 
+def test_pr_events_are_found_once_and_read_by_small_plans(spark):
+    prs = spark.createDataFrame([("1", "t1", "me", FEB, "sha")], "pr_number string, title string, author string, merged_at date, commit_sha string")
+    res = resources(spark, [resource("r-module", 1, terraform_module="live/modules/eks/prod")])
+    out = ev.pr_change_events(ev.pr_periods(prs, res), changes(spark), res)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Diffs are parsed and texts matched before: the last plan reads their rows.
+    assert "regexp_extract_all" not in plan and "sequence" not in plan and plan.count("Join") == 4
+    assert [(r.pr_number, r.resource_id) for r in out.collect()] == [("1", "r-module")]
+
+
 def test_logical_resources(spark):
     res = resources(spark, [
         managed("c1", 1, service_name="Amazon EKS", resource_name="Main"), managed("d1", 1, service_name="Amazon Aurora", resource_name="orders"),
