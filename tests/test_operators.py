@@ -4,6 +4,7 @@ import random
 from datetime import date
 
 import numpy as np
+import pytest
 from helpers import FEB, JAN, MAR, events, line, lines, managed, resource, resources
 from pyspark.sql import functions as F
 
@@ -280,6 +281,26 @@ def test_pr_events_are_found_once_and_read_by_small_plans(spark):
     assert [(r.pr_number, r.resource_id) for r in out.collect()] == [("1", "r-module")]
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_only_lines_that_may_be_repeats_are_moved(spark, tmp_path, monkeypatch, most):
+    from spendweave.operators import containment
+    from spendweave.operators.dedup import dedup_in_place, dedup_new_lines, doubtful_keys
+
+    monkeypatch.setattr(containment, "MOST_BROADCAST_GRAMS", most)
+    monkeypatch.setattr(containment, "SLOTS", 128)
+    key = ["a", "b"]
+    schema = "a string, b string, line_seq long, line_id string"
+    df = spark.createDataFrame([(None if n % 9 == 0 else f"k{n % 50}", None if n % 7 == 0 else "x", n, str(n)) for n in range(90)], schema)
+    old = spark.createDataFrame([(f"k{n}", "x", n, str(n)) for n in (3, 5, 48, 77)] + [(None, "x", 1, "1"), (None, None, 2, "2")], schema)
+    for store in (None, old):
+        hashes = doubtful_keys(df, store, key)
+        got = dedup_in_place(df, hashes, store, key)
+        assert sorted(got.collect(), key=lambda r: r.line_seq) == sorted(dedup_new_lines(df, store, key).collect(), key=lambda r: r.line_seq)
+        repeated = {r[0] for r in hashes.collect()}
+        assert 0 < len(repeated) < df.select(*key).distinct().count()
+        assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # new lines beside those that are compared
+
+
 def test_logical_resources(spark):
     res = resources(spark, [
         managed("c1", 1, service_name="Amazon EKS", resource_name="Main"), managed("d1", 1, service_name="Amazon Aurora", resource_name="orders"),
