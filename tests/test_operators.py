@@ -359,3 +359,18 @@ def test_pairs_of_bucketed_resources_meet_where_they_lie(spark, tmp_path):
     got = got.select("resource_id", "prior_period_start", "current_period_start", F.col("p").dropFields("event").alias("p"),
                      F.col("c").dropFields("event").alias("c"), F.coalesce("p.event", "c.event").alias("event"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 40
+
+
+def test_rolling_baselines_of_bucketed_resources_meet_where_they_lie(spark, tmp_path):
+    from spendweave.plans.variance import paired_sides
+    from spendweave.sources.sinks import write_bucketed
+
+    rows = [resource(f"r{k}", k + 7 * m, date(2025, m, 1), team=f"t{m}") for k in range(30) for m in range(1, 7) if (k + m) % 4 and (k * m) % 3]
+    df = resources(spark, rows)
+    months = pairs.consecutive_pairs(silver.billing_periods(df))
+    table = write_bucketed(df.repartition(6, "resource_id"), str(tmp_path / "t"), "resource_id", 6)
+    got, want = paired_sides(table, months, "rolling_3m", by_resource=True), paired_sides(df, months, "rolling_3m")
+    assert "Exchange hashpartitioning(resource_id" not in got._jdf.queryExecution().executedPlan().toString()
+    cells = ["resource_id", *pairs.PAIR, "p", "c"]
+    assert got.select("p", "c").dtypes == want.select("p", "c").dtypes
+    assert sorted(map(str, got.select(cells).collect())) == sorted(map(str, want.select(cells).collect())) and got.count() > 50
