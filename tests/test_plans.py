@@ -8,7 +8,7 @@ import pytest
 from helpers import FEB, JAN, MAR, as_dict, events, line, lines, managed, resource, resources
 from pyspark.sql import functions as F
 
-from spendweave.operators import iac, silver
+from spendweave.operators import dealing, iac, silver
 from spendweave.operators.pairs import consecutive_pairs, one_pair
 from spendweave.operators.silver import invoices
 from spendweave.plans import allocation, forecast, marts, publish, quality, reports, star, tenants
@@ -360,6 +360,22 @@ def test_tenants_with_the_same_resource_stay_apart(spark, tmp_path):
     assert {r.user_id for r in spark.read.parquet(path).collect()} == {1, None}
 
 
+def test_sides_of_tenants_meet_where_their_resources_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "TASK_ROWS", 5)
+    bill = [line(n, f"r{n % 7}", 4 + n, (JAN, FEB, MAR)[n % 3], user_id=n % 2 + 1) for n in range(70)]
+    index = iac.iac_union({"terraform": spark.createDataFrame([(1, "r1", "m", "T", "n")], "ordinal long, identifier string, module string, resource_type string, resource_name string")})
+    change = events(spark, [{"resource_id": f"x/r{n}", "event_date": FEB, "pr_number": str(n)} for n in range(15)]).withColumn("user_id", F.lit(2))
+    out = tenants.tenant_variance(lines(spark, bill), index, change)
+    assert "FullOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.user_id, r.resource_id, str(r.current_period_start)): (int(r.prior_cost), int(r.current_cost), r.pr_number) for r in out.collect()}
+    for tenant in (1, 2):  # as its own lines and events alone give them
+        own = compute_variance(
+            lines(spark, [x for x in bill if x["user_id"] == tenant]),
+            silver.resources(lines(spark, [x for x in bill if x["user_id"] == tenant]), index), change if tenant == 2 else change.limit(0))
+        assert {k[1:]: v for k, v in got.items() if k[0] == tenant} == {
+            (r.resource_id, str(r.current_period_start)): (int(r.prior_cost), int(r.current_cost), r.pr_number) for r in own.collect()}
+
+
 def test_marts_leave_bucketed_tables_where_they_lie(spark, tmp_path):
     from spendweave.sources.sinks import write_bucketed
 
