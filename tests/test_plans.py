@@ -406,3 +406,25 @@ def test_marts_leave_bucketed_tables_where_they_lie(spark, tmp_path):
     regions = {(r["resource_id"], r["billing_period_start"]): r["region"] for r in rows}
     assert all(r.region == regions.get((r.resource_id, r.current_period_start)) for r in fct.collect())
     assert sum(r.allocation_count or 0 for r in fct.collect()) == bill.join(v, [bill.resource_id == v.resource_id, bill.billing_period_start == v.current_period_start]).count()
+
+
+def test_stored_tables_are_joined_without_sorting_the_large_side(spark, tmp_path, monkeypatch):
+    from spendweave.testbed import tables
+
+    plans, write = [], tables.write_table
+
+    def seen(rows, path):
+        rows.collect()
+        plans.append(rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        write(rows, path)
+
+    monkeypatch.setattr(tables, "write_table", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kinds = spark.range(20).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+        build = lambda spark, folder: spark.range(1000).withColumn("k", F.col("id") % 25).join(kinds, "k")
+        assert tables._stored(spark, str(tmp_path), "some", build).count() == 800
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+    assert spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold") in ("0", "0b")
